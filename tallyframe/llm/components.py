@@ -1,0 +1,35 @@
+"""Connected components of an edge list, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tallyframe.llm.common import checkpointed
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges(a, b), any order, repeats and loops allowed -> (node, component), the least node of each component.
+
+    Only nodes with an edge to another one are returned.  Every step is a minimum for each node and a join with it,
+    so no neighbourhood is gathered; each round is checkpointed, and rounds end when the edges stay the same."""
+    now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = _state(now)
+    while state[0]:
+        both = now.union(now.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # small star: every node's smaller neighbours are linked to the least of them
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        then = checkpointed(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct())
+        state, last = _state(then), state
+        now = then
+        if state == last:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Count and a checksum of the edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
