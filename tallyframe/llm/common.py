@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         if column.nbytes <= SLICE_BYTES:
             yield batch
             continue
-        ends = np.cumsum(np.asarray(pa.compute.binary_length(column).fill_null(0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
