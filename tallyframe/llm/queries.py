@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decontamination, quality_rules, secrets, simhash
+from tallyframe.llm import bpe, decontamination, line_dedup, quality_rules, secrets, simhash
 from tallyframe.llm.common import table
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicate_lines(docs, counts=True).withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).drop("found")
 
@@ -31,6 +36,68 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.summary(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination)}
+
+_SPACE = r"\x20\x09-\x0D"
+_STOPS = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)
+
+ORACLES = {
+    "op2_line_dedup": rf"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(0, len(x))) AS i FROM split),
+w AS (
+  SELECT doc_id, i AS a, lead(i, 2) OVER d AS b, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS s
+  FROM l WHERE regexp_matches(line, '[^{_SPACE}]') WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+f AS (
+  SELECT doc_id, a, b, first_value(doc_id) OVER o AS fd, first_value(a) OVER o AS fa, first_value(b) OVER o AS fb
+  FROM w WHERE b IS NOT NULL WINDOW o AS (PARTITION BY s ORDER BY doc_id, a)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = fd THEN greatest(a, fb + 1) ELSE a END, b + 1)) AS i
+  FROM f WHERE doc_id > fd OR (doc_id = fd AND a > fa)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       coalesce(len(s.x), 0)::BIGINT AS n_lines, (SELECT count(*) FROM gone g WHERE g.doc_id = s.doc_id) AS n_removed
+FROM split s LEFT JOIN kept k USING (doc_id)""",
+    "op7_quality_rules": rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS l
+  FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS k, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d WHERE len(w) >= 5),
+twice AS (SELECT doc_id, k FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM twice) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^{quality_rules.SYMBOLS}]+', '', 'g'))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words,
+         length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations,
+         len(list_filter(w, lambda x: x IN ({_STOPS}))) AS n_stops, len(l) AS n_lines,
+         len(list_filter(l, lambda x: regexp_matches(x, '^[{_SPACE}]*[{quality_rules.SYMBOLS}]'))) AS n_symbol_lines,
+         len(list_filter(w, lambda x: length(x) > 40)) AS n_long
+  FROM d LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed
+  AND NOT (word_chars < 1.5 * n_words OR word_chars > 40 * n_words)
+  AND NOT (n_symbols::DOUBLE / n_words > 0.3)
+  AND NOT (n_words >= 20 AND n_upper::DOUBLE / word_chars > 0.6)
+  AND NOT (n_words >= 20 AND n_exclamations::DOUBLE / n_words > 0.3)
+  AND NOT (n_words >= 400 AND n_stops::DOUBLE / n_words < 0.0005)
+  AND NOT (n_words >= 20 AND n_dup_lines::DOUBLE / n_lines > 0.5)
+  AND NOT (n_words >= 20 AND n_symbol_lines::DOUBLE / n_lines > 0.9)
+  AND NOT (n_words >= 20 AND n_long::DOUBLE / n_words > 0.3) AS kept
+FROM b""",
+    "op8_decontamination": rf"""
+WITH a AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS (SELECT doc_id, regexp_extract_all(coalesce(translate(text, up, low), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents, a),
+i AS (SELECT item_id, regexp_extract_all(coalesce(translate(text, up, low), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark, a),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS s FROM i WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, unnest(list_transform(range(1, len(w) - n + 2), lambda k: array_to_string(w[k:k + n - 1], ' '))) AS s FROM d, sizes WHERE len(w) >= n),
+h AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.n = iw.n),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
