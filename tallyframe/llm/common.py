@@ -59,16 +59,18 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             start = stop
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, id_col: str = "doc_id") -> DataFrame:
-    """Documents whose label may be learned from, with the label as _y; about `bound` of them at most.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, _y): documents whose label may be learned from; about `bound` of them at most.
 
     Labels of one id are merged (the largest counts); null ids and labels are left out.  When more than `bound`
     ids are labelled, a hash of the id chooses, the same ids each time.  The ids are at most about `bound`, so
-    they are broadcast and the documents stay where they are."""
+    they are broadcast and the documents stay where they are.  Of equal texts one is kept, so that copies do not count
+as evidence; the sample is checkpointed, as a fit reads it more than once."""
     ids = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     ids = ids.where(learn)
     n = ids.count()
     if n > bound:
         cells = 1 << 20
         ids = ids.where(F.pmod(F.xxhash64("_id"), F.lit(cells)) < int(cells * bound / n))
-    return docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).drop("_id")
+    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).select(F.col(text_col).alias("text"), "_y")
+    return checkpointed(rows.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h"]).drop("_h"))

@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, decontamination, line_dedup, quality_rules, secrets, simhash
+from tallyframe.llm import bpe, decontamination, language_id, line_dedup, quality_model, quality_rules, secrets, simhash, toxicity
 from tallyframe.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.deduplicate_lines(docs, counts=True).withColumnsRenamed({"_n_lines": "n_lines", "_n_removed": "n_removed"})
@@ -36,7 +41,17 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.summary(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
+def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination, op9_language_id, op10_quality_model)}
 
 _SPACE = r"\x20\x09-\x0D"
 _STOPS = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)

@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import labelled_sample, remainder, sliced
 
-SAMPLE, VOTERS, FEATURES = 20_000, 120, 300
+SAMPLE, VOTERS, FEATURES = 20_000, 120, 200
+#: Stems that are taken to the driver, the most telling first.
+CANDIDATES = 5_000
 STEM = range(3, 9)
 #: Least log-likelihood ratio of a stem that votes.
 EVIDENCE = 30.0
@@ -93,7 +95,7 @@ class Reader:
         return Counter(found + [self.at[v] for v in whole_votes(text) if v in self.at]), len(tokens)
 
 
-def stems(sample: DataFrame, text_col: str, limit: int) -> list[tuple[str, float, float]]:
+def stems(sample: DataFrame, limit: int) -> list[tuple[str, float, float]]:
     """(stem, log-likelihood ratio, share of toxic) of the stems most tied to the label; counted per document, summed per partition first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +115,7 @@ def stems(sample: DataFrame, text_col: str, limit: int) -> list[tuple[str, float
     total, positive = sample.agg(F.count("*"), F.sum("_y")).first()
     if not total or not positive or positive == total:
         return []
-    counted = sample.select(F.col(text_col).alias("t"), "_y").mapInArrow(run, "stem string, n bigint, bad bigint").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    counted = sample.mapInArrow(run, "stem string, n bigint, bad bigint").groupBy("stem").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     base = F.lit(positive / total)
     share = F.col("bad") / F.col("n")
     term = lambda k, p, q: F.when(k > 0, k * F.log(p / q)).otherwise(0.0)
@@ -127,8 +129,24 @@ def _counts(n: Counter, bad: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([n[k] for k in keys], pa.int64()), pa.array([bad[k] for k in keys], pa.int64())], names=["stem", "n", "bad"])
 
 
+def _unlike(found: list[tuple[str, float, float]]) -> list[tuple[str, float, float]]:
+    """Without stems that begin a better one or go on from it, as they tell the same."""
+    taken: set[str] = set()
+    begun: set[str] = set()
+    out = []
+    for stem, g, p in found:
+        if stem not in begun and not any(stem[:n] in taken for n in STEM):
+            out.append((stem, g, p))
+            taken.add(stem)
+            begun.update(stem[:n] for n in STEM if n <= len(stem))
+    return out
+
+
 class LabelModel:
-    """A latent class with binary voters; each voter depends on the class and on at most one other voter."""
+    """A latent class with voters that speak or abstain; each depends on the class and on at most one other voter.
+
+    The last column is the annotation, which always speaks; the one before is silence: no other voter spoke.
+    Abstaining tells nothing of the class."""
 
     def __init__(self, rounds: int = 15, smooth: float = 1.0):
         self.rounds, self.smooth = rounds, smooth
@@ -155,15 +173,17 @@ class LabelModel:
             for u, at in enumerate((1 - up, up)):
                 self.chance[y, u] = (w @ (at * votes) + self.smooth * own) / (w @ at + self.smooth)
         # a voter speaks for its class: it fires there no less often
-        self.chance[1] = np.maximum(self.chance[1], self.chance[0])
         self.chance = np.clip(self.chance, 1e-5, 1 - 1e-5)
+        self.chance[1, :, :-2] = np.maximum(self.chance[1, :, :-2], self.chance[0, :, :-2])
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         up = np.where(self.parent >= 0, votes[:, self.parent], 0.0)
         log = []
         for y in (0, 1):
             p = np.where(up > 0, self.chance[y, 1], self.chance[y, 0])
-            log.append(np.where(votes > 0, np.log(p), np.log1p(-p)).sum(axis=1) + np.log(self.prior if y else 1 - self.prior))
+            spoken = np.where(votes > 0, np.log(p), 0.0)
+            spoken[:, -1] = np.where(votes[:, -1] > 0, np.log(p[:, -1]), np.log1p(-p[:, -1]))
+            log.append(spoken.sum(axis=1) + np.log(self.prior if y else 1 - self.prior))
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
 
     @staticmethod
@@ -188,6 +208,8 @@ class LabelModel:
                 parent[k] = link[k]
             closer = ~inside & (info[k] > best)
             best[closer], link[closer] = info[k][closer], k
+        parent[-2:] = -1  # the annotation and silence stand alone
+        parent[np.isin(parent, (j - 1, j - 2))] = -1
         return parent
 
 
@@ -231,8 +253,8 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, sample: int = SAMPLE, voters: int = VOTERS, features: int = FEATURES) -> Model:
     """Learns labels from rows whose crc32(id) mod `modulus` is not `held_out`, of about `sample` rows at most."""
-    rows = labelled_sample(docs.select(id_col, text_col), labels, label, remainder("_id", modulus) != held_out, sample, id_col)
-    found = stems(rows, text_col, voters + features)
+    rows = labelled_sample(docs, labels, label, remainder("_id", modulus) != held_out, sample, id_col, text_col)
+    found = _unlike(stems(rows, CANDIDATES))
     voting = [s for s, g, p in found if g >= EVIDENCE and p >= 0.5][:voters]
     others = [s for s, _, _ in found if s not in set(voting)][:features]
     names = [*LEXICON, *PATTERNS, *WHOLE, *(s + "…" for s in voting + others)]
@@ -246,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
                 seen, n = read(text)
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([n], pa.int64()), pa.array([list(seen.items())], pa.map_(pa.int32(), pa.int32()))], names=["y", "n", "seen"])
 
-    got = rows.select(F.col(text_col).alias("t"), "_y").mapInArrow(run, "y int, n bigint, seen map<int,int>").toPandas()  # about `sample` rows of hits
+    got = rows.mapInArrow(run, "y int, n bigint, seen map<int,int>").toPandas()  # about `sample` rows of hits
     x, y = np.zeros((len(got), len(names) + 2)), got["y"].to_numpy(dtype=float)
     for i, (n, seen) in enumerate(zip(got["n"], got["seen"], strict=True)):
         seen = dict(seen)
@@ -258,10 +280,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         model.weights[: len(names)] = np.where(votes, 4.0, 0.0)
         model.weights[-1] = -3.0
         return model
-    fired = np.column_stack([x[:, : len(names)][:, votes], y])
+    fired = x[:, : len(names)][:, votes]
+    fired = np.column_stack([fired, ~fired.any(axis=1), y])
     label_model = LabelModel()
     posterior = label_model.fit(fired, 0.05 + 0.9 * y)
-    own = [n for n, v in zip(names, votes, strict=True) if v] + ["(annotation)"]
+    own = [n for n, v in zip(names, votes, strict=True) if v] + ["(silence)", "(annotation)"]
     model.accuracy = {n: (float(label_model.chance[0, 0, i]), float(label_model.chance[1, 0, i])) for i, n in enumerate(own)}
     model.correlated = [(own[i], own[p]) for i, p in enumerate(label_model.parent) if p >= 0]
     model.weights = logistic(x, posterior)
