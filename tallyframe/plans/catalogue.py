@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from tallyframe.plans import ledger_queries
+
 FLAGSHIP = "tie_out_checks"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_PARTS = (ledger_queries,)
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLES = {k: s for part in _PARTS for k, s in part.ORACLES.items()}
