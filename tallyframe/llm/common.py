@@ -20,6 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder of spark.checkpoint.dir; lineage ends there.
 
@@ -72,5 +83,5 @@ as evidence; the sample is checkpointed, as a fit reads it more than once."""
     if n > bound:
         cells = 1 << 20
         ids = ids.where(F.pmod(F.xxhash64("_id"), F.lit(cells)) < int(cells * bound / n))
-    rows = docs.join(F.broadcast(ids), docs[id_col] == ids["_id"]).select(F.col(text_col).alias("text"), "_y")
+    rows = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("text")).join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("text", "_y")
     return checkpointed(rows.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h"]).drop("_h"))

@@ -101,7 +101,7 @@ _RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.S
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with _n_words, _hits (ranges of covered words) and _items (ids of items that occur, sorted).
+    """The documents, which have no columns of these names, with _n_words, _hits (ranges of covered words) and _items (ids of items that occur, sorted).
 
     A benchmark of over block_bytes is taken block by block over all documents; each block's index is broadcast alone."""
     spark = docs.sparkSession
@@ -167,12 +167,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     remove="documents" drops documents with a hit; remove="spans" cuts the covered words, and the punctuation between them, out of the text."""
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
-    scanned = scan(docs, benchmark, text_col=text_col, **options)
+    # own columns under plain names, so that none clashes with those of the scan
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text = names[docs.columns.index(text_col)]
+    scanned = scan(docs.toDF(*names), benchmark, text_col=text, **options)
     if remove == "documents":
-        return scanned.where(F.size("_hits") == 0).select(docs.columns)
+        return scanned.where(F.size("_hits") == 0).select(names).toDF(*docs.columns)
     cut = F.udf(_cut, "string")  # reached by documents with a hit alone
-    clean = F.when(F.size("_hits") == 0, F.col(text_col)).otherwise(cut(text_col, "_hits"))
-    return scanned.select([clean.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    clean = F.when(F.size("_hits") == 0, F.col(text)).otherwise(cut(text, "_hits"))
+    return scanned.select([clean.alias(c) if c == text else F.col(c) for c in names]).toDF(*docs.columns)
 
 
 def digest(item_ids: list[str]) -> str:

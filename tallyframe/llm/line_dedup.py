@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyframe.llm.common import unused
+
 WIDTH = 3
 
 
@@ -41,14 +43,15 @@ def covered_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 def deduplicate_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, counts: bool = False) -> DataFrame:
     """The documents with their own columns, without later copies; with counts=True also _n_lines and _n_removed."""
-    gone = covered_lines(docs, id_col=id_col, text_col=text_col, width=width).withColumnsRenamed({"id": "_id", "lines": "_lines"})
+    key, places = unused(docs, "_id", "_lines")
+    gone = covered_lines(docs, id_col=id_col, text_col=text_col, width=width).withColumnsRenamed({"id": key, "lines": places})
     # the texts are dealt by id, unsorted, where the lines to remove are too many to broadcast
-    both = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone["_id"], "left")
+    both = docs.join(gone.hint("shuffle_hash"), docs[id_col] == gone[key], "left")
     split = F.split(text_col, "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "_lines"), lambda i: F.get(split, i))
-    text = F.when(F.col("_lines").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), places), lambda i: F.get(split, i))
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     out = [text.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if counts:
         n = F.when(F.col(text_col).isNull(), 0).otherwise(F.length(F.regexp_replace(text_col, "[^\n]+", "")) + 1)
-        out += [n.cast("long").alias("_n_lines"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("_n_removed")]
+        out += [n.cast("long").alias("_n_lines"), F.coalesce(F.size(places), F.lit(0)).cast("long").alias("_n_removed")]
     return both.select(out)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import checkpointed, raw, sliced
+from tallyframe.llm.common import checkpointed, raw, sliced, unused
 from tallyframe.llm.components import connected_components
 
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
@@ -165,9 +165,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows with a null id stay if their class has no other id, and then one of them."""
     classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias("_keep")).agg(F.count("*").alias("_rows"))
-    keep = keep.select("_keep", "_rows")
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"])).select(docs.columns + ["_rows"])
-    once = rows.where("_rows = 1").select(docs.columns)
-    several = rows.where("_rows > 1").select(docs.columns).dropDuplicates([id_col])
+    key, n = unused(docs, "_keep", "_rows")
+    keep = classes.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(n))
+    rows = docs.join(keep, docs[id_col].eqNullSafe(keep[key])).select(*docs.columns, n)
+    once = rows.where(F.col(n) == 1).select(docs.columns)
+    several = rows.where(F.col(n) > 1).select(docs.columns).dropDuplicates([id_col])
     return once.union(several)

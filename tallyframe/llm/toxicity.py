@@ -155,6 +155,8 @@ class LabelModel:
         """votes: 0/1, rows by voters; start: first guess of the posterior.  The posterior of class 1."""
         votes = votes.astype(np.float64)
         self.parent = np.full(votes.shape[1], -1)
+        # the balance of the classes is that of the annotation: speech alone does not tell it
+        self.prior = float(np.clip((votes[:, -1].sum() + 1) / (len(votes) + 2), 1e-4, 1 - 1e-4))
         q = start
         for k in range(self.rounds):
             if k == self.rounds // 3:
@@ -166,7 +168,6 @@ class LabelModel:
     def _estimate(self, votes: np.ndarray, q: np.ndarray) -> None:
         """chance[y, u, j]: that voter j fires given class y and its parent's vote u."""
         up = np.where(self.parent >= 0, votes[:, self.parent], 0.0)
-        self.prior = float(np.clip((q.sum() + 1) / (len(q) + 2), 1e-4, 1 - 1e-4))
         self.chance = np.empty((2, 2, votes.shape[1]))
         for y, w in enumerate((1 - q, q)):
             own = (w @ votes + self.smooth * 0.02) / (w.sum() + self.smooth)  # where the parent's value is rare, the voter's own rate
