@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,34 +41,45 @@ def fee_tolerance(amount: Column) -> Column:
     return F.greatest(F.lit(1).cast("decimal(18,4)"), (F.abs(amount) * F.lit("0.005").cast("decimal(4,3)")).cast("decimal(18,4)"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def parse_amount(raw: Column) -> Column:
     """struct(value, suspicious): a number in any common notation; null where it is none.
 
     Without look-around, so that other engines can run the same patterns."""
-    s = F.trim(F.translate(raw, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬", "01234567890123456789.,"))
-    in_parens = s.rlike(r"^\(.*\)$")
-    trailing = s.rlike(r"-$")
-    s = F.regexp_replace(s, r"-$", "")
+    return let(F.trim(F.translate(raw, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹٫٬", "01234567890123456789.,")), lambda t: let(_without_marks(t), lambda s: let(_plain(s), lambda body: _number(t, body))))
+
+
+def _without_marks(t: Column) -> Column:
+    """Without a trailing minus, currency codes, and blanks or apostrophes between digits."""
+    s = F.regexp_replace(t, r"\s*-$", "")
     s = F.regexp_replace(s, r"^[A-Za-z]{1,3}([$€£¥])", "$1")
     s = F.regexp_replace(s, r"^[A-Z]{3}[ \x{00A0}]+", "")
     s = F.regexp_replace(s, r"[ \x{00A0}]+[A-Z]{3}$", "")
     for _ in range(2):  # groups of one digit overlap
         s = F.regexp_replace(s, r"(\d)[ \x{00A0}\x{202F}'’](\d)", "$1$2")
-    comma, dot = F.length(s) - F.locate(",", F.reverse(s)), F.length(s) - F.locate(".", F.reverse(s))
-    has_comma, has_dot = F.contains(s, F.lit(",")), F.contains(s, F.lit("."))
-    european = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    grouped = F.replace(s, F.lit(","), F.lit(""))
+    return s
+
+
+def _plain(s: Column) -> Column:
+    """With a point for the decimals and, where the grouping is valid, no commas; without parentheses."""
+    european = s.rlike(r"\..*,[^.]*$")
+    both = s.rlike(r",.*\.") & ~european
     whole = F.regexp_replace(F.substring_index(s, ".", 1), r"[^0-9,]", "")
-    groups = whole.rlike(r"^\d{1,3}(,\d{2,3})*,\d{3}$")
-    lone = s.rlike(r"^[^,]*,[^,]*$") & ~s.rlike(r",\d{3}([^0-9]*)$")
-    plain = F.when(has_comma & has_dot & (comma > dot), european).when(has_comma & has_dot & groups, grouped).when(has_comma & ~has_dot & lone, F.replace(s, F.lit(","), F.lit("."))).otherwise(s)
-    body = F.trim(F.regexp_replace(plain, r"[()]", ""))
+    lone = s.rlike(r"^[^,.]*,[^,.]*$") & ~s.rlike(r",\d{3}([^0-9]*)$")
+    comma_to_point = F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    plain = F.when(european | lone, comma_to_point).when(both & whole.rlike(r"^\d{1,3}(,\d{2,3})*,\d{3}$"), F.replace(s, F.lit(","), F.lit(""))).otherwise(s)
+    return F.trim(F.regexp_replace(plain, r"[()]", ""))
+
+
+def _number(t: Column, body: Column) -> Column:
+    blank = t.isNull() | (t == "")
     odd = body.rlike("[OoIlSsBZ]") | body.rlike(r"\..*\.")
     valid = body.rlike(r"^[-+]?[$€£¥]?[-+]?(\d{1,3}(,\d{2,3})*,\d{3}|\d+)(\.\d+)?$")
-    digits = F.regexp_replace(body, r"[,$€£¥+\-]", "")
-    value = digits.try_cast("decimal(28,6)")
-    negative = in_parens | trailing | F.contains(body, F.lit("-"))
-    blank = raw.isNull() | (F.trim(raw) == "")
+    value = F.regexp_replace(body, r"[,$€£¥+\-]", "").try_cast("decimal(28,6)")
+    negative = t.rlike(r"^\(.*\)$") | t.rlike(r"-$") | F.contains(body, F.lit("-"))
     number = F.when(~blank & valid, F.when(negative, -value).otherwise(value))
     return F.struct(number.alias("value"), F.when(blank, F.lit(False)).otherwise(~valid | odd).alias("suspicious"))
-

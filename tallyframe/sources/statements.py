@@ -5,8 +5,10 @@ has.  The parsing is done with SQL functions on the executors; nothing is read o
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.functions.money import parse_amount
 
@@ -50,13 +52,25 @@ def read_delimited(spark: SparkSession, path: str, *, encoding: str = "UTF-8", s
     return canonical(spark.read.csv(path, header=True, sep=best, encoding=encoding))
 
 
+@F.pandas_udf(T.StringType())
+def decoded(content: pd.Series) -> pd.Series:
+    """Text of bytes in an unknown encoding, which Spark's own decode has not got."""
+
+    def one(data: bytes | None) -> str | None:
+        for encoding in ("utf-8-sig", "gb18030", "utf-16"):
+            try:
+                return None if data is None else data.decode(encoding)
+            except UnicodeDecodeError:
+                continue
+        return data.decode("latin-1")
+
+    return content.map(one)
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(file, content, hash) of every file; UTF-8 with or without a mark, else GB 18030, else UTF-16, else Latin-1."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    decode = lambda name: F.expr(f"try_validate_utf8({name})")
-    utf8 = F.regexp_replace(decode("cast(content AS string)"), "^﻿", "")
-    other = [F.when(F.expr(f"decode(content, '{e}')").contains("�"), None).otherwise(F.expr(f"decode(content, '{e}')")) for e in ("GBK", "UTF-16")]
-    return files.select("file", F.coalesce(utf8, *other, F.expr("decode(content, 'ISO-8859-1')")).alias("content"), F.sha2("content", 256).alias("hash"))
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("file"), decoded("content").alias("content"), F.sha2("content", 256).alias("hash"))
 
 
 def _blocks(files: DataFrame, blocks: Column) -> DataFrame:
