@@ -29,7 +29,7 @@ from tallyframe.llm.common import SLICE_BYTES, sliced
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
 WIDEST = BUCKETS[-1]
 #: Distinct pieces whose ids a worker remembers; beyond, it forgets all.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NONE = np.int64(1 << 40)
 
 

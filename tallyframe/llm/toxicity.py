@@ -34,6 +34,8 @@ STEM = range(3, 9)
 #: Least log-likelihood ratio of a stem that votes.
 EVIDENCE = 30.0
 THRESHOLD = 0.5
+#: Tokens, or stems and their counts, that a worker holds at once.
+REMEMBERED = 200_000
 
 # fixed values: common English insults
 LEXICON = ("bastard", "clown", "coward", "creep", "cretin", "degenerate", "disgusting", "dumb", "dumbass", "filth", "filthy", "freak", "garbage", "idiot", "idiotic", "imbecile", "jerk", "liar", "loser", "moron", "moronic", "parasite", "pathetic", "pig", "retard", "scum", "scumbag", "shithead", "slut", "stupid", "subhuman", "trash", "useless", "vermin", "whore", "worthless")
@@ -83,7 +85,7 @@ class Reader:
     def __call__(self, text: str | None) -> tuple[Counter, int]:
         if not text:
             return Counter(), 0
-        if len(self.known) > 500_000:
+        if len(self.known) > REMEMBERED:
             self.known.clear()
         known, tokens, found = self.known, text.lower().split(), []
         for token in tokens:
@@ -107,7 +109,7 @@ def stems(sample: DataFrame, limit: int) -> list[tuple[str, float, float]]:
                 n.update(own)
                 if y:
                     bad.update(own)
-            if len(n) > 1_000_000:
+            if len(n) > REMEMBERED:
                 yield _counts(n, bad)
                 n, bad = Counter(), Counter()
         yield _counts(n, bad)
