@@ -8,7 +8,7 @@ Defined cases: a null text and one without a letter are `und` with score 0, as i
 learned; equal proportions go to the language that comes first by name; repeated rows get a row each; further
 columns are not carried.
 
-Bounds: each language is learned from about `sample` documents at most; the model is a matrix of languages by CELLS.
+Bounds: each language is learned from about `sample` documents at most; the model is a matrix of at most LANGUAGES by CELLS.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tallyframe.llm.common import remainder, sliced
 
 SAMPLE, CELLS, ROUNDS, PENALTY = 4_000, 1 << 15, 12, 4.0
+#: Languages that a model holds; of more values in the column those of the most documents.
+LANGUAGES = 1_000
 UNKNOWN = "und"
 #: Bytes that no letter's encoding holds count as gaps.
 _LETTERS = np.array([b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], dtype=np.uint32)
@@ -112,7 +114,8 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     Of a language with more rows than `sample` a hash of the id chooses."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("id", modulus) != held_out))
     parts = 1 << 20
-    rates = rows.groupBy("lang").agg(F.least(F.lit(parts), F.lit(parts * sample) / F.count("*")).alias("rate"))  # a row per language
+    rates = rows.groupBy("lang").agg(F.least(F.lit(parts), F.lit(parts * sample) / F.count("*")).alias("rate"), F.count("*").alias("n"))
+    rates = rates.orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", "rate")
     chosen = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id"), F.lit(parts)) < F.col("rate")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
