@@ -168,6 +168,27 @@ def test_statement_formats(spark, tmp_path):
     assert statements.read_files(spark, str(tmp_path / "g.txt")).first().content == "日期,金额"
 
 
+def test_sinks(spark, tmp_path):
+    from tallyframe.operators import sinks
+
+    day = dt.date(2026, 6, 1)
+    inv = spark.createDataFrame([entry(1, day, "A", "110.00")], "hash string, date date, party string, direction string, account string, total decimal(18,2), subtotal decimal(18,2), tax decimal(18,2)")
+    lines, chart = ledger.accruals(inv).select(ledger.LINE_COLUMNS), accounts.chart(spark)
+    sinks.write_statements(lines, chart, str(tmp_path / "r"))
+    assert spark.read.parquet(str(tmp_path / "r/checks")).first().can_issue
+    with pytest.raises(sinks.NotIssued, match="e1"):
+        sinks.write_statements(lines.where("debit > 0"), chart, str(tmp_path / "bad"))
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "file_hash string, rev int, v string")
+    sinks.upsert(old, spark.createDataFrame([("a", 2, "z")], old.schema), str(tmp_path / "u"))
+    assert {(r.file_hash, r.rev, r.v) for r in spark.read.parquet(str(tmp_path / "u")).collect()} == {("a", 2, "z"), ("b", 1, "y")}
+    for _ in range(2):
+        sinks.append_audit(old, str(tmp_path / "audit"))
+    assert spark.read.parquet(str(tmp_path / "audit")).count() == 4
+    docs = spark.createDataFrame([("d", [("i", 1)])], "doc_id string, line_items array<struct<description:string,amount:int>>")
+    sinks.write_documents(docs, str(tmp_path / "docs"))
+    assert spark.read.parquet(str(tmp_path / "docs/line_items")).first().description == "i"
+
+
 def test_layout(spark):
     words = spark.createDataFrame([(1, 0, 50.0, 10.5, 90.0, 20.0, "b"), (1, 0, 0.0, 10.0, 40.0, 20.0, "a"), (1, 0, 0.0, 30.0, 40.0, 40.0, "c")], "doc_id int, page int, x0 double, y0 double, x1 double, y1 double, text string")
     assert [r.text for r in layout.lines(words).orderBy("line").collect()] == ["a b", "c"]
