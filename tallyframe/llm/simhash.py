@@ -5,7 +5,9 @@ tables; table v keeps the bits i with <m(i), v> = 1 over GF(2), m a fixed map of
 vectors of up to `radius` differing bits span less than the whole space, so some v is orthogonal to all of them:
 in that table the two fingerprints have the same key.  No pair within the radius is missed.  Inside a key all
 fingerprints are compared and a spanning forest of their links is written (at most one edge each, never all
-pairs); oversized keys are dealt again by covering masks over the bits that the key leaves open.
+pairs).  Keys are counted first; the fingerprints of a crowded key are dealt again over all tasks, by covering masks
+over the bits that the key leaves open.  A key of that second deal leaves about 15 bits open, which bounds its group
+whatever the table's size.
 
 Defined cases: a null or wordless text has fingerprint 0 and links like any other; a text of fewer words than a
 shingle is one shingle; rows with a null id take part, and a class of null ids alone has component null; repeated
@@ -28,6 +30,10 @@ from tallyframe.llm.components import connected_components
 SHINGLE, SEED, RADIUS, BITS = 4, 42, 4, 64
 #: Fingerprints that are compared with each other at once.
 BLOCK = 1024
+#: Fingerprints of one key that a task takes; keys with more are dealt again.
+CROWD = 8192
+#: Crowded keys that are broadcast; more of them are joined by a shuffle.
+FEW = 100_000
 _CHUNK = 1 << 15
 
 
@@ -104,10 +110,28 @@ def _links(words: np.ndarray, open_bits: list[int], radius: int) -> list[tuple[i
     return list(edges)
 
 
-def links(distinct: DataFrame, *, radius: int = RADIUS) -> DataFrame:
+def _dealt(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """(mask, key, fp): each fingerprint once for each mask."""
+    at = F.explode(F.array(*[F.lit(_signed(m)) for m in masks]))
+    return distinct.select("fp", at.alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+
+
+def _open(mask: int) -> list[int]:
+    return [b for b in range(BITS) if not mask >> b & 1]
+
+
+def links(distinct: DataFrame, *, radius: int = RADIUS, crowd: int = CROWD) -> DataFrame:
     """distinct(fp) -> (a, b): links of at most `radius` bits that connect all that such links connect."""
     masks = covering_masks(radius)
-    tables = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks)])).alias("x")).select("x.t", "x.key", "fp")
+    tables = _dealt(distinct, masks)
+    crowded = checkpointed(tables.groupBy("mask", "key").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("mask", "key"))
+    n = crowded.count()
+    if n:
+        keys = F.broadcast(crowded) if n <= FEW else crowded
+        finer = [(_signed(m), _signed(m | x)) for m in masks for x in covering_masks(radius, _open(m))]  # the square of the number of tables
+        deal = F.broadcast(distinct.sparkSession.createDataFrame(finer, "mask bigint, finer bigint"))
+        again = tables.join(keys, ["mask", "key"], "left_semi").join(deal, "mask").select(F.col("finer").alias("mask"), F.col("fp").bitwiseAND(F.col("finer")).alias("key"), "fp")
+        tables = tables.join(keys, ["mask", "key"], "left_anti").union(again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.empty((0, 3), dtype=np.int64)
@@ -118,11 +142,11 @@ def links(distinct: DataFrame, *, radius: int = RADIUS) -> DataFrame:
             last = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
             cut = last[-1] + 1 if len(last) else 0  # the last key may go on in the next batch
             tail = rows[cut:]
-            yield _edges(rows[:cut], masks, radius)
+            yield _edges(rows[:cut], radius)
         if batch is not None:
-            yield _edges(tail, masks, radius)
+            yield _edges(tail, radius)
 
-    dealt = tables.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    dealt = tables.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
@@ -130,7 +154,7 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _edges(rows: np.ndarray, masks: list[int], radius: int) -> pa.RecordBatch:
+def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
     edges: list[tuple[int, int]] = []
     if len(rows) > 1:
         cuts = np.concatenate(([0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1, [len(rows)]))
@@ -141,17 +165,16 @@ def _edges(rows: np.ndarray, masks: list[int], radius: int) -> pa.RecordBatch:
         edges += zip(a[near].tolist(), b[near].tolist(), strict=True)
         for k in np.flatnonzero(sizes > 2):
             fps = np.ascontiguousarray(rows[cuts[k] : cuts[k + 1], 2])
-            mask = masks[rows[cuts[k], 0]]
-            edges += [(int(fps[i]), int(fps[j])) for i, j in _links(fps.view(np.uint64), [x for x in range(BITS) if not mask >> x & 1], radius)]
+            edges += [(int(fps[i]), int(fps[j])) for i, j in _links(fps.view(np.uint64), _open(int(rows[cuts[k], 0])), radius)]
     first, second = zip(*edges, strict=True) if edges else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, crowd: int = CROWD, **options) -> DataFrame:
     """(id, fp, component): of every row, the fingerprint and the least id of those reachable by links."""
     own = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, **options))
     by_fp = own.groupBy("fp").agg(F.min("id").alias("first"))
-    parts = connected_components(links(by_fp.select("fp"), radius=radius))
+    parts = connected_components(links(by_fp.select("fp"), radius=radius, crowd=crowd))
     # only fingerprints with a link are in parts
     linked = parts.withColumnRenamed("node", "fp").join(by_fp, "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))

@@ -167,6 +167,32 @@ def test_oversized_keys_are_dealt_again(monkeypatch):
     assert len({find(i) for i in range(len(words))}) == len(set(expected))
 
 
+def test_crowded_keys_are_dealt_over_tasks(spark):
+    rng = np.random.default_rng(6)
+    hub = rng.integers(0, 1 << 63, dtype=np.uint64)
+    words = [int(hub) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(400)] + [int(w) for w in rng.integers(0, 1 << 63, 200, dtype=np.uint64)]
+    words = sorted(set(words))
+    signed = [w - (1 << 64) if w >> 63 else w for w in words]
+    found = simhash.links(spark.createDataFrame([(w,) for w in signed], "fp bigint"), crowd=20)
+    classes = {w: w for w in signed}
+    for r in components.connected_components(found).collect():
+        classes[r["node"]] = r["component"]
+    mine = {}
+    for w in signed:
+        mine.setdefault(classes[w], []).append(w)
+    parent = list(range(len(words)))
+    for i in range(len(words)):
+        for j in range(i):
+            if bin(words[i] ^ words[j]).count("1") <= 4 and parent[i] != parent[j]:
+                old, new = parent[i], parent[j]
+                parent = [new if p == old else p for p in parent]
+    true = {}
+    for i, p in enumerate(parent):
+        true.setdefault(p, []).append(signed[i])
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, true.values()))
+    assert max(map(len, true.values())) > 20
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (3, 2), (200, 201)]
     out = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
