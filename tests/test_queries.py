@@ -1,12 +1,12 @@
 """Every query against its SQL on the smallest tables; that every query is listed; and that all of it works without the text operators."""
 
 import decimal
-import math
 import subprocess
 import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tallyframe.plans import catalogue
@@ -23,7 +23,7 @@ def duck(small):
 
 
 def plain(x):
-    if x is None or isinstance(x, float) and math.isnan(x):
+    if pd.isna(x) is True:
         return ""
     if isinstance(x, float | decimal.Decimal):
         return f"{float(x):.6f}"
