@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decontamination, line_dedup, simhash, toxicity
+from tallyframe.llm import bpe, decontamination, line_dedup, near_copies, toxicity
 from tallyframe.llm.common import table
 
 
@@ -26,8 +26,8 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return simhash.deduplicate(docs)
+    """One document of each group of five-word Jaccard similarity 0.8 or more stays."""
+    return near_copies.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", reject_toxic),
     ("line_dedup", cut_repeated_lines),
-    ("simhash_dedup", drop_near_copies),
+    ("near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("byte_bpe", encode),
 ]

@@ -173,8 +173,13 @@ def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, crowd: int = CROWD, **options) -> DataFrame:
     """(id, fp, component): of every row, the fingerprint and the least id of those reachable by links."""
     own = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, **options))
+    return classes_of(own, links(own.select("fp").distinct(), radius=radius, crowd=crowd), id_col)
+
+
+def classes_of(own: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """own(id, fp) and links (a, b) of fp -> (id, fp, component)."""
     by_fp = own.groupBy("fp").agg(F.min("id").alias("first"))
-    parts = connected_components(links(by_fp.select("fp"), radius=radius, crowd=crowd))
+    parts = connected_components(edges)
     # only fingerprints with a link are in parts
     linked = parts.withColumnRenamed("node", "fp").join(by_fp, "fp")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
@@ -187,7 +192,11 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The documents with their own columns: of each class the one with the least id; of rows that repeat that id, one.
 
     Rows with a null id stay if their class has no other id, and then one of them."""
-    classes = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """The documents whose id names their class; of rows that repeat that id, one."""
     key, n = unused(docs, "_keep", "_rows")
     keep = classes.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(n))
     rows = docs.join(keep, docs[id_col].eqNullSafe(keep[key])).select(*docs.columns, n)
