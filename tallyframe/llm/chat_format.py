@@ -13,7 +13,8 @@ decodes on its own.  Nobody holds a whole long conversation.
 
 Defined cases: a null text is an empty utterance; a row of blank lines and markers keeps an utterance for each
 marker; rows of a null conversation form one conversation; null turns come first; rows that tie in turn are
-ordered by a hash of role and text; of paths that are equally likely one is taken, the same each time; utterances of one speaker in a row are
+ordered by a hash of role and text, and the utterances of a row stay together, so equal rows of several utterances
+follow each other whole; of paths that are equally likely one is taken, the same each time; utterances of one speaker in a row are
 separate turns; an empty table gives no rows; further columns are not carried.
 """
 
@@ -119,29 +120,34 @@ class Model:
         return states
 
 
-def _parsed(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
-    """Utterances, dealt by ranges of their order and kept."""
+def _parsed(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, trust_roles: bool = True) -> DataFrame:
+    """Utterances, dealt by ranges of their order and kept; `shown` is the marker that decoding may see."""
     rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            out = [(i, k, marker, feature(said), said) for i, (role, text) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)) for k, (marker, said) in enumerate(utterances(role, text))]
-            row, part, marker, code, said = zip(*out, strict=True)
+            out = []
+            for i, (role, text) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)):
+                found = utterances(role, text)
+                shown = found if trust_roles else utterances(None, text)
+                out += [(i, k, marker, seen, feature(said), said) for k, ((marker, said), (seen, _)) in enumerate(zip(found, shown, strict=True))]
+            row, *numbers, said = zip(*out, strict=True)
             at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), batch.column(2).take(at), pa.array(part, pa.int32()), pa.array(marker, pa.int32()), pa.array(code, pa.int32()), pa.array(said, pa.string())], names=["conv", "turn", "tie", "part", "marker", "feature", "said"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(at) for j in range(4)), *(pa.array(x, pa.int32()) for x in numbers), pa.array(said, pa.string())], names=["conv", "turn", "tie", "row", "part", "marker", "shown", "feature", "said"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    tied = rows.select("conv", "turn", F.xxhash64("role", "text").alias("tie"), "role", "text")
-    cut = tied.mapInArrow(run, f"conv {kinds['conv']}, turn {kinds['turn']}, tie bigint, part int, marker int, feature int, said string")
+    # the number of a row keeps its utterances together among equal rows, and parts such rows over ranges
+    tied = rows.select("conv", "turn", F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("row"), "role", "text")
+    cut = tied.mapInArrow(run, f"conv {kinds['conv']}, turn {kinds['turn']}, tie bigint, row bigint, part int, marker int, shown int, feature int, said string")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PARTITION_BYTES))
-    order = [F.col(c).asc_nulls_first() for c in ("conv", "turn", "tie", "part")]
+    order = [F.col(c).asc_nulls_first() for c in ("conv", "turn", "tie", "row", "part")]
     return checkpointed(cut.repartitionByRange(n, *order).sortWithinPartitions(*order)).withColumn("pid", F.spark_partition_id())
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], also: tuple[str, ...] = ()) -> Iterator[tuple]:
+def _stretches(batches: Iterator[pa.RecordBatch], marker: str, also: tuple[str, ...] = ()) -> Iterator[tuple]:
     """(pid, first in the partition, last, conversation, markers, features, other columns) of each conversation in order."""
-    names = ("marker", "feature", *also)
+    names = (marker, "feature", *also)
     held: tuple | None = None
     begun = True
     for batch in batches:
@@ -170,7 +176,7 @@ def _learn(dealt: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple, int] = {}
-        for pid, first, last, conv, markers, features, _ in _stretches(batches):
+        for pid, first, last, conv, markers, features, _ in _stretches(batches, "marker"):
             for a, b in zip(markers[:-1].tolist(), markers[1:].tolist(), strict=True):
                 if a >= 0 and b >= 0:
                     counts["after", a * k + b, -1] = counts.get(("after", a * k + b, -1), 0) + 1
@@ -216,7 +222,7 @@ def _seams(dealt: DataFrame, model: Model) -> dict[tuple[int, bool], tuple[int |
     """Of the first (True) and last stretch of each partition: the state before it, its last state, and the turns before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for pid, first, last, conv, markers, features, _ in _stretches(batches):
+        for pid, first, last, conv, markers, features, _ in _stretches(batches, "shown"):
             if first or last:
                 emission = model.emission(markers, features)
                 start = model.begin + emission[0]
@@ -226,7 +232,7 @@ def _seams(dealt: DataFrame, model: Model) -> dict[tuple[int, bool], tuple[int |
                 kinds = (pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["pid", "first", "last", "conv", "n", "m", "start"])
 
-    rows = dealt.select("pid", "conv", "marker", "feature").mapInArrow(run, "pid int, first boolean, last boolean, conv string, n bigint, m array<double>, start array<double>").collect()  # two per partition
+    rows = dealt.select("pid", "conv", "shown", "feature").mapInArrow(run, "pid int, first boolean, last boolean, conv string, n bigint, m array<double>, start array<double>").collect()  # two per partition
     rows.sort(key=lambda r: (r["pid"], not r["first"]))
     out = {}
     chain: list = []
@@ -257,9 +263,12 @@ def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>"
 
 
-def format_chats(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conversation, turn_no, role, marked, text, rendered): a row per utterance, numbered from 0 in each conversation."""
-    dealt = _parsed(conversations, conv_col, turn_col, role_col, text_col)
+def format_chats(conversations: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trust_roles: bool = True) -> DataFrame:
+    """(conversation, turn_no, role, marked, text, rendered): a row per utterance, numbered from 0 in each conversation.
+
+    The model is counted over all utterances that a marker or the role column names.  With trust_roles=False roles are then
+    recovered without the role column, from markers in the text, lines and order alone; what was named is in `given`."""
+    dealt = _parsed(conversations, conv_col, turn_col, role_col, text_col, trust_roles)
     model = _learn(dealt)
     sc = dealt.sparkSession.sparkContext
     shared = sc.broadcast((model, _seams(dealt, model)))  # the model, and two entries per partition
@@ -276,10 +285,10 @@ def format_chats(conversations: DataFrame, *, conv_col: str = "conv_id", turn_co
                 yield batch
 
         held, size = [], 0
-        for pid, first, last, conv, markers, features, (said,) in _stretches(typed(), ("said",)):
+        for pid, first, last, conv, markers, features, (said, given) in _stretches(typed(), "shown", ("said", "marker")):
             before, end, passed = seams[pid, first] if first or last else (None, None, 0)
             states = model.decode(model.emission(markers, features), before, end)
-            held += [(conv, passed + i, ROLES[s], bool(m >= 0), t, render(ROLES[s], t)) for i, (s, m, t) in enumerate(zip(states.tolist(), markers.tolist(), said, strict=True))]
+            held += [(conv, passed + i, ROLES[s], bool(m >= 0), ROLES[g] if g >= 0 else None, t, render(ROLES[s], t)) for i, (s, m, g, t) in enumerate(zip(states.tolist(), markers.tolist(), given, said, strict=True))]
             size += sum(map(len, said))
             if size > 1 << 22:
                 yield _turns(held, conv_type)
@@ -287,10 +296,10 @@ def format_chats(conversations: DataFrame, *, conv_col: str = "conv_id", turn_co
         if held:
             yield _turns(held, conv_type)
 
-    turns = dealt.select("pid", "conv", "marker", "feature", "said").mapInArrow(run, f"conv {kind}, turn_no bigint, role string, marked boolean, text string, rendered string")
-    return turns.withColumnRenamed("conv", conv_col)
+    turns = dealt.select("pid", "conv", "marker", "shown", "feature", "said").mapInArrow(run, f"conv {kind}, turn_no bigint, role string, marked boolean, given string, text string, rendered string")
+    return (turns.drop("given") if trust_roles else turns).withColumnRenamed("conv", conv_col)
 
 
 def _turns(rows: list[tuple], conv_type: pa.DataType) -> pa.RecordBatch:
-    kinds = (conv_type, pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv", "turn_no", "role", "marked", "text", "rendered"])
+    kinds = (conv_type, pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["conv", "turn_no", "role", "marked", "given", "text", "rendered"])

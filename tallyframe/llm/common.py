@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.session import checkpointed  # noqa: F401  (the text operators take it from here)
+
 #: Text bytes that a Python worker handles at once; longer documents come alone.
 SLICE_BYTES = 4 << 20
 
@@ -31,17 +31,6 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder of spark.checkpoint.dir; lineage ends there.
-
-    Only where the session names no folder (a local test) is one made here."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or f"{tempfile.gettempdir()}/checkpoints-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % modulus
@@ -76,7 +65,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     Labels of one id are merged (the largest counts); null ids and labels are left out.  When more than `bound`
     ids are labelled, a hash of the id chooses, the same ids each time.  The ids are at most about `bound`, so
     they are broadcast and the documents stay where they are.  Of equal texts one is kept, so that copies do not count
-as evidence; the sample is checkpointed, as a fit reads it more than once."""
+    as evidence, with the label that most of them have (1 of equally many).  Should ids repeat in docs with unlike texts,
+    a hash of the text brings the rows down to the bound, too.  The sample is checkpointed, as a fit reads it more than once."""
     ids = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     ids = ids.where(learn)
     n = ids.count()
@@ -84,4 +74,9 @@ as evidence; the sample is checkpointed, as a fit reads it more than once."""
         cells = 1 << 20
         ids = ids.where(F.pmod(F.xxhash64("_id"), F.lit(cells)) < int(cells * bound / n))
     rows = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("text")).join(F.broadcast(ids), F.col("_doc") == F.col("_id")).select("text", "_y")
-    return checkpointed(rows.withColumn("_h", F.xxhash64("text")).dropDuplicates(["_h"]).drop("_h"))
+    once = rows.groupBy(F.xxhash64("text").alias("_h")).agg(F.min("text").alias("text"), (F.avg("_y") >= 0.5).cast("int").alias("_y"))
+    once = checkpointed(once)
+    n = once.count()
+    if n > 2 * bound:
+        once = once.where(F.pmod(F.xxhash64("_h"), F.lit(1 << 20)) < int((1 << 20) * bound / n))
+    return once.select("text", "_y")

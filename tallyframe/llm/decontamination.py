@@ -91,8 +91,9 @@ class WindowIndex:
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[DataFrame]:
+    """Items that repeat are taken once, so a block holds about block_bytes, or one item that is larger."""
     total = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).distinct()
     n = max(1, math.ceil(total / block_bytes))
     return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)]
 
@@ -100,9 +101,10 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
 _RANGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """The documents, which have no columns of these names, with _n_words, _hits (ranges of covered words) and _items (ids of items that occur, sorted).
 
+    With cut the covered words, and what stands between them, are taken out of the text in the same pass; a null text stays null.
     A benchmark of over block_bytes is taken block by block over all documents; each block's index is broadcast alone."""
     spark = docs.sparkSession
     out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_hits": F.array().cast(_RANGES), "_items": F.array().cast("array<string>")})
@@ -111,12 +113,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
         rows = [(r["item"], r["text"].encode()) for r in block.collect()]  # at most about block_bytes
         shared = spark.sparkContext.broadcast(WindowIndex(rows, width))
 
-        def look(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def look(batches: Iterator[pa.RecordBatch], shared=shared, last=k == len(blocks) - 1) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in sliced(batches, text_col):
                 columns = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
                 counts, ranges, names = [], columns["_hits"].to_pylist(), columns["_items"].to_pylist()
-                for row, text in enumerate(raw(columns[text_col])):
+                texts = raw(columns[text_col])
+                for row, text in enumerate(texts):
                     found = words(text)
                     counts.append(len(found))
                     covered, items = index.hits(found)
@@ -127,6 +130,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_
                         ranges[row] = [{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
                         names[row] = sorted({*names[row], *(x for i in items if (x := index.item_ids[i]) is not None)})
                 new = {"_n_words": counts, "_hits": ranges, "_items": names}
+                if cut and last and any(ranges):
+                    new[text_col] = [without(t, r) if r else t for t, r in zip(texts, ranges, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(new[f.name], type=f.type) if f.name in new else columns[f.name] for f in batch.schema], schema=batch.schema)
 
         out = out.mapInArrow(look, out.schema)
@@ -151,14 +156,14 @@ def summary(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 _SPAN = re.compile(rb"[^ ]+")
 
 
-def _cut(text: str, ranges: list) -> str:
-    data = text.encode()
+def without(data: bytes, ranges: list[dict]) -> bytes:
+    """The text without the words of the ranges and what stands between them."""
     at = [m.span() for m in _SPAN.finditer(data.translate(_TO_WORDS))]
     kept, last = [], 0
     for r in ranges:
         kept.append(data[last : at[r["start"]][0]])
         last = at[r["end"] - 1][1]
-    return b"".join([*kept, data[last:]]).decode()
+    return b"".join([*kept, data[last:]])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", remove: str = "documents", **options) -> DataFrame:
@@ -170,12 +175,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     # own columns under plain names, so that none clashes with those of the scan
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(text_col)]
-    scanned = scan(docs.toDF(*names), benchmark, text_col=text, **options)
-    if remove == "documents":
-        return scanned.where(F.size("_hits") == 0).select(names).toDF(*docs.columns)
-    cut = F.udf(_cut, "string")  # reached by documents with a hit alone
-    clean = F.when(F.size("_hits") == 0, F.col(text)).otherwise(cut(text, "_hits"))
-    return scanned.select([clean.alias(c) if c == text else F.col(c) for c in names]).toDF(*docs.columns)
+    scanned = scan(docs.toDF(*names), benchmark, text_col=text, cut=remove == "spans", **options)
+    kept = scanned.where(F.size("_hits") == 0) if remove == "documents" else scanned
+    return kept.select(names).toDF(*docs.columns)
 
 
 def digest(item_ids: list[str]) -> str:

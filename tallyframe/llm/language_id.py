@@ -8,7 +8,8 @@ Defined cases: a null text and one without a letter are `und` with score 0, as i
 learned; equal proportions go to the language that comes first by name; repeated rows get a row each; further
 columns are not carried.
 
-Bounds: each language is learned from about `sample` documents at most; the model is a matrix of at most LANGUAGES by CELLS.
+Bounds: each language is learned from about `sample` documents at most; the model is a matrix of languages by CELLS.
+It holds every value of the column; more than LANGUAGES of them are an error, as the matrix would not fit an executor.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.llm.common import remainder, sliced
+from tallyframe.llm.common import checkpointed, remainder, sliced
 
 SAMPLE, CELLS, ROUNDS, PENALTY = 4_000, 1 << 15, 12, 4.0
-#: Languages that a model holds; of more values in the column those of the most documents.
+#: Languages that a model can hold: a matrix of 256 KB for each.
 LANGUAGES = 1_000
 UNKNOWN = "und"
 #: Bytes that no letter's encoding holds count as gaps.
@@ -73,9 +74,9 @@ class Mixture:
         c, p = counts[at].astype(np.float64), self.chance[:, at]
         n = c.sum()
         share, _ = _em(c, p, np.full(k, 1 / k), ROUNDS)
-        chosen = [i for i in np.argsort(-share, kind="stable") if share[i] >= 0.01] or [int(np.argmax(share))]
-        share, fit = _em(c, p[chosen], share[chosen] / share[chosen].sum(), ROUNDS)
         cost = PENALTY * np.log(n + 1)
+        chosen = _worth_a_look(c, p, share, cost)
+        share, fit = _em(c, p[chosen], share[chosen] / share[chosen].sum(), ROUNDS)
         while len(chosen) > 1:
             # the least of the chosen has to earn its cost
             order = np.argsort(-share, kind="stable")[:-1]
@@ -96,6 +97,18 @@ class Mixture:
         return self.languages[best], float(np.clip(share[best], 0, 1)), [self.languages[i] for i in sorted(chosen)]
 
 
+def _worth_a_look(c: np.ndarray, p: np.ndarray, share: np.ndarray, cost: float) -> list[int]:
+    """The languages, by share, without the least ones that the penalty removes anyway.
+
+    Leaving out a set with responsibilities r loses at most sum c (log(1 - share) - log(1 - r)) of likelihood, as the others
+    may still be fitted again; a set that loses less than one language costs never pays."""
+    order = np.argsort(share, kind="stable")
+    told = np.cumsum(share[order, None] * p[order], axis=0)[:-1] / (share @ p)
+    lost = c.sum() * np.log1p(-np.minimum(np.cumsum(share[order])[:-1], 1 - 1e-12)) - np.log1p(-np.minimum(told, 1 - 1e-12)) @ c
+    out = int(np.argmax(lost > cost)) if (lost > cost).any() else len(lost)
+    return order[out:][::-1].tolist()
+
+
 def _em(c: np.ndarray, p: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, float]:
     n = c.sum()
     for _ in range(rounds if len(share) > 1 else 0):
@@ -114,8 +127,11 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     Of a language with more rows than `sample` a hash of the id chooses."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder("id", modulus) != held_out))
     parts = 1 << 20
-    rates = rows.groupBy("lang").agg(F.least(F.lit(parts), F.lit(parts * sample) / F.count("*")).alias("rate"), F.count("*").alias("n"))
-    rates = rates.orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang", "rate")
+    rates = rows.groupBy("lang").agg(F.least(F.lit(parts), F.lit(parts * sample) / F.count("*")).alias("rate"))
+    rates = checkpointed(rates.select("lang", "rate"))
+    n = rates.count()
+    if n > LANGUAGES:
+        raise ValueError(f"{n} values in {lang_col}; a model holds {LANGUAGES} at most")
     chosen = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("id"), F.lit(parts)) < F.col("rate")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,10 @@
-"""Near copies for the pipeline: documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Operator 6 with a similarity: classes of documents whose sets of shingles have that Jaccard similarity or more.
 
-No pair is missed.  Shingles have one order for all documents, those that a sample finds frequent last.  Of two sets
-that similar, the first shingle they share stands among the first fifth (and one) of either; only these prefixes meet,
+SimHash with its covering masks comes first: pairs within the radius are candidates, and those whose whole sets are
+similar enough become links.  A fingerprint alone can't reach such a bound (most pairs of 0.8 differ in 5 to 13 of 64
+bits, beyond any radius that covering masks serve), so what it leaves is found by a prefix filter, and pairs that are
+in one class already are not looked at again.  No pair is missed.  Shingles have one order for all documents, those that a sample finds frequent last.  Of two sets
+that similar, the first shingle they share stands among the first of either (at 0.8: a fifth, and one); only these prefixes meet,
 and what sizes and places rule out is dropped.  Pairs that met are checked on their whole sets.  In a key of many
 documents each is first paired with a few of them; after a round only keys that still hold several components go on,
 with four times as many.  So a group of copies costs its size, not its square, and no pair is left untried that could
@@ -14,6 +17,7 @@ sets are told apart by 64 bits of hash.  The sample decides the order alone, nev
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,19 +27,18 @@ from pyspark.sql import functions as F
 
 from tallyframe.llm.common import checkpointed, raw, sliced
 from tallyframe.llm.components import connected_components
-from tallyframe.llm.simhash import FEW, classes_of, keep_first
+from tallyframe.llm import simhash
+from tallyframe.llm.simhash import FEW
 
-SHINGLE, SEED = 5, 42
-#: Similarity of 4/5; whole numbers keep the bound exact.
-PART, WHOLE = 4, 5
+SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: One document in so many tells which shingles are frequent, from so many documents on; the broadcast holds MOST of them.
 SAMPLE, OFTEN, MOST = 8, 4, 200_000
 #: Documents of a key that all meet at once; of larger keys each meets LEADERS in the first round.
 SMALL, LEADERS = 16, 4
 
 
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Hashes of the distinct shingles, in order."""
+def hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the shingles, repeats included."""
     found = text.lower().split() if text else []
     if not found:
         return np.empty(0, np.int64)
@@ -44,24 +47,37 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(shingle, len(found))
     spans = zip(starts[: len(found) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.unique(np.array([hashed(joined[a:b], SEED) for a, b in spans], dtype=np.uint64).view(np.int64))
+    return np.array([hashed(joined[a:b], SEED) for a, b in spans], dtype=np.uint64).view(np.int64)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, in order."""
+    return np.unique(hashes(text, shingle))
+
+
+def bound(similarity: float) -> tuple[int, int]:
+    """The similarity as a fraction; whole numbers keep the bound exact."""
+    if not 0 < similarity <= 1:
+        raise ValueError(f"a similarity is above 0 and at most 1, not {similarity}")
+    exact = Fraction(similarity).limit_denominator(1000)
+    return exact.numerator, exact.denominator
 
 
 def signature(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes(), SEED)).view(np.int64))
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
+def similar(x: np.ndarray, y: np.ndarray, of: tuple[int, int]) -> bool:
     shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared > 0 and WHOLE * shared >= PART * (len(x) + len(y) - shared)
+    return shared > 0 and of[1] * shared >= of[0] * (len(x) + len(y) - shared)
 
 
-def _frequent(rows: DataFrame) -> np.ndarray:
+def _frequent(rows: DataFrame, shingle: int) -> np.ndarray:
     """The most frequent shingles of a sample, the least frequent of them first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            found = [shingles(t) for t in raw(batch.column(1))]
+            found = [shingles(t, shingle) for t in raw(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["h"])
 
     seen = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).mapInArrow(run, "h bigint").groupBy("h").agg(F.count("*").alias("n"))
@@ -69,19 +85,19 @@ def _frequent(rows: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in reversed(top)], dtype=np.int64)
 
 
-def prefix(own: np.ndarray, known: np.ndarray, rank: np.ndarray) -> np.ndarray:
+def prefix(own: np.ndarray, known: np.ndarray, rank: np.ndarray, of: tuple[int, int]) -> np.ndarray:
     """The shingles of which two similar sets share one; known(sorted) have their rank, all others come before them."""
     level = np.zeros(len(own), np.int64)
     if len(known):
         at = np.minimum(np.searchsorted(known, own), len(known) - 1)
         level = np.where(known[at] == own, rank[at], 0)
     n = len(own)
-    return own[np.lexsort((own, level))][: n - -(-PART * n // WHOLE) + 1]
+    return own[np.lexsort((own, level))][: n - -(-of[0] * n // of[1]) + 1]
 
 
-def _prefixes(rows: DataFrame) -> DataFrame:
+def _prefixes(rows: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
     """(h, fp, n_at): each set's prefix once per task, with the set's size and the place in its order, in one number to spare the shuffle."""
-    often = _frequent(rows)
+    often = _frequent(rows, shingle)
     order = np.argsort(often)
     ranked = rows.sparkSession.sparkContext.broadcast((often[order], order + 1))
 
@@ -91,18 +107,18 @@ def _prefixes(rows: DataFrame) -> DataFrame:
         for batch in sliced(batches, "text"):
             out = [np.empty((3, 0), np.int64)]
             for text in raw(batch.column(1)):
-                own = shingles(text)
+                own = shingles(text, shingle)
                 fp = signature(own)
                 if len(own) and fp not in seen:
                     seen.add(fp)
-                    first = prefix(own, known, rank)
+                    first = prefix(own, known, rank, of)
                     out.append(np.stack([first, np.full(len(first), fp), (len(own) << 32) + np.arange(len(first))]))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(out, axis=1)], names=["h", "fp", "n_at"])
 
     return rows.mapInArrow(run, "h bigint, fp bigint, n_at bigint")
 
 
-def _meet(rows: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+def _meet(rows: np.ndarray, low: int, high: int, of: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Rows (h, fp, n, at, class) of whole keys, sorted -> pairs of fp that may be similar, and the rows of keys to go on with."""
     rows = rows[:, np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))] if rows.shape[1] else rows
     pairs = [np.empty((2, 0), np.int64)]
@@ -116,19 +132,19 @@ def _meet(rows: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray
         for k in range(low, int(until.max(initial=0))):
             with_k = (place > k) & (k < until)
             a, b = rows[:, first[with_k] + k], rows[:, (first + place)[with_k]]
-            fits = (a[4] != b[4]) & (WHOLE * np.minimum(a[2], b[2]) >= PART * np.maximum(a[2], b[2]))
-            fits &= (WHOLE + PART) * np.minimum(a[2] - a[3], b[2] - b[3]) >= PART * (a[2] + b[2])
+            fits = (a[4] != b[4]) & (of[1] * np.minimum(a[2], b[2]) >= of[0] * np.maximum(a[2], b[2]))
+            fits &= sum(of) * np.minimum(a[2] - a[3], b[2] - b[3]) >= of[0] * (a[2] + b[2])
             pairs.append(np.stack([a[1, fits], b[1, fits]]))
         rows = rows[:, (first + place)[size > until]]
     return np.unique(np.concatenate(pairs, axis=1), axis=1), rows
 
 
-def _met(rows: DataFrame, low: int, high: int) -> DataFrame:
+def _met(rows: DataFrame, low: int, high: int, of: tuple[int, int]) -> DataFrame:
     """rows(h, fp, n_at), later with class -> (a, b) of the pairs that met, and (h, fp, n_at) of the keys to go on with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(whole: np.ndarray) -> pa.RecordBatch:
-            pairs, left = _meet(whole, low, high)
+            pairs, left = _meet(whole, low, high, of)
             of_pair, of_row = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(left.shape[1], pa.int64())
             columns = [(c, of_row) for c in pairs] + [(of_pair, c) for c in (*left[:2], (left[2] << 32) + left[3])]
             return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()) for x in c]) for c in columns], names=["a", "b", "h", "fp", "n_at"])
@@ -152,18 +168,18 @@ def _met(rows: DataFrame, low: int, high: int) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(run, "a bigint, b bigint, h bigint, fp bigint, n_at bigint")
 
 
-def _checked(rows: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
+def _checked(rows: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
     """The pairs(a, b) whose whole sets are similar."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            found = [shingles(t) for t in raw(batch.column(1))]
+            found = [shingles(t, shingle) for t in raw(batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["fp", "own"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda c: (np.frombuffer(x, np.int64) for x in c.to_pylist())
         for batch in batches:
-            good = [similar(x, y) for x, y in zip(read(batch.column(2)), read(batch.column(3)), strict=True)]
+            both = zip(batch.column(2), batch.column(3), strict=True)  # views, one pair at a time
+            good = [similar(*(np.frombuffer(c.as_buffer(), np.int64) for c in pair), of) for pair in both]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
@@ -175,36 +191,50 @@ def _checked(rows: DataFrame, own: DataFrame, pairs: DataFrame) -> DataFrame:
     return checkpointed(both.mapInArrow(check, "a bigint, b bigint"))
 
 
-def links(rows: DataFrame, own: DataFrame) -> DataFrame:
-    """rows(id, text), own(id, fp) -> (a, b): pairs of similar sets that connect all that such pairs connect."""
+def links(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
+    """rows(id, text), own(id, fp), near(a, b) of first candidates -> (a, b): pairs of similar sets that connect all that such pairs connect."""
+    edges = _checked(rows, own, near, shingle, of)
     low, high = 0, LEADERS
-    met = checkpointed(_met(_prefixes(rows), low, high))
-    edges = None
+    met = checkpointed(_met(_prefixes(rows, shingle, of), low, high, of))
     while True:
-        pairs = checkpointed(met.where("a IS NOT NULL").select("a", "b").distinct())
-        good = _checked(rows, own, pairs)
-        edges = good if edges is None else edges.union(good)
+        parts = checkpointed(connected_components(edges).withColumnRenamed("node", "fp"))
+        pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
+        for c in "ab":
+            pairs = pairs.join(parts.select(F.col("fp").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+        apart = ~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()
+        edges = checkpointed(edges.union(_checked(rows, own, checkpointed(pairs.where(apart).select("a", "b")), shingle, of)))
         left = met.where("h IS NOT NULL").select("h", "fp", "n_at")
         if not left.take(1):
             return edges
         parts = connected_components(edges).withColumnRenamed("node", "fp")
         named = left.join(parts, "fp", "left").select("h", "fp", "n_at", F.coalesce("component", "fp").alias("class"))
         low, high = high, 4 * high
-        met = checkpointed(_met(named, low, high))
+        met = checkpointed(_met(named, low, high, of))
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp, component): of every row, the hash of its set and the least id of those reachable by links."""
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = simhash.RADIUS, crowd: int = simhash.CROWD) -> DataFrame:
+    """(id, fp, component, keeps) of every row, as simhash.classes_of gives them; fp is the hash of the row's set."""
+    of = bound(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(shingles(t)) for t in raw(batch.column(1))], pa.int64())], names=["id", "fp"])
+            found = [hashes(t, shingle) for t in raw(batch.column(1))]
+            both = ([signature(np.unique(h)) for h in found], [simhash.majority(h.view(np.uint64)) for h in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in both)], names=["id", "fp", "bits"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    own = checkpointed(rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint"))
-    return classes_of(own, links(rows, own), id_col)
-
-
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    own = checkpointed(rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint, bits bigint"))
+    # sets of the same bits meet the least of them; bits within the radius meet by their least sets
+    first = checkpointed(own.groupBy("bits").agg(F.min("fp").alias("first")))
+    same = own.select("fp", "bits").distinct().join(first, "bits").where("fp <> first").select(F.col("first").alias("a"), F.col("fp").alias("b"))
+    named = lambda c: first.select(F.col("bits").alias(c), F.col("first").alias(f"of_{c}"))
+    near = simhash.links(first.select(F.col("bits").alias("fp")), radius=radius, crowd=crowd).join(named("a"), "a").join(named("b"), "b")
+    near = checkpointed(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).union(same).distinct())
+    own = own.select("id", "fp")
+    return simhash.classes_of(own, links(rows, own, near, shingle, of))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, **options) -> DataFrame:
     """The documents with their own columns, one of each class, as simhash.deduplicate keeps them."""
-    return keep_first(docs, near_copies(docs, id_col=id_col, text_col=text_col), id_col)
+    named = near_copies(docs, id_col=id_col, text_col=text_col, similarity=similarity, shingle=shingle, **options)
+    return simhash.keep_first(docs, named, lambda t: signature(shingles(t, shingle)), id_col, text_col)

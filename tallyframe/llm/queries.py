@@ -21,7 +21,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+    # the table has a role for every row: the model learns from them and recovers each without seeing its own
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"), trust_roles=False)
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

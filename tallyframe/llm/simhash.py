@@ -16,13 +16,14 @@ rows are kept; an empty table gives no rows; further columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyframe.llm.common import checkpointed, raw, sliced, unused
 from tallyframe.llm.components import connected_components
@@ -34,6 +35,9 @@ BLOCK = 1024
 CROWD = 8192
 #: Crowded keys that are broadcast; more of them are joined by a shuffle.
 FEW = 100_000
+#: Rows of one fingerprint that a join deals by the fingerprint alone; more are dealt over tasks.
+HOT = 1_000
+SALTS = 64
 _CHUNK = 1 << 15
 
 
@@ -49,6 +53,11 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(starts[: len(found) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
     hashes = np.array([hashed(joined[a:b], seed) for a, b in spans], dtype=np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as a signed number; 0 of none."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), _CHUNK):
         ones += np.unpackbits(hashes[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -173,33 +182,84 @@ def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, crowd: int = CROWD, **options) -> DataFrame:
     """(id, fp, component): of every row, the fingerprint and the least id of those reachable by links."""
     own = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, **options))
-    return classes_of(own, links(own.select("fp").distinct(), radius=radius, crowd=crowd), id_col)
+    named = classes_of(own, links(own.select("fp").distinct(), radius=radius, crowd=crowd))
+    return named.select(F.col("id").alias(id_col), "fp", "component")
 
 
-def classes_of(own: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
-    """own(id, fp) and links (a, b) of fp -> (id, fp, component)."""
+def classes_of(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """own(id, fp) and links (a, b) of fp -> (id, fp, component, keeps): keeps is the fp of the class's row of least id (of several the least fp).
+
+    Copies share their fp, so own is dealt by id and fp, and a class's name by fp alone: no group of copies lies in one task."""
     by_fp = own.groupBy("fp").agg(F.min("id").alias("first"))
     parts = connected_components(edges)
     # only fingerprints with a link are in parts
     linked = parts.withColumnRenamed("node", "fp").join(by_fp, "fp")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    # nulls would come first in a struct, yet a null id is the last to name a class
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "fp")
+    least = linked.groupBy("component").agg(F.min(order).alias("least"))
     named = linked.join(least, "component").select("fp", "least")
-    of = by_fp.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component"))
-    return own.join(of, "fp").select(F.col("id").alias(id_col), "fp", "component")
-
+    of = by_fp.join(named, "fp", "left").select("fp", F.coalesce("least.first", "first").alias("component"), F.coalesce("least.fp", "fp").alias("keeps"))
+    return _salted(own, of)
+
+
+def _salted(own: DataFrame, of: DataFrame) -> DataFrame:
+    """own joined with of by fp.  An fp of more than HOT rows is dealt over tasks by a hash of the id, and its line of `of` to each."""
+    hot = checkpointed(own.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("fp"))
+    n = hot.count()
+    if not n:
+        return own.join(of, "fp").select("id", "fp", "component", "keeps")
+    few = F.broadcast(hot) if n <= FEW else hot
+    cold = own.join(few, "fp", "left_anti").join(of, "fp").select("id", "fp", "component", "keeps")
+    lines = of.join(few, "fp", "left_semi")
+    if n <= FEW:  # at most FEW lines: each is brought to the rows, which stay where they are
+        warm = own.join(few, "fp", "left_semi").join(F.broadcast(lines), "fp")
+    else:
+        warm = own.join(few, "fp", "left_semi").withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(lines.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["fp", "s"])
+    return cold.union(warm.select("id", "fp", "component", "keeps"))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, crowd: int = CROWD, similarity: float | None = None, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """The documents with their own columns, one of each class: the row with the least id.
+
+    Classes are links of `radius` bits; with a similarity they are links of that Jaccard similarity between the sets of
+    shingles, for which fingerprints give the first candidates (see near_copies).  Rows that repeat an id are documents
+    of their own: each is in the class of its own text, and two of unlike texts both stay.  Of several rows of a class
+    with its least id one stays, by the least fingerprint and then the least hash of the text.  Rows with a null id stay
+    if their class has no other id, and then one of them."""
+    if similarity is not None:
+        from tallyframe.llm import near_copies
+
+        return near_copies.deduplicate(docs, id_col=id_col, text_col=text_col, similarity=similarity, shingle=shingle, radius=radius, crowd=crowd)
+    own = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
+    named = classes_of(own, links(own.select("fp").distinct(), radius=radius, crowd=crowd))
+    return keep_first(docs, named, lambda t: fingerprint(t, shingle, seed), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, of_text: Callable[[bytes | None], int], id_col: str, text_col: str) -> DataFrame:
+    """The documents that stand for their class; classes(id, fp, component, keeps) has a line for each row, and of_text gives a text's fp.
+
+    An id of one row alone stays or goes as a whole, by an anti join with the ids that go (broadcast while they are few).
+    Only rows that repeat an id need their fp again; where there are none, the documents are read once."""
+    key, own = unused(docs, "_gone", "_fp")
+    stays = F.col("id").eqNullSafe(F.col("component")) & (F.col("fp") == F.col("keeps"))
+    by_id = checkpointed(classes.groupBy("id").agg(F.count("*").alias("n"), F.count_if(stays).alias("kept")).where("n > 1 OR kept = 0").select("id", "n", "kept"))
+    once, several, wanted = by_id.agg(F.count_if(F.expr("n = 1")), F.count_if(F.expr("n > 1")), F.count_if(F.expr("n > 1 AND kept > 0"))).first()
+    gone = by_id.select(F.col("id").alias(key))
+    gone = F.broadcast(gone) if once + several <= FEW else gone
+    out = docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left_anti")
+    if not wanted:
+        return out
+    ids = by_id.where("n > 1 AND kept > 0").select(F.col("id").alias(key))
+    again = docs.join(F.broadcast(ids) if wanted <= FEW else ids, docs[id_col].eqNullSafe(F.col(key)), "left_semi")
+    at = docs.columns.index(text_col)
 
-def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents with their own columns: of each class the one with the least id; of rows that repeat that id, one.
-
-    Rows with a null id stay if their class has no other id, and then one of them."""
-    return keep_first(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, **options), id_col)
-
-
-def keep_first(docs: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
-    """The documents whose id names their class; of rows that repeat that id, one."""
-    key, n = unused(docs, "_keep", "_rows")
-    keep = classes.where(F.col(id_col).eqNullSafe(F.col("component"))).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(n))
-    rows = docs.join(keep, docs[id_col].eqNullSafe(keep[key])).select(*docs.columns, n)
-    once = rows.where(F.col(n) == 1).select(docs.columns)
-    several = rows.where(F.col(n) > 1).select(docs.columns).dropDuplicates([id_col])
-    return once.union(several)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([of_text(t) for t in raw(batch.column(at))], pa.int64())], names=[*batch.schema.names, own])
+
+    read = again.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(own, T.LongType())]))
+    keep = classes.where(stays).join(F.broadcast(ids) if wanted <= FEW else ids, F.col("id").eqNullSafe(F.col(key)), "left_semi").select(F.col("id").alias(key), "fp").distinct()
+    rows = read.join(keep, read[id_col].eqNullSafe(keep[key]) & (read[own] == keep["fp"]), "left_semi")
+    # partial minima first, so a null id of a third of the rows is no group in one task
+    one = rows.groupBy(F.col(id_col).alias(key), own).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(text_col)).alias("row"))
+    return out.union(one.select("row.*"))

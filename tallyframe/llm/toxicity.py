@@ -2,8 +2,8 @@
 
 Voters: entries of a fixed lexicon, disguised spellings of it, shouting patterns, and word stems that the labelled
 sample ties to the label.  A generative label model over all voters (the annotation is one more, fallible voter) is
-fitted by EM: each voter's accuracy given the latent class, and the correlations of a maximum spanning tree of
-conditional mutual information.  Its posterior labels train a linear (logistic) classifier on what the voters and
+fitted by EM, silence counted as speech is: each voter's accuracy given the latent class, and the correlations of a
+maximum spanning tree of conditional mutual information.  Its posterior labels train a linear (logistic) classifier on what the voters and
 weaker stems find; the classifier alone scores documents.
 
 Defined cases: a null or empty text has no votes and gets the score of the intercept; without labels the lexicon's
@@ -145,52 +145,75 @@ def _unlike(found: list[tuple[str, float, float]]) -> list[tuple[str, float, flo
 
 
 class LabelModel:
-    """A latent class with voters that speak or abstain; each depends on the class and on at most one other voter.
+    """A latent class with voters that fire or not; each depends on the class and on at most one other voter.
 
-    The last column is the annotation, which always speaks; the one before is silence: no other voter spoke.
-    Abstaining tells nothing of the class."""
+    Silence counts in the likelihood as speech does.  Both steps of EM serve that one likelihood, with a weak Beta
+    prior at each voter's own rate, and under the bound that a voter fires no less often in its class; so its value
+    (`trace`, once per round) never falls while the voters' tree stays the same.  The last `free` voters are bound by
+    nothing and stand outside the tree: an annotation, if there is one, is such a voter."""
 
     def __init__(self, rounds: int = 15, smooth: float = 1.0):
         self.rounds, self.smooth = rounds, smooth
 
-    def fit(self, votes: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """votes: 0/1, rows by voters; start: first guess of the posterior.  The posterior of class 1."""
+    def fit(self, votes: np.ndarray, start: np.ndarray, prior: float | None = None, free: int = 2) -> np.ndarray:
+        """votes: 0/1, rows by voters; start: first guess of the posterior.  The posterior of class 1.
+
+        prior is the share of class 1, by default that of the last voter: speech alone does not tell it."""
         votes = votes.astype(np.float64)
+        self.free = free
         self.parent = np.full(votes.shape[1], -1)
-        # the balance of the classes is that of the annotation: speech alone does not tell it
-        self.prior = float(np.clip((votes[:, -1].sum() + 1) / (len(votes) + 2), 1e-4, 1 - 1e-4))
+        self.usual = (votes.sum(axis=0) + 0.5) / (len(votes) + 1)
+        share = (votes[:, -1].sum() + 1) / (len(votes) + 2) if prior is None else prior
+        self.prior = float(np.clip(share, 1e-4, 1 - 1e-4))
+        self.trace: list[float] = []
         q = start
         for k in range(self.rounds):
             if k == self.rounds // 3:
-                self.parent = self._tree(votes, q)
+                self.parent = self._tree(votes, q, free)
+                self.trace = []
             self._estimate(votes, q)
             q = self.posterior(votes)
+            self.trace.append(self.likelihood(votes))
         return q
 
     def _estimate(self, votes: np.ndarray, q: np.ndarray) -> None:
         """chance[y, u, j]: that voter j fires given class y and its parent's vote u."""
         up = np.where(self.parent >= 0, votes[:, self.parent], 0.0)
-        self.chance = np.empty((2, 2, votes.shape[1]))
+        fired, seen = np.empty((2, 2, votes.shape[1])), np.empty((2, 2, votes.shape[1]))
         for y, w in enumerate((1 - q, q)):
-            own = (w @ votes + self.smooth * 0.02) / (w.sum() + self.smooth)  # where the parent's value is rare, the voter's own rate
             for u, at in enumerate((1 - up, up)):
-                self.chance[y, u] = (w @ (at * votes) + self.smooth * own) / (w @ at + self.smooth)
-        # a voter speaks for its class: it fires there no less often
-        self.chance = np.clip(self.chance, 1e-5, 1 - 1e-5)
-        self.chance[1, :, :-2] = np.maximum(self.chance[1, :, :-2], self.chance[0, :, :-2])
+                fired[y, u] = w @ (at * votes) + self.smooth * self.usual
+                seen[y, u] = w @ at + self.smooth
+        self.chance = fired / seen
+        # where the bound is broken, its best values are those of both classes together
+        pooled = fired.sum(axis=0) / seen.sum(axis=0)
+        wrong = self.chance[1] < self.chance[0]
+        wrong[:, votes.shape[1] - self.free :] = False
+        self.chance = np.clip(np.where(wrong[None], pooled[None], self.chance), 1e-6, 1 - 1e-6)
+
+    def _joint(self, votes: np.ndarray) -> np.ndarray:
+        """Log chances of class and votes, for both classes."""
+        up = votes[:, self.parent] * (self.parent >= 0)
+        out = []
+        for y in (0, 1):
+            on, off = np.log(self.chance[y]), np.log1p(-self.chance[y])
+            # one product per value of the parent, as most votes are silence
+            base = off[0].sum() + votes @ (on[0] - off[0])
+            more = up @ (off[1] - off[0]) + (up * votes) @ (on[1] - off[1] - on[0] + off[0])
+            out.append(base + more + np.log(self.prior if y else 1 - self.prior))
+        return np.array(out)
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        up = np.where(self.parent >= 0, votes[:, self.parent], 0.0)
-        log = []
-        for y in (0, 1):
-            p = np.where(up > 0, self.chance[y, 1], self.chance[y, 0])
-            spoken = np.where(votes > 0, np.log(p), 0.0)
-            spoken[:, -1] = np.where(votes[:, -1] > 0, np.log(p[:, -1]), np.log1p(-p[:, -1]))
-            log.append(spoken.sum(axis=1) + np.log(self.prior if y else 1 - self.prior))
+        log = self._joint(votes)
         return 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
 
+    def likelihood(self, votes: np.ndarray) -> float:
+        """Of the votes, with the prior on the chances; what both steps raise."""
+        told = np.logaddexp(*self._joint(votes)).sum()
+        return float(told + self.smooth * (self.usual * np.log(self.chance) + (1 - self.usual) * np.log1p(-self.chance)).sum())
+
     @staticmethod
-    def _tree(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
+    def _tree(votes: np.ndarray, q: np.ndarray, free: int) -> np.ndarray:
         """Parents in a maximum spanning forest of the voters' mutual information given the class."""
         j = votes.shape[1]
         info = np.zeros((j, j))
@@ -211,8 +234,8 @@ class LabelModel:
                 parent[k] = link[k]
             closer = ~inside & (info[k] > best)
             best[closer], link[closer] = info[k][closer], k
-        parent[-2:] = -1  # the annotation and silence stand alone
-        parent[np.isin(parent, (j - 1, j - 2))] = -1
+        parent[j - free :] = -1
+        parent[parent >= j - free] = -1
         return parent
 
 
@@ -254,8 +277,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.rows(texts, read) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, sample: int = SAMPLE, voters: int = VOTERS, features: int = FEATURES) -> Model:
-    """Learns labels from rows whose crc32(id) mod `modulus` is not `held_out`, of about `sample` rows at most."""
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", modulus: int = 5, held_out: int = 0, sample: int = SAMPLE, voters: int = VOTERS, features: int = FEATURES, annotated: bool = True) -> Model:
+    """Learns labels from rows whose crc32(id) mod `modulus` is not `held_out`, of about `sample` rows at most.
+
+    With annotated=False the label itself is no voter: it chooses the stems and the balance of the classes alone."""
     rows = labelled_sample(docs, labels, label, remainder("_id", modulus) != held_out, sample, id_col, text_col)
     found = _unlike(stems(rows, CANDIDATES))
     voting = [s for s, g, p in found if g >= EVIDENCE and p >= 0.5][:voters]
@@ -284,10 +309,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         model.weights[-1] = -3.0
         return model
     fired = x[:, : len(names)][:, votes]
-    fired = np.column_stack([fired, ~fired.any(axis=1), y])
+    # EM begins where the voters point; the annotation is one more, fallible voter and nothing else
+    start = np.where(fired.any(axis=1), 0.9, 0.1)
+    fired = np.column_stack([fired, y]) if annotated else fired
     label_model = LabelModel()
-    posterior = label_model.fit(fired, 0.05 + 0.9 * y)
-    own = [n for n, v in zip(names, votes, strict=True) if v] + ["(silence)", "(annotation)"]
+    posterior = label_model.fit(fired, start, float(y.mean()), free=int(annotated))
+    own = [n for n, v in zip(names, votes, strict=True) if v] + ["(annotation)"] * annotated
     model.accuracy = {n: (float(label_model.chance[0, 0, i]), float(label_model.chance[1, 0, i])) for i, n in enumerate(own)}
     model.correlated = [(own[i], own[p]) for i, p in enumerate(label_model.parent) if p >= 0]
     model.weights = logistic(x, posterior)

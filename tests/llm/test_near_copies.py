@@ -2,17 +2,17 @@
 
 import random
 
-from tallyframe.llm import near_copies
+from tallyframe.llm import near_copies, simhash
 
 
-def brute(rows):
+def brute(rows, similarity=0.8):
     """The ids that stay."""
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
     label = [i for i, _ in rows]
     for x in range(len(rows)):
         for y in range(x):
             shared = len(sets[x] & sets[y])
-            if sets[x] == sets[y] or shared and 5 * shared >= 4 * (len(sets[x]) + len(sets[y]) - shared):
+            if sets[x] == sets[y] or shared and 10 * shared >= round(10 * similarity) * (len(sets[x]) + len(sets[y]) - shared):
                 a, b = sorted((label[x], label[y]))
                 label = [a if c == b else c for c in label]
     return {i for (i, _), c in zip(rows, label, strict=True) if i == c}
@@ -54,6 +54,25 @@ def test_pipeline_stage_drops_a_copy_beyond_four_bits(spark, small):
     assert [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, small).collect()] == [1]
 
 
+def test_other_similarities_and_shingles(spark):
+    rows = texts()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    fewer = {r.doc_id for r in simhash.deduplicate(docs, similarity=0.5, shingle=5).collect()}
+    assert fewer == brute(rows, 0.5) and fewer < brute(rows)
+
+
+def test_rows_that_repeat_an_id_are_documents_of_their_own(spark):
+    rng = random.Random(9)
+    say = lambda: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(60))
+    a, b, c = say(), say(), say()
+    rows = [(5, a), (5, b), (3, b), (5, a), (None, c), (None, c), (None, a), (8, c + " end")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(map(tuple, near_copies.deduplicate(docs).collect())) == sorted([(5, a), (3, b), (8, c + " end")])
+    alone = docs.where("doc_id IS NULL OR doc_id = 5")
+    got = sorted(map(tuple, near_copies.deduplicate(alone).collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (None, c)], key=str)
+
+
 def test_rows_with_odd_ids(odd, none):
     out = near_copies.deduplicate(odd)
     assert out.columns == odd.columns and sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 2, 5, 6, 7, 9]

@@ -2,14 +2,13 @@
 
 import re
 
-import public_tokenizers
 import pytest
 
-from tallyframe.llm import bpe, decontamination, simhash, toxicity
+from tallyframe.llm import decontamination, toxicity
 from tallyframe.llm.queries import ORACLES, QUERIES
 
-from test_models import brute_components
-from test_text_operators import brute_hits, brute_lines
+from test_near_copies import brute
+from test_text_operators import TIKTOKEN, brute_hits, brute_lines
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -27,12 +26,10 @@ def test_pipeline_matches_plain_version(spark, small):
     rows = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()]
     rows = [(i, t) for i, t in rows if model.scores([t], read)[0] < toxicity.THRESHOLD]
     cut = brute_lines(rows)
-    fps = [simhash.fingerprint(t.encode()) for t in cut.values()]
-    kept = [i for i, c in zip(cut, brute_components(list(cut), fps), strict=True) if i == c]
+    kept = [i for i in cut if i in brute(list(cut.items()))]  # five words, similarity 0.8, all pairs
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     kept = [i for i in kept if not brute_hits_any(cut[i], items)]
-    codec = bpe.Codec.shared(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert out == {i: codec.encode(cut[i]) for i in kept}
+    assert out == {i: TIKTOKEN.encode_ordinary(cut[i]) for i in kept}
     assert 0 < len(out) < docs.count()
 
 

@@ -192,6 +192,11 @@ def test_decontamination_matches_brute_force(spark):
     cut = decontamination.decontaminate(d, b, remove="spans")
     assert cut.columns == d.columns and cut.count() == d.count()
     assert cut.where("doc_id = 61").first().text == "So: !"
+    for bytes_ in (1 << 20, 120):  # every row, nulls and empty texts among them
+        rows = {r.doc_id: r.text for r in decontamination.decontaminate(d, b, remove="spans", block_bytes=bytes_).collect()}
+        assert rows[60] is None and rows[61] == "So: !"
+        assert all(rows[i] == t for i, t in docs if not expected[i][4])
+        assert all(len(rows[i]) < len(t) for i, t in docs if expected[i][4])
 
 
 def test_decontamination_odd_rows(odd, none, spark):
@@ -199,5 +204,10 @@ def test_decontamination_odd_rows(odd, none, spark):
     out = decontamination.summary(decontamination.scan(odd, bench))
     assert [r.doc_id for r in out.where("contaminated").collect()] == [1]
     assert decontamination.decontaminate(odd, bench).columns == odd.columns
+    spans = decontamination.decontaminate(odd, bench, remove="spans")
+    assert spans.columns == odd.columns and len(spans.collect()) == odd.count()
+    assert {r.doc_id: r.text for r in spans.collect()}[1] == "The  bank today"
+    twice = bench.union(bench)
+    assert decontamination.summary(decontamination.scan(odd, twice)).collect() == decontamination.summary(decontamination.scan(odd, bench)).collect()
     assert decontamination.scan(none, bench).count() == 0
     assert decontamination.scan(odd, bench.where("item_id = 'c'")).where("size(_hits) > 0").count() == 0
