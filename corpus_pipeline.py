@@ -5,14 +5,17 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages r
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyframe.llm import bpe, decontamination, line_dedup, near_copies, toxicity
+from tallyframe.llm import bpe, decontamination, line_dedup, simhash, toxicity
 from tallyframe.llm.common import table
+from tallyframe.session import shared_folder
+
+#: Near copies: sets of five words' shingles of this Jaccard similarity.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +29,8 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word Jaccard similarity 0.8 or more stays."""
-    return near_copies.deduplicate(docs)
+    """One document of each group of near copies stays: candidates by SimHash, then all other pairs of the similarity."""
+    return simhash.deduplicate(docs, shingle=SHINGLE, similarity=SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", reject_toxic),
     ("line_dedup", cut_repeated_lines),
-    ("near_dedup", drop_near_copies),
+    ("simhash_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
     ("byte_bpe", encode),
 ]
@@ -53,13 +56,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages.  What lies between them is written under spark.checkpoint.dir, or a local folder where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    folder = f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    """All stages.  What lies between them is written under the shared folder, and goes once the next stage is written.
+
+    The last table stays, as the result is read from it."""
+    folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    done = None
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if done is not None:
+            _remove(spark, done)
+        done = path
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
