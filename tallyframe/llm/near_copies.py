@@ -7,7 +7,7 @@ in one class already are not looked at again.  No pair is missed.  Shingles have
 that similar, the first shingle they share stands among the first of either (at 0.8: a fifth, and one); only these prefixes meet,
 and what sizes and places rule out is dropped.  Pairs that met are checked on their whole sets.  In a key of many
 documents each is first paired with a few of them; after a round only keys that still hold several components go on,
-with four times as many.  So a group of copies costs its size, not its square, and no pair is left untried that could
+with more that lead, those outside the largest component first.  So a group of copies costs its size, not its square, and no pair is left untried that could
 join two components.
 
 Defined cases: words as in simhash; a text of up to five words is one shingle; null and wordless texts are one class;
@@ -33,8 +33,8 @@ from tallyframe.llm.simhash import FEW
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: One document in so many tells which shingles are frequent, from so many documents on; the broadcast holds MOST of them.
 SAMPLE, OFTEN, MOST = 8, 4, 200_000
-#: Documents of a key that all meet at once; of larger keys each meets LEADERS in the first round.
-SMALL, LEADERS = 16, 4
+#: Documents of a key that all meet at once; of larger keys each meets LEADERS in the first round, and MORE times as many in each that follows.
+SMALL, LEADERS, MORE = 16, 2, 16
 
 
 def hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -118,33 +118,46 @@ def _prefixes(rows: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
     return rows.mapInArrow(run, "h bigint, fp bigint, n_at bigint")
 
 
-def _meet(rows: np.ndarray, low: int, high: int, of: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (h, fp, n, at, class) of whole keys, sorted -> pairs of fp that may be similar, and the rows of keys to go on with."""
+def _meet(rows: np.ndarray, high: int, of: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (h, fp, n, at, class) of whole keys, sorted -> pairs of fp that may be similar, and the rows of keys to go on with.
+
+    Leaders meet all other rows of their key.  They are the rows outside the class that holds most of the key, as rows of
+    one class need not meet; a key is done once all of these have led."""
     rows = rows[:, np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))] if rows.shape[1] else rows
     pairs = [np.empty((2, 0), np.int64)]
     if rows.shape[1]:
+        n = rows.shape[1]
         start = np.flatnonzero(np.concatenate(([True], rows[0, 1:] != rows[0, :-1])))
-        size = np.diff(np.concatenate((start, [rows.shape[1]])))
-        several = np.repeat(np.minimum.reduceat(rows[4], start) != np.maximum.reduceat(rows[4], start), size)
-        first, size = np.repeat(start, size)[several], np.repeat(size, size)[several]
-        place = np.flatnonzero(several) - first
-        until = np.where((low == 0) & (size <= SMALL), size, high)
-        for k in range(low, int(until.max(initial=0))):
-            with_k = (place > k) & (k < until)
-            a, b = rows[:, first[with_k] + k], rows[:, (first + place)[with_k]]
+        size = np.diff(np.concatenate((start, [n])))
+        key = np.repeat(np.arange(len(start)), size)
+        by_class = np.lexsort((rows[4], key))
+        head = np.concatenate(([True], (rows[4, by_class][1:] != rows[4, by_class][:-1]) | (key[by_class][1:] != key[by_class][:-1])))
+        run = np.cumsum(head) - 1
+        members = np.empty(n, np.int64)
+        members[by_class] = np.bincount(run)[run]
+        most = np.maximum.reduceat(members, start)
+        major = np.maximum.reduceat(np.where(members == most[key], rows[4], np.iinfo(np.int64).min), start)
+        of_major = rows[4] == major[key]
+        rows = rows[:, np.lexsort((rows[1], of_major, key))]
+        leaders = (size - most)[key]
+        until = np.where(size[key] <= SMALL, leaders, np.minimum(high, leaders))
+        place = np.arange(n) - start[key]
+        for k in range(int(until.max(initial=0))):
+            others = np.flatnonzero((place > k) & (k < until))
+            a, b = rows[:, start[key[others]] + k], rows[:, others]
             fits = (a[4] != b[4]) & (of[1] * np.minimum(a[2], b[2]) >= of[0] * np.maximum(a[2], b[2]))
             fits &= sum(of) * np.minimum(a[2] - a[3], b[2] - b[3]) >= of[0] * (a[2] + b[2])
             pairs.append(np.stack([a[1, fits], b[1, fits]]))
-        rows = rows[:, (first + place)[size > until]]
-    return np.unique(np.concatenate(pairs, axis=1), axis=1), rows
+        rows = rows[:, until < leaders]
+    return np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1), rows
 
 
-def _met(rows: DataFrame, low: int, high: int, of: tuple[int, int]) -> DataFrame:
+def _met(rows: DataFrame, high: int, of: tuple[int, int]) -> DataFrame:
     """rows(h, fp, n_at), later with class -> (a, b) of the pairs that met, and (h, fp, n_at) of the keys to go on with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(whole: np.ndarray) -> pa.RecordBatch:
-            pairs, left = _meet(whole, low, high, of)
+            pairs, left = _meet(whole, high, of)
             of_pair, of_row = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(left.shape[1], pa.int64())
             columns = [(c, of_row) for c in pairs] + [(of_pair, c) for c in (*left[:2], (left[2] << 32) + left[3])]
             return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()) for x in c]) for c in columns], names=["a", "b", "h", "fp", "n_at"])
@@ -168,8 +181,8 @@ def _met(rows: DataFrame, low: int, high: int, of: tuple[int, int]) -> DataFrame
     return rows.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(run, "a bigint, b bigint, h bigint, fp bigint, n_at bigint")
 
 
-def _checked(rows: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
-    """The pairs(a, b) whose whole sets are similar."""
+def _checked(rows: DataFrame, first: DataFrame, pairs: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
+    """The pairs(a, b) whose whole sets are similar; first(fp, id) names a row for each set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -183,7 +196,7 @@ def _checked(rows: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, of
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    ids = checkpointed(own.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("need")).select("need").distinct())
+    ids = checkpointed(first.join(nodes, "fp", "left_semi").select(F.col("id").alias("need")).distinct())
     need = F.broadcast(ids) if ids.count() <= FEW else ids
     found = checkpointed(rows.join(need, rows["id"].eqNullSafe(need["need"]), "left_semi").mapInArrow(sets, "fp bigint, own binary").dropDuplicates(["fp"]))
     side = lambda c: found.select(F.col("fp").alias(c), F.col("own").alias(f"own_{c}"))
@@ -191,25 +204,26 @@ def _checked(rows: DataFrame, own: DataFrame, pairs: DataFrame, shingle: int, of
     return checkpointed(both.mapInArrow(check, "a bigint, b bigint"))
 
 
-def links(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
-    """rows(id, text), own(id, fp), near(a, b) of first candidates -> (a, b): pairs of similar sets that connect all that such pairs connect."""
-    edges = _checked(rows, own, near, shingle, of)
-    low, high = 0, LEADERS
-    met = checkpointed(_met(_prefixes(rows, shingle, of), low, high, of))
+def components(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
+    """rows(id, text), own(id, fp), near(a, b) of first candidates -> (node, component) of all that similar pairs connect."""
+    first = checkpointed(own.groupBy("fp").agg(F.min("id").alias("id")))  # copies are one row from here on
+    parts = checkpointed(connected_components(_checked(rows, first, near, shingle, of)))
+    left, high = _prefixes(rows, shingle, of), LEADERS
     while True:
-        parts = checkpointed(connected_components(edges).withColumnRenamed("node", "fp"))
+        met = checkpointed(_met(left, high, of))
         pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
         for c in "ab":
-            pairs = pairs.join(parts.select(F.col("fp").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
-        apart = ~F.col("of_a").eqNullSafe(F.col("of_b")) | F.col("of_a").isNull()
-        edges = checkpointed(edges.union(_checked(rows, own, checkpointed(pairs.where(apart).select("a", "b")), shingle, of)))
+            pairs = pairs.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+        apart = checkpointed(pairs.where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b"))
+        good = _checked(rows, first, apart, shingle, of)
+        if good.take(1):  # the classes so far are stars, so few steps bring the new links in
+            parts = checkpointed(connected_components(good.union(parts.select("node", "component"))))
         left = met.where("h IS NOT NULL").select("h", "fp", "n_at")
         if not left.take(1):
-            return edges
-        parts = connected_components(edges).withColumnRenamed("node", "fp")
-        named = left.join(parts, "fp", "left").select("h", "fp", "n_at", F.coalesce("component", "fp").alias("class"))
-        low, high = high, 4 * high
-        met = checkpointed(_met(named, low, high, of))
+            return parts
+        named = parts.select(F.col("node").alias("fp"), "component")
+        left = left.join(named, "fp", "left").select("h", "fp", "n_at", F.coalesce("component", "fp").alias("class"))
+        high *= MORE
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = simhash.RADIUS, crowd: int = simhash.CROWD) -> DataFrame:
@@ -231,7 +245,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     near = simhash.links(first.select(F.col("bits").alias("fp")), radius=radius, crowd=crowd).join(named("a"), "a").join(named("b"), "b")
     near = checkpointed(near.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).union(same).distinct())
     own = own.select("id", "fp")
-    return simhash.classes_of(own, links(rows, own, near, shingle, of))
+    return simhash.classes_of(own, components(rows, own, near, shingle, of))
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, **options) -> DataFrame:

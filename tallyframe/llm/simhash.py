@@ -182,16 +182,15 @@ def _edges(rows: np.ndarray, radius: int) -> pa.RecordBatch:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, crowd: int = CROWD, **options) -> DataFrame:
     """(id, fp, component): of every row, the fingerprint and the least id of those reachable by links."""
     own = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, **options))
-    named = classes_of(own, links(own.select("fp").distinct(), radius=radius, crowd=crowd))
+    named = classes_of(own, connected_components(links(own.select("fp").distinct(), radius=radius, crowd=crowd)))
     return named.select(F.col("id").alias(id_col), "fp", "component")
 
 
-def classes_of(own: DataFrame, edges: DataFrame) -> DataFrame:
-    """own(id, fp) and links (a, b) of fp -> (id, fp, component, keeps): keeps is the fp of the class's row of least id (of several the least fp).
+def classes_of(own: DataFrame, parts: DataFrame) -> DataFrame:
+    """own(id, fp) and the components of linked fp -> (id, fp, component, keeps): keeps is the fp of the class's row of least id (of several the least fp).
 
     Copies share their fp, so own is dealt by id and fp, and a class's name by fp alone: no group of copies lies in one task."""
     by_fp = own.groupBy("fp").agg(F.min("id").alias("first"))
-    parts = connected_components(edges)
     # only fingerprints with a link are in parts
     linked = parts.withColumnRenamed("node", "fp").join(by_fp, "fp")
     # nulls would come first in a struct, yet a null id is the last to name a class
@@ -231,7 +230,7 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
         return near_copies.deduplicate(docs, id_col=id_col, text_col=text_col, similarity=similarity, shingle=shingle, radius=radius, crowd=crowd)
     own = checkpointed(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle, seed=seed))
-    named = classes_of(own, links(own.select("fp").distinct(), radius=radius, crowd=crowd))
+    named = classes_of(own, connected_components(links(own.select("fp").distinct(), radius=radius, crowd=crowd)))
     return keep_first(docs, named, lambda t: fingerprint(t, shingle, seed), id_col, text_col)
 
 
