@@ -29,7 +29,9 @@ from tallyframe.llm.common import SLICE_BYTES, sliced
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
 WIDEST = BUCKETS[-1]
 #: Distinct pieces whose ids a worker remembers; beyond, it forgets all.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Bytes of text whose pieces and ids a worker holds as Python objects at once, some thirty times their size.
+TEXT_BYTES = 1 << 20
 _NONE = np.int64(1 << 40)
 
 
@@ -208,7 +210,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "d
         codec = Codec.shared(ranks_path, pattern)
         if pattern != _PLAIN_FOR:
             codec.split = codec.pattern.findall
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, TEXT_BYTES):
             split = codec.learn([t or "" for t in batch.column(1).to_pylist()])
             rows = []
             for pieces in split:

@@ -41,20 +41,20 @@ def raw(column: pa.Array) -> list:
     return column.cast(pa.binary()).to_pylist()
 
 
-def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that each holds about SLICE_BYTES of text or one document."""
+def sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that each holds about `limit` bytes of text or one document."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        if column.nbytes <= SLICE_BYTES:
+        if column.nbytes <= limit:
             yield batch
             continue
         ends = np.cumsum(np.asarray(pc.binary_length(column).fill_null(0), dtype=np.int64))
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
