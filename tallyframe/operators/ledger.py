@@ -5,11 +5,14 @@ Journal lines: entry_id, entry_date, source_kind, source_id, party, activity, re
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.money import MONEY, total
 from tallyframe.operators import accounts as A
+from tallyframe.session import checkpointed, small
 
 LINE_COLUMNS = ["entry_id", "entry_date", "source_kind", "source_id", "party", "activity", "reverses_id", "account", "debit", "credit"]
 
@@ -23,15 +26,28 @@ def period(date: Column) -> Column:
     return F.coalesce(F.date_format(date, "yyyy-MM"), F.lit("0000-00"))
 
 
-def _line(account: Column | str, debit: Column | None = None, credit: Column | None = None) -> Column:
-    account = F.lit(account) if isinstance(account, str) else account
-    return F.struct(account.alias("account"), (zero() if debit is None else debit.cast(MONEY)).alias("debit"), (zero() if credit is None else credit.cast(MONEY)).alias("credit"))
+Line = tuple[Column | str, Column | None, Column | None]
+
+
+def _explode(entries: DataFrame, lines: list[Line], other: list[Line] | None = None, when: Column | None = None) -> DataFrame:
+    """A row per line (account, debit, credit); lines of nothing are left out.  `other` stands instead where `when` does not hold.
 
+    Rows are numbered first and each takes its own line, so amounts are columns that are computed once, in compiled code."""
+    k = F.col("_k")
+    other = other or lines
+    none = (F.lit(None).cast("string"), None, None)
 
-def _explode(entries: DataFrame, lines: Column) -> DataFrame:
-    """A row per line; lines of nothing are left out."""
-    some = F.filter(lines, lambda x: (x["debit"] != 0) | (x["credit"] != 0))
-    return entries.withColumn("_l", F.explode(some)).select(*[c for c in LINE_COLUMNS if c not in ("account", "debit", "credit")], "_l.*")
+    def pick(part: int, own: Callable[[Column | str | None], Column]) -> Column:
+        out = F.lit(None)
+        for n in range(max(len(lines), len(other)) - 1, -1, -1):
+            a, b = (own((x[n] if n < len(x) else none)[part]) for x in (lines, other))
+            out = F.when(k == n, a if when is None else F.when(when, a).otherwise(b)).otherwise(out)
+        return out
+
+    amount = lambda c: zero() if c is None else c.cast(MONEY)
+    numbered = entries.withColumn("_k", F.explode(F.array(*[F.lit(n) for n in range(max(len(lines), len(other)))])))
+    out = numbered.select(*[c for c in LINE_COLUMNS if c not in ("account", "debit", "credit")], pick(0, lambda c: F.lit(c) if isinstance(c, str) else c).alias("account"), pick(1, amount).cast(MONEY).alias("debit"), pick(2, amount).cast(MONEY).alias("credit"))
+    return out.where("debit <> 0 OR credit <> 0")
 
 
 def _entry(df: DataFrame, **columns: Column) -> DataFrame:
@@ -51,9 +67,9 @@ def accruals(invoices: DataFrame, *, deductible: bool = True) -> DataFrame:
     fixed = invoices.withColumns(repaired_amounts(F.col("total"), F.col("subtotal"), F.col("tax"))).where("total > 0")
     entries = _entry(fixed, entry_id=F.concat(F.lit("acc-"), F.col("hash")), entry_date=F.col("date"), source_kind=F.lit("invoice"), source_id=F.col("hash"), party=F.col("party"))
     net = F.col("subtotal") if deductible else F.col("total")
-    ap = F.array(_line(F.col("account"), debit=net), _line(A.INPUT_TAX, debit=F.col("tax") if deductible else zero()), _line(A.PAYABLE, credit=F.col("total")))
-    ar = F.array(_line(A.RECEIVABLE, debit=F.col("total")), _line(F.col("account"), credit=F.col("subtotal")), _line(A.OUTPUT_TAX, credit=F.col("tax")))
-    return _explode(entries, F.when(F.col("direction") == "AR", ar).otherwise(ap))
+    ap = [(F.col("account"), net, None), (A.INPUT_TAX, F.col("tax") if deductible else None, None), (A.PAYABLE, None, F.col("total"))]
+    ar = [(A.RECEIVABLE, F.col("total"), None), (F.col("account"), None, F.col("subtotal")), (A.OUTPUT_TAX, None, F.col("tax"))]
+    return _explode(entries, ar, ap, F.col("direction") == "AR")
 
 
 def settlements(paid: DataFrame) -> DataFrame:
@@ -63,15 +79,16 @@ def settlements(paid: DataFrame) -> DataFrame:
     activity = F.when(F.col("nature").startswith("15") | F.col("nature").startswith("16"), "investing").otherwise("operating")
     entries = _entry(paid.where("settle > 0"), entry_id=F.concat(F.lit("set-"), F.col("hash")), entry_date=F.col("date"), source_kind=F.lit("settlement"), source_id=F.col("hash"), party=F.col("party"), activity=activity)
     cash = F.col("settle") - F.col("diff")
-    ar = F.array(_line(A.CASH, debit=cash), _line(F.col("diff_account"), debit=F.greatest(F.col("diff"), zero()), credit=F.greatest(-F.col("diff"), zero())), _line(A.RECEIVABLE, credit=F.col("settle")))
-    ap = F.array(_line(A.PAYABLE, debit=F.col("settle")), _line(F.col("diff_account"), debit=F.greatest(-F.col("diff"), zero()), credit=F.greatest(F.col("diff"), zero())), _line(A.CASH, credit=cash))
-    return _explode(entries, F.when(F.col("direction") == "AR", ar).otherwise(ap))
+    more, less = F.greatest(F.col("diff"), zero()), F.greatest(-F.col("diff"), zero())
+    ar = [(A.CASH, cash, None), (F.col("diff_account"), more, less), (A.RECEIVABLE, None, F.col("settle"))]
+    ap = [(A.PAYABLE, F.col("settle"), None), (F.col("diff_account"), less, more), (A.CASH, None, cash)]
+    return _explode(entries, ar, ap, F.col("direction") == "AR")
 
 
 def manual_entries(rows: DataFrame) -> DataFrame:
     """rows(id, date, debit_account, credit_account, amount, activity, kind) -> two lines each."""
     entries = _entry(rows.where("amount > 0"), entry_id=F.concat_ws("-", F.col("kind"), F.col("id")), entry_date=F.col("date"), source_kind=F.col("kind"), source_id=F.col("id"), activity=F.col("activity"))
-    return _explode(entries, F.array(_line(F.col("debit_account"), debit=F.col("amount")), _line(F.col("credit_account"), credit=F.col("amount"))))
+    return _explode(entries, [(F.col("debit_account"), F.col("amount"), None), (F.col("credit_account"), None, F.col("amount"))])
 
 
 def reversals(lines: DataFrame) -> DataFrame:
@@ -99,16 +116,26 @@ def entry_audit(lines: DataFrame) -> DataFrame:
 
 
 def voucher_numbers(lines: DataFrame) -> DataFrame:
-    """YYYYMM-NNNN per entry, counted within its period by date and id."""
+    """YYYYMM-NNNN per entry, counted within its period by date and id.
+
+    Entries are dealt by ranges of that order, so a period of any size lies over several tasks; each place in a range is
+    counted on from the entries of its period in the ranges before (a row per range and period, two small numbers)."""
+    order = ["period", "entry_date", "entry_id"]
     entries = lines.select("entry_id", "entry_date").distinct().withColumn("period", period(F.col("entry_date")))
-    n = F.row_number().over(Window.partitionBy("period").orderBy("entry_date", "entry_id"))
+    ranged = checkpointed(entries.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("at", F.monotonically_increasing_id())
+    placed = ranged.withColumn("part", F.shiftright("at", 33))
+    ranges = placed.groupBy("part", "period").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("period").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("part", "period", (F.col("first") - before).alias("start"))
+    entries = placed.join(small(ranges), ["part", "period"])
+    n = F.col("at") - F.col("start") + 1
     return entries.select("entry_id", "period", F.format_string("%s-%04d", F.regexp_replace("period", "-", ""), n).alias("voucher_no"))
 
 
 def _unreversed(lines: DataFrame) -> DataFrame:
     """Lines of entries that are neither reversals nor reversed."""
     gone = lines.where("reverses_id IS NOT NULL").select(F.col("reverses_id").alias("entry_id")).distinct()
-    return lines.where("reverses_id IS NULL").join(gone, "entry_id", "left_anti")
+    return lines.where("reverses_id IS NULL").join(small(gone), "entry_id", "left_anti")
 
 
 def open_items(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.money import REPORT, total
 from tallyframe.operators import accounts as A
+from tallyframe.session import checkpointed
 
 
 
@@ -117,7 +118,7 @@ def cash_flow_indirect(lines: DataFrame, chart: DataFrame) -> DataFrame:
 
 def tie_out_checks(lines: DataFrame, chart: DataFrame) -> DataFrame:
     """One row: E1 assets = liabilities + equity, E2 business net income = unclosed + closed, E3 cash, E4 direct = indirect, E6 all accounts classified, and whether statements can be issued."""
-    sums = summary(lines)
+    sums = checkpointed(summary(lines))  # a few rows, which five reports read
     sheet = _sheet(sums, chart).where("line = 'Total'").agg(*[F.coalesce(total(F.when(F.col("section") == s, F.col("amount"))), zero()).alias(s) for s in ("assets", "liabilities", "equity")])
     by_line = by_report_line(sums, chart)
     unclosed = _income_row(by_line).select(F.col("NetIncome").alias("unclosed"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.operators import reports
+from tallyframe.operators import ledger, reports
 from tallyframe.operators.documents import latest
 from tallyframe.operators.ledger import entry_audit, trial_balance
+from tallyframe.session import checkpointed
 
 
 def append_audit(events: DataFrame, path: str) -> None:
@@ -45,3 +46,25 @@ def write_documents(documents: DataFrame, path: str, fmt: str = "parquet") -> No
     for name in arrays:
         each = documents.select("doc_id", F.posexplode(name).alias("n", "x")).select("doc_id", "n", "x.*")
         each.write.mode("overwrite").format(fmt).option("header", True).save(f"{path}/{name}")
+
+
+def post_journal(lines: DataFrame, path: str) -> int:
+    """Appends entries and their lines under the path, lines first, so that an entry in the headers has all its lines; how many were posted.
+
+    Entries that do not balance, or are there already, are left out.  Lines are partitioned by period; one writer at a time."""
+    spark = lines.sparkSession
+    audit = ledger.entry_audit(lines).where("balanced").select("entry_id")
+    known = _read(spark, f"{path}/entries")
+    fresh = audit if known is None else audit.join(known.select("entry_id"), "entry_id", "left_anti")
+    rows = checkpointed(lines.join(fresh, "entry_id", "left_semi").withColumn("period", ledger.period(F.col("entry_date"))))
+    heads = rows.groupBy("entry_id").agg(F.min("entry_date").alias("entry_date"), F.min("source_kind").alias("source_kind"), F.min("source_id").alias("source_id"), F.min("period").alias("period"), F.count("*").alias("n_lines"))
+    n = heads.count()
+    if n:
+        rows.write.mode("append").partitionBy("period").parquet(f"{path}/lines")
+        heads.write.mode("append").parquet(f"{path}/entries")
+    return n
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None

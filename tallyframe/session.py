@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local(cores: str = "*", app: str = "tallyframe", partitions: int = 8) -> SparkSession:
@@ -45,3 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+#: Rows that small() broadcasts at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df computed and kept, with a hint to broadcast it if it has no more than `rows`."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
