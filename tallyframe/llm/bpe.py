@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from tallyframe.llm.common import SLICE_BYTES, sliced
 
-BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256)
+BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 256, 512, 1024, 2048, 4096)
 WIDEST = BUCKETS[-1]
 #: Distinct pieces whose ids a worker remembers; beyond, it forgets all.
 REMEMBERED = 150_000

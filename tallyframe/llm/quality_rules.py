@@ -57,8 +57,8 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     base = base.withColumn("_p", _packed())
     near = F.expr(f"filter(_p, (x, k) -> (get(_p, k - 1) & {~_AT}L) = (x & {~_AT}L) OR (get(_p, k + 1) & {~_AT}L) = (x & {~_AT}L))")
     base = base.withColumn("_t", near)
-    counted = base.select(
-        "_id",
+    # a row of its own for each text: what is asked of the counts later is answered after them, and not by computing them again
+    counts = F.struct(
         n.cast("long").alias("n_words"),
         F.length(F.concat_ws("", "_words")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("_text", rf"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -71,6 +71,7 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         F.size(F.filter("_lines", lambda x: x.rlike(rf"^[{SPACE}]*[{SYMBOLS}]"))).alias("n_symbol_lines"),
         F.size(F.filter("_words", lambda w: F.length(w) > 40)).alias("n_long_words"),
     )
+    counted = base.select("_id", F.inline(F.array(counts)))
     ratio = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
     return counted.withColumns(
         {

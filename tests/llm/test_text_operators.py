@@ -104,7 +104,7 @@ def test_secrets_odd_rows(odd, none):
 def test_bpe_is_what_the_library_gives(spark):
     rng = random.Random(5)
     parts = ["a", "th", "e ", "  ", "\n", "\t", "\x1c", "\x85", " ", "漢", "é", "½", "²", "Ⅷ", "'s", "'S", "<|endoftext|>", "😀", "​", "ɐ", "_", "\x00", "٣", "lly", "1"]
-    texts = [(i, "".join(rng.choices(parts, k=rng.randint(0, 50)))) for i in range(400)] + [(1000 + i, "".join(rng.choices("abcdeth", k=n))) for i, n in enumerate((200, 257, 3000))]
+    texts = [(i, "".join(rng.choices(parts, k=rng.randint(0, 50)))) for i in range(400)] + [(1000 + i, "".join(rng.choices("abcdeth", k=n))) for i, n in enumerate((200, 257, 3000, 4095, 4097, 9000))]
     out = bpe.tokenize(spark.createDataFrame(texts, "doc_id int, text string"), PATH, public_tokenizers.PATTERN)
     by_id = dict(texts)
     for r in out.collect():
@@ -147,6 +147,25 @@ def test_quality_counts_match_brute_force(spark):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_filters_stay_above_the_counts(odd, none):
+    judged = quality_rules.judged(odd)
+    good = judged.where("NOT base_failed AND n_words < 50").select("doc_id", F.explode(F.array_append("broken_rules", F.lit("-"))).alias("rule"))
+    expected = {r.doc_id for r in judged.collect() if not r.base_failed and r.n_words < 50}
+    assert {r.doc_id for r in good.collect()} == expected
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_quality_counts_where_packed_hashes_would_collide(spark, monkeypatch):
+    """With places of few bits upper halves agree by chance, and texts have more windows than places."""
+    rng = random.Random(17)
+    texts = [(i, " ".join(rng.choices("abc", k=rng.randint(10, 90)))) for i in range(60)]
+    for bits in (3, 62):
+        monkeypatch.setattr(quality_rules, "_AT", (1 << bits) - 1)
+        for r in quality_rules.judged(spark.createDataFrame(texts, "doc_id int, text string")).collect():
+            assert r.n_repeat_words == brute_quality(texts[r.doc_id][1])[4]
+
+
 def test_quality_odd_rows(odd, none):
     rows = quality_rules.judged(odd).collect()
     assert len(rows) == odd.count()
