@@ -7,7 +7,7 @@ in one class already are not looked at again.  No pair is missed.  Shingles have
 that similar, the first shingle they share stands among the first of either (at 0.8: a fifth, and one); only these prefixes meet,
 and what sizes and places rule out is dropped.  Pairs that met are checked on their whole sets.  In a key of many
 documents each is first paired with a few of them; after a round only keys that still hold several components go on,
-with more that lead, those outside the largest component first.  So a group of copies costs its size, not its square, and no pair is left untried that could
+and there those outside the largest component alone meet more.  So a group of copies costs its size, not its square, and no pair is left untried that could
 join two components.
 
 Defined cases: words as in simhash; a text of up to five words is one shingle; null and wordless texts are one class;
@@ -33,8 +33,8 @@ from tallyframe.llm.simhash import FEW
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: One document in so many tells which shingles are frequent, from so many documents on; the broadcast holds MOST of them.
 SAMPLE, OFTEN, MOST = 8, 4, 200_000
-#: Documents of a key that all meet at once; of larger keys each meets LEADERS in the first round, and MORE times as many in each that follows.
-SMALL, LEADERS, MORE = 16, 2, 16
+#: Documents of a key that all meet at once; in larger keys each meets WIDTH others in the first round, and MORE times as many in each that follows.
+SMALL, WIDTH, MORE = 16, 2, 8
 
 
 def hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -118,11 +118,11 @@ def _prefixes(rows: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
     return rows.mapInArrow(run, "h bigint, fp bigint, n_at bigint")
 
 
-def _meet(rows: np.ndarray, high: int, of: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+def _meet(rows: np.ndarray, width: int, of: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Rows (h, fp, n, at, class) of whole keys, sorted -> pairs of fp that may be similar, and the rows of keys to go on with.
 
-    Leaders meet all other rows of their key.  They are the rows outside the class that holds most of the key, as rows of
-    one class need not meet; a key is done once all of these have led."""
+    Rows outside the class that holds most of a key meet the `width` rows after them, around the key in the order of fp.
+    A key is done once they have met all others, or once it is of one class; rows of one class need not meet."""
     rows = rows[:, np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))] if rows.shape[1] else rows
     pairs = [np.empty((2, 0), np.int64)]
     if rows.shape[1]:
@@ -137,27 +137,26 @@ def _meet(rows: np.ndarray, high: int, of: tuple[int, int]) -> tuple[np.ndarray,
         members[by_class] = np.bincount(run)[run]
         most = np.maximum.reduceat(members, start)
         major = np.maximum.reduceat(np.where(members == most[key], rows[4], np.iinfo(np.int64).min), start)
-        of_major = rows[4] == major[key]
-        rows = rows[:, np.lexsort((rows[1], of_major, key))]
-        leaders = (size - most)[key]
-        until = np.where(size[key] <= SMALL, leaders, np.minimum(high, leaders))
+        leads = rows[4] != major[key]
+        until = np.where(size <= SMALL, size - 1, np.minimum(width, size - 1))[key]
         place = np.arange(n) - start[key]
-        for k in range(int(until.max(initial=0))):
-            others = np.flatnonzero((place > k) & (k < until))
-            a, b = rows[:, start[key[others]] + k], rows[:, others]
+        leaders = np.flatnonzero(leads)
+        for d in range(1, int(until[leaders].max(initial=0)) + 1):
+            leaders = leaders[until[leaders] >= d]
+            a, b = rows[:, leaders], rows[:, start[key[leaders]] + (place[leaders] + d) % size[key[leaders]]]
             fits = (a[4] != b[4]) & (of[1] * np.minimum(a[2], b[2]) >= of[0] * np.maximum(a[2], b[2]))
             fits &= sum(of) * np.minimum(a[2] - a[3], b[2] - b[3]) >= of[0] * (a[2] + b[2])
             pairs.append(np.stack([a[1, fits], b[1, fits]]))
-        rows = rows[:, until < leaders]
+        rows = rows[:, ((size - 1 > np.where(size <= SMALL, size, width)) & (size > most))[key]]
     return np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1), rows
 
 
-def _met(rows: DataFrame, high: int, of: tuple[int, int]) -> DataFrame:
+def _met(rows: DataFrame, width: int, of: tuple[int, int]) -> DataFrame:
     """rows(h, fp, n_at), later with class -> (a, b) of the pairs that met, and (h, fp, n_at) of the keys to go on with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(whole: np.ndarray) -> pa.RecordBatch:
-            pairs, left = _meet(whole, high, of)
+            pairs, left = _meet(whole, width, of)
             of_pair, of_row = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(left.shape[1], pa.int64())
             columns = [(c, of_row) for c in pairs] + [(of_pair, c) for c in (*left[:2], (left[2] << 32) + left[3])]
             return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()) for x in c]) for c in columns], names=["a", "b", "h", "fp", "n_at"])
@@ -208,9 +207,9 @@ def components(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, o
     """rows(id, text), own(id, fp), near(a, b) of first candidates -> (node, component) of all that similar pairs connect."""
     first = checkpointed(own.groupBy("fp").agg(F.min("id").alias("id")))  # copies are one row from here on
     parts = checkpointed(connected_components(_checked(rows, first, near, shingle, of)))
-    left, high = _prefixes(rows, shingle, of), LEADERS
+    left, width = _prefixes(rows, shingle, of), WIDTH
     while True:
-        met = checkpointed(_met(left, high, of))
+        met = checkpointed(_met(left, width, of))
         pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
         for c in "ab":
             pairs = pairs.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
@@ -223,7 +222,7 @@ def components(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, o
             return parts
         named = parts.select(F.col("node").alias("fp"), "component")
         left = left.join(named, "fp", "left").select("h", "fp", "n_at", F.coalesce("component", "fp").alias("class"))
-        high *= MORE
+        width *= MORE
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = simhash.RADIUS, crowd: int = simhash.CROWD) -> DataFrame:
