@@ -29,6 +29,7 @@ from tallyframe.llm.common import checkpointed, raw, sliced
 from tallyframe.llm.components import connected_components
 from tallyframe.llm import simhash
 from tallyframe.llm.simhash import FEW
+from tallyframe.session import BROADCAST_ROWS
 
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: One document in so many tells which shingles are frequent, from so many documents on; the broadcast holds MOST of them.
@@ -151,12 +152,15 @@ def _meet(rows: np.ndarray, width: int, of: tuple[int, int]) -> tuple[np.ndarray
     return np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1), rows
 
 
-def _met(rows: DataFrame, width: int, of: tuple[int, int]) -> DataFrame:
-    """rows(h, fp, n_at), later with class -> (a, b) of the pairs that met, and (h, fp, n_at) of the keys to go on with."""
+def _met(rows: DataFrame, width: int, of: tuple[int, int], *, dealt: bool = False, later: bool = False) -> DataFrame:
+    """rows(h, fp, n_at), later with class -> (a, b) of the pairs that met, and (h, fp, n_at) of the keys to go on with (later: one row that there are some).
+
+    dealt rows lie by key already, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(whole: np.ndarray) -> pa.RecordBatch:
             pairs, left = _meet(whole, width, of)
+            left = left[:, :1] if later else left
             of_pair, of_row = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(left.shape[1], pa.int64())
             columns = [(c, of_row) for c in pairs] + [(of_pair, c) for c in (*left[:2], (left[2] << 32) + left[3])]
             return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(x, pa.int64()) for x in c]) for c in columns], names=["a", "b", "h", "fp", "n_at"])
@@ -177,7 +181,8 @@ def _met(rows: DataFrame, width: int, of: tuple[int, int]) -> DataFrame:
         if parts:
             yield out(np.concatenate(parts, axis=1))
 
-    return rows.repartition("h").sortWithinPartitions("h", "fp").mapInArrow(run, "a bigint, b bigint, h bigint, fp bigint, n_at bigint")
+    by_key = rows if dealt else rows.repartition("h").sortWithinPartitions("h", "fp")
+    return by_key.mapInArrow(run, "a bigint, b bigint, h bigint, fp bigint, n_at bigint")
 
 
 def _checked(rows: DataFrame, first: DataFrame, pairs: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
@@ -207,22 +212,26 @@ def components(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, o
     """rows(id, text), own(id, fp), near(a, b) of first candidates -> (node, component) of all that similar pairs connect."""
     first = checkpointed(own.groupBy("fp").agg(F.min("id").alias("id")))  # copies are one row from here on
     parts = checkpointed(connected_components(_checked(rows, first, near, shingle, of)))
-    left, width = _prefixes(rows, shingle, of), WIDTH
+    met, width = checkpointed(_met(_prefixes(rows, shingle, of), WIDTH, of)), WIDTH
+    # keys to go on with; the rows of a key lie together, in order, in one partition of what is kept, so later rounds don't deal them again
+    left = met.where("h IS NOT NULL").select("h", "fp", "n_at")
     while True:
-        met = checkpointed(_met(left, width, of))
+        few = parts.count() <= BROADCAST_ROWS
+        known = F.broadcast(parts) if few else parts
         pairs = met.where("a IS NOT NULL").select("a", "b").distinct()
         for c in "ab":
-            pairs = pairs.join(parts.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
+            pairs = pairs.join(known.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left")
         apart = checkpointed(pairs.where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b"))
         good = _checked(rows, first, apart, shingle, of)
         if good.take(1):  # the classes so far are stars, so few steps bring the new links in
             parts = checkpointed(connected_components(good.union(parts.select("node", "component"))))
-        left = met.where("h IS NOT NULL").select("h", "fp", "n_at")
-        if not left.take(1):
+        if not met.where("h IS NOT NULL").take(1):
             return parts
-        named = parts.select(F.col("node").alias("fp"), "component")
-        left = left.join(named, "fp", "left").select("h", "fp", "n_at", F.coalesce("component", "fp").alias("class"))
+        few = parts.count() <= BROADCAST_ROWS
+        named = (F.broadcast(parts) if few else parts).select(F.col("node").alias("fp"), "component")
+        classed = left.join(named, "fp", "left").select("h", "fp", "n_at", F.coalesce("component", "fp").alias("class"))
         width *= MORE
+        met = checkpointed(_met(classed, width, of, dealt=few, later=True))
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = simhash.RADIUS, crowd: int = simhash.CROWD) -> DataFrame:
