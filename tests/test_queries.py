@@ -45,6 +45,11 @@ def test_query_runs(spark, small, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
 
 
+def test_nothing_else_imports_the_text_operators():
+    root = Path(__file__).resolve().parents[1] / "tallyframe"
+    assert not [str(f) for f in root.rglob("*.py") if "llm" not in f.parts and "tallyframe.llm" in f.read_text()]
+
+
 def test_entry_works_without_the_text_operators(tmp_path):
     root = Path(__file__).resolve().parents[1]
     copy = tmp_path / "repo"
