@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyframe.llm import chat_format, common, components, language_id, quality_model, simhash, toxicity
+from tallyframe.llm import chat_format, common, language_id, quality_model, simhash, toxicity
+from tallyframe.operators import components
 
 
 @pytest.fixture(scope="module")
