@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyframe.functions.text import jaccard, party_key
+from tallyframe.session import checkpointed
 
 SUGGEST, SAME, TOP = 0.62, 0.86, 5
 ROLES = ["self", "vendor", "customer"]
@@ -60,38 +62,80 @@ def _pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     return _prefixes(left, "a", counts, least).join(_prefixes(right, "b", counts, least), "t").select("a", "b").distinct()
 
 
-def _keys(names: DataFrame, parties: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _keys(names: DataFrame, parties: DataFrame, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Distinct keys asked (a), and keys of active parties, by name and by alias (party_id, b)."""
     left = names.select(party_key(F.col("name")).alias("a")).where("a <> ''").distinct()
-    return left, parties.select("party_id", party_key(F.col("name")).alias("b")).where("b <> ''")
+    active = parties.where(F.coalesce("status", F.lit("active")) == "active") if "status" in parties.columns else parties
+    right = active.select("party_id", party_key(F.col("name")).alias("b"))
+    if aliases is not None:
+        right = right.unionByName(aliases.select("party_id", party_key(F.col("alias")).alias("b")).join(active.select("party_id"), "party_id", "left_semi"))
+    return left, right.where("b <> ''").distinct()
 
 
 def _best(scored: DataFrame, right: DataFrame, least: float, top: int) -> DataFrame:
+    """The best `top` parties of each name; a party counts by the best of its keys (of equal ones the first)."""
     found = scored.where(F.col("score") >= least).join(right, "b")
+    one = found.groupBy("a", "party_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("k")).select("a", "party_id", F.col("k.b").alias("b"), (-F.col("k.s")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "party_id"))
-    ranked = found.withColumn("rank", rank).where(F.col("rank") <= top)
+    ranked = one.withColumn("rank", rank).where(F.col("rank") <= top)
     return ranked.select(F.col("a").alias("norm"), "party_id", F.col("b").alias("party_norm"), "score", "rank", (F.col("score") >= SAME).alias("likely_same"))
 
 
-def jaccard_candidates(names: DataFrame, parties: DataFrame, *, least: float = SUGGEST, top: int = TOP) -> DataFrame:
-    """Per name the `top` parties whose token sets overlap by `least` or more."""
-    left, right = _keys(names, parties)
+def jaccard_candidates(names: DataFrame, parties: DataFrame, aliases: DataFrame | None = None, *, least: float = SUGGEST, top: int = TOP) -> DataFrame:
+    """Per name the `top` parties whose token sets, by name or alias, overlap by `least` or more."""
+    left, right = _keys(names, parties, aliases)
     scored = _pairs(left, right.select("b").distinct(), least).withColumn("score", jaccard(F.col("a"), F.col("b")))
     return _best(scored, right, least, top)
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp, which Spark has not."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-
-def fuzzy_candidates(names: DataFrame, parties: DataFrame, *, least: float = SUGGEST, top: int = TOP, share: float = 0.34) -> DataFrame:
-    """As jaccard_candidates, by the better of token overlap and sequence ratio.
-
-    Compared are names that can share a third of their tokens, and names with the same consonants; a ratio over other pairs is not sought."""
-    left, right = _keys(names, parties)
-    distinct = right.select("b").distinct()
-    bones = lambda c: F.regexp_replace(F.col(c), r"[aeiou\s]+|(.)(?=\1)", "")
-    alike = left.withColumn("k", bones("a")).join(distinct.withColumn("k", bones("b")), "k").where("k <> ''").select("a", "b")
-    pairs = _pairs(left, distinct, share).union(alike).distinct()
-    return _best(pairs.withColumn("score", F.greatest(jaccard(F.col("a"), F.col("b")), sequence_ratio("a", "b"))), right, least, top)
+#: Names asked that one pass over the parties carries, and columns that characters are counted in.
+ASKED, COLUMNS = 4_000, 64
+
+
+def _letters(keys: list[str]) -> np.ndarray:
+    """How often each key has characters of each column; unlike characters may share one, which only raises the bound."""
+    out = np.zeros((len(keys), COLUMNS), dtype=np.int32)
+    for row, key in enumerate(keys):
+        for c, n in Counter(key).items():
+            out[row, ord(c) % COLUMNS] += n
+    return out
+
+
+def _alike(asked: list[str], parties: DataFrame, least: float) -> DataFrame:
+    """(a, b, score) of the names asked and all party keys b whose sequence ratio is `least` or more.
+
+    The ratio is at most twice the shared characters by the sum of lengths; only pairs that this lets through are compared."""
+    letters, sizes = _letters(asked), np.array([len(a) for a in asked])
+    floor = least - 1e-9  # the bound may not lose a ratio of just `least` to rounding
+
+    def run(batches):
+        for pdf in batches:
+            keys = pdf["b"].to_numpy()
+            mine, lengths = _letters(keys), np.array([len(b) for b in keys])
+            out = []
+            for a, counts, size in zip(asked, letters, sizes, strict=True):
+                near = np.flatnonzero(2 * np.minimum(lengths, size) >= floor * (lengths + size))
+                shared = np.minimum(mine[near], counts).sum(axis=1)
+                for k in near[2 * shared >= floor * (lengths[near] + size)]:
+                    ratio = difflib.SequenceMatcher(None, a, keys[k]).ratio()
+                    if ratio >= least:
+                        out.append((a, keys[k], ratio))
+            yield pd.DataFrame(out, columns=["a", "b", "score"]).astype({"a": object, "b": object, "score": float})
+
+    return parties.mapInPandas(run, "a string, b string, score double")
+
+
+def fuzzy_candidates(names: DataFrame, parties: DataFrame, aliases: DataFrame | None = None, *, least: float = SUGGEST, top: int = TOP, block: int = ASKED) -> DataFrame:
+    """As jaccard_candidates, by the better of token overlap and sequence ratio (Ratcliff-Obershelp, which Spark has not).
+
+    The names asked are a set of queries: blocks of about `block` of them go to all tasks, and every party key is held
+    against every one, so none is missed.  Names and parties without a key have no row."""
+    left, right = _keys(names, parties, aliases)
+    distinct = checkpointed(right.select("b").distinct())
+    left = checkpointed(left)
+    blocks = -(-left.count() // block)
+    scored = _pairs(left, distinct, least).withColumn("score", jaccard(F.col("a"), F.col("b")))
+    for n in range(blocks):
+        asked = [r.a for r in left.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == n).collect()]
+        scored = scored.unionByName(_alike(asked, distinct, least))
+    return _best(scored, right, least, top)
