@@ -5,7 +5,8 @@ similar enough become links.  A fingerprint alone can't reach such a bound (most
 bits, beyond any radius that covering masks serve), so what it leaves is found by a prefix filter, and pairs that are
 in one class already are not looked at again.  No pair is missed.  Shingles have one order for all documents, those that a sample finds frequent last.  Of two sets
 that similar, the first shingle they share stands among the first of either (at 0.8: a fifth, and one); only these prefixes meet,
-and what sizes and places rule out is dropped.  Pairs that met are checked on their whole sets.  In a key of many
+and what sizes and places rule out is dropped.  Pairs that met are held against each other by sketches, which
+rule out no similar pair, and those left are checked on their whole sets.  In a key of many
 documents each is first paired with a few of them; after a round only keys that still hold several components go on,
 and there those outside the largest component alone meet more.  So a group of copies costs its size, not its square, and no pair is left untried that could
 join two components.
@@ -16,7 +17,7 @@ sets are told apart by 64 bits of hash.  The sample decides the order alone, nev
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -185,29 +186,54 @@ def _met(rows: DataFrame, width: int, of: tuple[int, int], *, dealt: bool = Fals
     return by_key.mapInArrow(run, "a bigint, b bigint, h bigint, fp bigint, n_at bigint")
 
 
-def _checked(rows: DataFrame, first: DataFrame, pairs: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
-    """The pairs(a, b) whose whole sets are similar; first(fp, id) names a row for each set."""
+def sketch(own: np.ndarray) -> bytes:
+    """The set's size, then a bit for each hash by its last places; a power of two of them, over four to a hash."""
+    places = 8 << max(0, (len(own) - 1).bit_length() - 1)
+    bits = np.zeros(places, bool)
+    bits[own & (places - 1)] = True
+    return len(own).to_bytes(8, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_be_similar(x: memoryview, y: memoryview, of: tuple[int, int]) -> bool:
+    """False only for sketches of sets that are not similar: a bit that one of them has stands for a hash that the other lacks."""
+    n = sum(int.from_bytes(s[:8], "little") for s in (x, y))
+    a, b = sorted((np.frombuffer(s[8:], np.uint8) for s in (x, y)), key=len)
+    folded = np.bitwise_or.reduce(b.reshape(-1, len(a)), axis=0)
+    apart = int(np.bitwise_count(a ^ folded).sum())
+    return of[1] * (n - apart) >= of[0] * (n + apart)
+
+
+def _compared(rows: DataFrame, first: DataFrame, pairs: DataFrame, shingle: int, form: Callable[[np.ndarray], bytes], good: Callable[[memoryview, memoryview], bool]) -> DataFrame:
+    """The pairs(a, b) whose sets, each brought together in a form of its own, are good; first(fp, id) names a row for each set."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             found = [shingles(t, shingle) for t in raw(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["fp", "own"])
+            yield pa.RecordBatch.from_arrays([pa.array([signature(x) for x in found], pa.int64()), pa.array([form(x) for x in found], pa.binary())], names=["fp", "own"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column(2), batch.column(3), strict=True)  # views, one pair at a time
-            good = [similar(*(np.frombuffer(c.as_buffer(), np.int64) for c in pair), of) for pair in both]
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+            yield batch.select([0, 1]).filter(pa.array([good(*(memoryview(c.as_buffer()) for c in pair)) for pair in both], pa.bool_()))
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     ids = checkpointed(first.join(nodes, "fp", "left_semi").select(F.col("id").alias("need")).distinct())
-    need = F.broadcast(ids) if ids.count() <= FEW else ids
+    n = ids.count()
+    if not n:
+        return pairs
+    need = F.broadcast(ids) if n <= FEW else ids
     found = checkpointed(rows.join(need, rows["id"].eqNullSafe(need["need"]), "left_semi").mapInArrow(sets, "fp bigint, own binary").dropDuplicates(["fp"]))
     side = lambda c: found.select(F.col("fp").alias(c), F.col("own").alias(f"own_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "own_a", "own_b")
     return checkpointed(both.mapInArrow(check, "a bigint, b bigint"))
 
 
+def _checked(rows: DataFrame, first: DataFrame, pairs: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
+    """The pairs(a, b) whose whole sets are similar.  Most of those that met are not, and sketches of a tenth of the size tell so; whole sets move for the others alone."""
+    left = _compared(rows, first, pairs, shingle, sketch, lambda x, y: may_be_similar(x, y, of))
+    return _compared(rows, first, left, shingle, np.ndarray.tobytes, lambda x, y: similar(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64), of))
+
+
 def components(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, of: tuple[int, int]) -> DataFrame:
     """rows(id, text), own(id, fp), near(a, b) of first candidates -> (node, component) of all that similar pairs connect."""
     first = checkpointed(own.groupBy("fp").agg(F.min("id").alias("id")))  # copies are one row from here on

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tallyframe.llm import near_copies, simhash
 
 
@@ -77,3 +79,17 @@ def test_rows_with_odd_ids(odd, none):
     out = near_copies.deduplicate(odd)
     assert out.columns == odd.columns and sorted(r.doc_id or -1 for r in out.collect()) == [-1, 1, 2, 5, 6, 7, 9]
     assert near_copies.deduplicate(none).count() == 0
+
+
+def test_sketches_rule_out_no_similar_pair():
+    rng = np.random.default_rng(3)
+    of, ruled_out = near_copies.bound(0.8), 0
+    for n in (0, 1, 2, 3, 4, 5, 8, 9, 60, 64, 65, 700, 5000):
+        base = np.unique(rng.integers(-(1 << 63), 1 << 63, n))
+        for share in (1.0, 0.95, 0.9, 0.85, 0.8, 0.6, 0.3, 0.0):
+            kept = base[: round(len(base) * share)]
+            other = np.unique(np.concatenate([kept, rng.integers(-(1 << 63), 1 << 63, (len(base) - len(kept)) // 2)]))
+            may = near_copies.may_be_similar(memoryview(near_copies.sketch(base)), memoryview(near_copies.sketch(other)), of)
+            assert may or not near_copies.similar(base, other, of)
+            ruled_out += n >= 60 and share <= 0.6 and not may
+    assert ruled_out == 5 * 3  # all unlike ones of the five larger sizes
