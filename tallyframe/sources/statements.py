@@ -14,19 +14,19 @@ from tallyframe.functions.money import parse_amount
 
 # fixed values: canonical columns and the headers that stand for them
 HEADERS = {
-    "date": ["transactiondate", "date", "postingdate", "bookingdate", "txndate", "valuedate", "日期", "交易日期", "交易时间", "记账日期", "入账日期"],
-    "desc": ["counterpartyname", "description", "narrative", "details", "payee", "memo", "particulars", "narration", "remarks", "摘要", "用途", "备注", "对方户名"],
+    "date": ["transactiondate", "date", "postingdate", "bookingdate", "txndate", "valuedate", "entrydate", "date(dd/mm/yyyy)", "dateposted", "receiptdate", "paymentdate", "datetime", "日期", "交易日期", "交易时间", "记账日期", "记账时间", "入账日期", "入账时间", "收款日期", "到账日期", "到账时间", "付款日期", "业务日期", "交易日", "时间"],
+    "desc": ["counterpartyname", "description", "narrative", "details", "payee", "memo", "particulars", "narration", "transactiondetails", "remarks", "purpose", "receivedfrom", "payer", "paidby", "remitter", "sender", "beneficiary", "摘要", "摘要说明", "交易摘要", "用途", "备注", "交易描述", "交易类型", "付款方", "付款人", "汇款人", "对方户名", "对方账户", "对方名称", "收款方", "收款人", "对方"],
     "ref": ["bankreference", "reference", "ref", "endtoendid", "chequeno", "transactionref", "凭证号", "流水号"],
-    "debit": ["debitamount", "debit", "withdrawal", "withdrawals", "paidout", "dr", "moneyout", "支出", "支出金额", "借方", "借方金额"],
-    "credit": ["creditamount", "credit", "deposit", "deposits", "paidin", "cr", "moneyin", "收入", "收入金额", "贷方", "贷方金额"],
-    "signed": ["signedamount", "amount", "transactionamount", "netamount", "net", "金额", "金额元", "发生额", "交易金额"],
-    "direction": ["收支", "方向", "dc", "drcr", "借贷", "借贷标志"],
-    "balance": ["closingbalance", "balance", "runningbalance", "ledgerbalance", "余额", "账户余额"],
-    "opening": ["openingbalance", "broughtforward", "balancebf", "期初余额"],
-    "account": ["statementaccountid", "accountid", "accountno", "accountnumber", "account", "iban"],
-    "account_name": ["statementaccountname", "accountname"],
-    "currency": ["currency", "ccy", "币种"],
-    "status": ["status", "state", "状态", "交易状态"],
+    "debit": ["debitamount", "debit", "withdrawal", "withdrawals", "paidout", "dr", "payments", "payment", "moneyout", "outflow", "amountdr", "charges", "charge", "fee", "fees", "支出", "支出金额", "借方", "借方金额", "付款", "付款金额", "取出", "转出", "手续费"],
+    "credit": ["creditamount", "credit", "deposit", "deposits", "paidin", "cr", "receipts", "receipt", "moneyin", "inflow", "amountcr", "amountreceived", "received", "收入", "收入金额", "贷方", "贷方金额", "收款", "收款金额", "到账金额", "实收金额", "存入", "转入"],
+    "signed": ["signedamount", "amount", "transactionamount", "amountsigned", "netamount", "net", "金额", "金额元", "发生额", "交易金额", "入账金额"],
+    "direction": ["收支", "方向", "收支方向", "dc", "drcr", "收付", "借贷", "借贷标志", "借贷方向"],
+    "balance": ["closingbalance", "balance", "runningbalance", "ledgerbalance", "bal", "balanceamount", "accountbalance", "availablebalance", "余额", "结余", "账户余额", "卡余额", "账面余额"],
+    "opening": ["openingbalance", "broughtforward", "balancebf", "openingbal", "期初余额", "上期余额"],
+    "account": ["statementaccountid", "accountid", "accountno", "accountnumber", "accountnum", "account", "iban", "acctno", "acct", "账号", "卡号", "账户", "账户号"],
+    "account_name": ["statementaccountname", "accountname", "acctname", "户名", "账户名称", "账户名"],
+    "currency": ["currency", "ccy", "curr", "currencycode", "币种", "货币"],
+    "status": ["status", "state", "transactionstatus", "txnstatus", "状态", "交易状态"],
 }
 
 
