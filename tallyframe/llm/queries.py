@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, chat_format, decontamination, language_id, line_dedup, quality_model, quality_rules, secrets, simhash, toxicity
+from tallyframe.llm import bpe, chat_format, decontamination, language_id, line_dedup, periodic_runs, quality_model, quality_rules, secrets, simhash, toxicity
 from tallyframe.llm.common import table
 
 
@@ -56,7 +56,19 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination, op9_language_id, op10_quality_model)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.planted)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("a"), (-r["period"]).alias("q"))))
+    line = lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.a")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.q")).alias("period"),
+        F.expr("1000 * best.length div -best.q").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination, op9_language_id, op10_quality_model, op11_periodic_runs)}
 
 _SPACE = r"\x20\x09-\x0D"
 _STOPS = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)
