@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, chat_format, decontamination, language_id, line_dedup, periodic_runs, quality_model, quality_rules, secrets, simhash, toxicity
+from tallyframe.llm import bpe, chat_format, decontamination, language_id, line_dedup, merkle, periodic_runs, quality_model, quality_rules, secrets, simhash, toxicity
 from tallyframe.llm.common import table
 
 
@@ -68,12 +68,59 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination, op9_language_id, op10_quality_model, op11_periodic_runs)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, found=merkle.lowered_fifth(docs)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination, op9_language_id, op10_quality_model, op11_periodic_runs, op12_merkle_manifest)}
 
 _SPACE = r"\x20\x09-\x0D"
 _STOPS = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)
 
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _crc32(x: str) -> str:
+    """SQL: the unsigned crc32 of a number's decimal digits, a bit at a time."""
+    bits = f"flatten(list_transform(string_split({x}::VARCHAR, ''), lambda b: [ascii(b)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce([4294967295::BIGINT] || {bits}, lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295)"
+
+
+def _merkle_sql(levels: int = 5, tops: int = 3) -> str:
+    """The tree unrolled: each level is the runs of the one below, kept as it is once one node is left; then each leaf's way up."""
+    coded = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen({x}::VARCHAR) || ':' || {x}::VARCHAR END"
+    leaf = lambda text: "sha256(" + " || ".join(coded(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = f"CASE WHEN {_crc32('doc_id')} % 5 = 0 THEN translate(text, '{_UP}', '{_LOW}') ELSE text END"
+    parts = [
+        f"hashed AS (SELECT doc_id, coalesce('s' || source, '') AS k, {leaf('text')} AS leaf, {leaf('found')} AS other FROM (SELECT *, {lowered} AS found FROM documents))",
+        "leaves AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM hashed)",
+        "a0 AS (SELECT k, i, leaf AS d FROM leaves)",
+    ]
+
+    def tree(name: str, n: int) -> None:
+        for x in range(n):
+            parts.append(f"{name}r{x} AS (SELECT k, i // 16 AS i, list(d ORDER BY i) AS run, max(c) > 1 AS more FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM {name}{x}) GROUP BY k, i // 16)")
+            parts.append(f"{name}{x + 1} AS (SELECT k, i, CASE WHEN more THEN sha256(array_to_string(run, '')) ELSE run[1] END AS d FROM {name}r{x})")
+
+    tree("a", levels)
+    parts.append(f"b0 AS (SELECT 'root' AS k, row_number() OVER (ORDER BY k) - 1 AS i, d, k AS of FROM a{levels})")
+    tree("b", tops)
+    parts.append(f"w0 AS (SELECT doc_id, leaves.k, leaf, a{levels}.d AS subroot, other AS now, '' AS proof, leaves.i, b0.i AS j FROM leaves JOIN a{levels} USING (k) JOIN b0 ON of = leaves.k)")
+    steps = [(f"ar{x}", "i", x, "r.k = w.k") for x in range(levels)] + [(f"br{x}", "j", x, "true") for x in range(tops)]
+    for x, (runs, i, level, same) in enumerate(steps):
+        at = f"((w.{i} // {16**level}) % 16)"
+        before, after = f"run[1:{at}]", f"run[{at} + 2:]"
+        parts.append(
+            f"w{x + 1} AS (SELECT w.* REPLACE (CASE WHEN more THEN sha256(array_to_string({before} || [now] || {after}, '')) ELSE now END AS now, "
+            f"CASE WHEN more THEN proof || array_to_string({before} || {after}, '') ELSE proof END AS proof) FROM w{x} w JOIN {runs} r ON {same} AND r.i = w.{i} // {16 ** (level + 1)})"
+        )
+    last = f"SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, now AS folded_root, now = d AS verified FROM w{len(steps)}, b{tops}"
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
 ORACLES = {
+    "op12_merkle_manifest": _merkle_sql(),
     "op2_line_dedup": rf"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents),
 l AS (SELECT doc_id, unnest(x) AS line, unnest(range(0, len(x))) AS i FROM split),
