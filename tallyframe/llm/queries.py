@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyframe.llm import bpe, chat_format, decontamination, language_id, line_dedup, merkle, periodic_runs, quality_model, quality_rules, secrets, simhash, toxicity
+from tallyframe.llm import bpe, chat_format, decontamination, language_id, line_dedup, merkle, periodic_runs, quality_model, quality_rules, secrets, simhash, substring_dedup, toxicity
 from tallyframe.llm.common import table
 
 
@@ -73,7 +73,11 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, found=merkle.lowered_fifth(docs)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination, op9_language_id, op10_quality_model, op11_periodic_runs, op12_merkle_manifest)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.cut(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_line_dedup, op3_chat_format, op4_secret_scan, op5_byte_bpe, op6_simhash, op7_quality_rules, op8_decontamination, op9_language_id, op10_quality_model, op11_periodic_runs, op12_merkle_manifest, op13_substring_dedup)}
 
 _SPACE = r"\x20\x09-\x0D"
 _STOPS = ", ".join(f"'{w}', '{w.capitalize()}'" for w in quality_rules.STOP_WORDS)
@@ -121,6 +125,14 @@ def _merkle_sql(levels: int = 5, tops: int = 3) -> str:
 
 ORACLES = {
     "op12_merkle_manifest": _merkle_sql(),
+    "op13_substring_dedup": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w FROM documents),
+g AS (SELECT r, unnest(range(1, len(w) - 33)) AS k, unnest(list_transform(range(1, len(w) - 33), lambda i: array_to_string(w[i:i + 34], ' '))) AS s FROM d WHERE len(w) >= 35),
+twice AS (SELECT r, k FROM g QUALIFY count(*) OVER (PARTITION BY s) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS p FROM twice),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)""",
     "op2_line_dedup": rf"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS x FROM documents),
 l AS (SELECT doc_id, unnest(x) AS line, unnest(range(0, len(x))) AS i FROM split),
