@@ -53,6 +53,20 @@ def test_line_dedup_odd_rows(odd, none):
     assert line_dedup.deduplicate_lines(none).count() == 0
 
 
+def test_line_dedup_tells_rows_of_one_id_apart(spark, monkeypatch):
+    rows = [(1, "p\nq\nr"), (5, "p\nq\nr\ns"), (5, "u\nv\nw\nz"), (5, "u\nv\nw\nz"), (None, "p\nq\nr"), (None, None), (7, "u\nv\nw")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    want = [(1, "p\nq\nr"), (5, "s"), (5, "u\nv\nw\nz"), (5, "u\nv\nw\nz"), (None, "p\nq\nr"), (None, None), (7, "")]
+    for most in (line_dedup.ROWS, 0):
+        monkeypatch.setattr(line_dedup, "ROWS", most)
+        assert sorted(map(str, line_dedup.deduplicate_lines(docs).collect())) == sorted(f"Row(doc_id={i!r}, text={t!r})" for i, t in want)
+
+
+def test_line_dedup_keeps_columns_with_its_own_names(spark):
+    docs = spark.createDataFrame([(1, "a\nb\nc", 1, 2, 3, 4), (2, "a\nb\nc", 5, 6, 7, 8)], "doc_id int, text string, _lines int, _id int, _of int, lines int")
+    assert [tuple(r) for r in line_dedup.deduplicate_lines(docs).orderBy("doc_id").collect()] == [(1, "a\nb\nc", 1, 2, 3, 4), (2, "", 5, 6, 7, 8)]
+
+
 def test_line_dedup_is_native(odd):
     plan = line_dedup.deduplicate_lines(odd)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -68,6 +82,13 @@ def brute_secrets(text):
     return [(kind, a, b) for a, _, kind, b in sorted(out)]
 
 
+def test_long_logins_are_found(spark):
+    texts = [f"see https://bob:{'x' * 70}@host.example/ and", f"ftp://{'u' * 500}:{'p' * 5000}@{'h' * 400}", "http://bob:pw@host", "a" * 5000 + "://u:secret@h", "x" * 200_000 + " https://bob:hunter2@h.example"]
+    out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    spans = [[(s.start, s.end) for s in r.found if s.kind == "url_login"] for r in out]
+    assert spans == [[(4, 99)], [(0, 5908)], [], [(4979, 5013)], [(200_001, 200_030)]]
+
+
 def test_secrets_match_brute_force(spark):
     rng = random.Random(4)
     parts = ["password", "PassWd", "api_key", "APIKEY", "token", "ſecret", "Key", "=", " : ", "'", '"', "AKIA", "ABCDEFGH12345678", "deadbeef" * 4, "0123456789abcdef", "x", " ", "é😀", "\n", "ghp_" + "a" * 36, "AKI", "hunter2hunter2"]
