@@ -50,7 +50,8 @@ MORE = (
     Rule("payment_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@[^\s/@]{1,255}"),
+    # of a longer scheme the last 21 characters count, which keeps the search linear; name, password and host are of any length
+    Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@[^\s/@]+"),
 )
 RULES = BASE + MORE
 
