@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyframe.session import checkpointed
+from tallyframe.session import checkpointed, release
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = then
         if state == last:
             break
+        del both, least, large, small, then
+        release(edges.sparkSession)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b"), F.col("b")).distinct())
 
 

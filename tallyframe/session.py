@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,7 @@ def local(cores: str = "*", app: str = "tallyframe", partitions: int = 8) -> Spa
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,6 +50,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Asks the driver to collect its garbage, between the rounds of a loop.
+
+    Spark removes the files of a shuffle once nothing on the driver names it, and those of a checkpoint too where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set; without a collection the files of every round stay to the end."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows that small() broadcasts at most.
 BROADCAST_ROWS = 1_000_000
 
