@@ -12,32 +12,30 @@ from tallyframe.functions.money import let, parse_amount
 INCOME_WORDS = ["收入", "收", "贷", "贷方", "credit", "cr", "c", "+", "in", "收款", "存入", "转入", "进"]
 EXPENSE_WORDS = ["支出", "支", "借", "借方", "debit", "dr", "d", "-", "out", "付款", "取出", "转出", "出"]
 
-# fixed values: labels that stand for a sum and not for an item
-SUMMARY_LABELS = [
-    "sub total", "grand total", "gross total", "net total", "net amount", "net fee", "net fees", "net charge", "net charges", "invoice total", "total fee", "total fees", "total charge", "total charges",
-    "total", "total amount", "total due", "total payable", "total now", "total amount due", "amount due", "amount payable", "amount owing", "amount to pay", "balance due", "balance payable", "balance outstanding", "balance owing",
-    "sales tax", "tax", "vat", "gst", "pst", "hst", "qst", "mwst", "mwst.", "ust", "ust.", "mehrwertsteuer", "tva", "goods total", "amount before tax", "net payable", "sum due", "sum payable", "final total", "please pay",
-    "service charge", "discount", "less discount", "less", "freight", "shipping", "delivery", "handling", "rounding", "round off", "zwischensumme", "sous total", "total ht", "total ttc", "montant total", "gesamtbetrag", "gesamtsumme", "rechnungsbetrag",
-    "小计", "价税合计", "价税总计", "合计", "税额", "税金", "增值税", "增值税额", "销项税", "销项税额", "应付金额", "总计金额", "总计金", "总金额", "折扣", "优惠", "服务费", "小計", "合計", "総計", "消費税",
+# fixed values: words of rows that sum up (one of CORE at least, the others beside it), words of stamps, and how names of seals end
+SUM_CORE = [
+    "total", "subtotal", "net", "tax", "vat", "gst", "cgst", "sgst", "igst", "pst", "hst", "qst", "mwst", "ust", "mehrwertsteuer", "tva", "due", "payable", "owing", "balance", "pay", "charge", "charges", "discount", "less", "freight", "shipping", "delivery", "handling", "rounding", "round",
+    "zwischensumme", "montant", "gesamtbetrag", "gesamtsumme", "rechnungsbetrag", "小计", "价税合计", "价税总计", "合计", "税额", "税金", "增值税", "增值税额", "销项税", "销项税额", "应付金额", "总计", "总计金额", "总金额", "折扣", "优惠", "服务费", "小計", "合計", "総計", "消費税",
 ]
-# fixed values: words of stamps and watermarks
-STAMP_WORDS = ["copy", "paid", "draft", "void", "original", "duplicate", "specimen", "canceled", "cancelled", "unpaid", "overdue", "not for payment", "作废", "副本", "已付", "已付款", "付讫", "收讫", "样本", "正本", "复印件"]
-SEAL_WORDS = ["发票专用章", "财务专用章", "公章", "专用章", "official seal", "seal"]
+SUM_BESIDE = ["sub", "sous", "grand", "gross", "invoice", "goods", "final", "sales", "state", "consumption", "withholding", "value", "added", "service", "fee", "fees", "amount", "credit", "please", "to", "of", "the", "this", "period", "current", "before", "excl", "incl", "ex", "inclusive", "now", "outstanding", "sum", "ht", "ttc", "off"]
+STAMP_WORDS = ["copy", "paid", "draft", "void", "original", "duplicate", "specimen", "canceled", "cancelled", "unpaid", "overdue", "作废", "副本", "已付", "已付款", "付讫", "收讫", "样本", "正本", "复印件"]
+SEAL_ENDINGS = ["专用章", "公章", "seal"]
+CODES = ["usd", "eur", "gbp", "cny", "rmb", "hkd", "sgd", "jpy", "aud", "cad", "chf", "nzd", "thb", "inr", "krw", "aed"]
+
+#: How much of a text's letters stamp words must explain, and seals beside a name.
+STAMPED, SEALED = 0.75, 0.5
 
 #: Bounds of the grades, best first.
 GRADES = [("Excellent", "0.98"), ("Good", "0.95"), ("Warning", "0.90")]
 
 
-def _any_of(words: list[str]) -> str:
-    """A pattern of the words, the longest first; blanks may be any white space, a hyphen, or none."""
-    quoted = ["".join(f"\\{c}" if c in ".+*?()[]{}|^$\\" else c for c in w) for w in sorted(words, key=len, reverse=True)]
-    return "(?:" + "|".join(w.replace(" ", r"[\s-]*") for w in quoted) + ")"
+def words_of(text: Column) -> Column:
+    """The runs of letters of a text, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+)"), F.lit(1))
 
 
-_END = r"\s*[:：]?\s*(?:\(?\s*(?:\d+(?:\.\d+)?\s*%|[A-Za-z]{1,4}\$?)\s*\)?)?$"
-_SUMMARY = rf"(?i)^(?:{_any_of(SUMMARY_LABELS)}|[A-Za-z]+\s+tax|total(?:\s+(?:amount|due|payable|now|charges?|before|ex|incl|excl)\w*)*){_END}"
-_SEAL = rf"(?:[一-鿿]+\s*)?{_any_of(SEAL_WORDS)}"
-_STAMP = rf"(?i)(?:{_any_of(STAMP_WORDS)}|{_SEAL})"
+def _listed(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
 
 
 def strip_mark(raw: Column) -> Column:
@@ -59,14 +57,28 @@ def plain_text(s: Column) -> Column:
 
 
 def is_summary(description: Column) -> Column:
-    return F.trim(F.coalesce(description, F.lit(""))).rlike(_SUMMARY)
+    """Whether a row sums up: all its words are those of sums, taxes and adjustments, and what else it has is brackets, a rate or a code."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(description, F.lit("")), r"[（(][^()（）]*[)）]", " "), r"\d+(?:\.\d+)?\s*%", " ")
+
+    def judge(w: Column) -> Column:
+        core = F.size(F.filter(w, lambda x: F.array_contains(_listed(SUM_CORE), x))) > 0
+        return core & (F.size(F.filter(w, lambda x: ~F.array_contains(_listed(SUM_CORE + SUM_BESIDE), x))) == 0)
+
+    return ~bare.rlike(r"\d") & let(F.filter(words_of(bare), lambda x: ~F.array_contains(_listed(CODES), x)), judge)
 
 
 def is_stamp(description: Column) -> Column:
-    """Whether a line has stamp words alone; beside them there may be marks, and Latin fragments of up to four letters."""
-    text = F.trim(F.coalesce(description, F.lit("")))
-    rest = F.trim(F.regexp_replace(F.regexp_replace(text, _STAMP, " "), r"[^\p{L}\p{N}]+", " "))
-    return text.rlike(_STAMP) & rest.rlike(r"^(?:[A-Za-z]{1,4}(?: [A-Za-z]{1,4})*)?$")
+    """Whether a line is a stamp or a watermark: stamp words make up most of its letters, or a seal at least half of them."""
+    letters = lambda w: F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x))
+    seal = lambda x: F.exists(_listed(SEAL_ENDINGS), lambda e: x.endswith(e))
+
+    def judge(w: Column) -> Column:
+        stamps, seals = F.filter(w, lambda x: F.array_contains(_listed(STAMP_WORDS), x)), F.filter(w, seal)
+        explained = letters(stamps) + letters(seals)
+        return (F.size(w) > 0) & (((F.size(stamps) > 0) & (explained >= STAMPED * letters(w))) | ((F.size(seals) > 0) & (explained >= SEALED * letters(w))))
+
+    said = F.coalesce(description, F.lit(""))
+    return F.lower(said).rlike(r"^\W*not\s+for\s+payment\W*$") | let(words_of(said), judge)
 
 
 def leading_date(cell: Column) -> Column:

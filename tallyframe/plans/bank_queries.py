@@ -93,7 +93,7 @@ def txn_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(rf"""WITH {_TXN}, {_KIND}, g AS (SELECT *, kind IN ({', '.join(f"'{k}'" for k in bank.NO_INVOICE)}) AS none,
-  list_filter([CASE WHEN NOT certain THEN 'weak keyword' END, CASE WHEN regexp_matches(description, '(?i)(发票|invoice|\binv\b|\bpo\b|采购单|订单|合同|contract|[A-Za-z]{{2,}}-\d{{3,}})') THEN 'names a document' END, CASE WHEN amount * 1000 >= 5000000 THEN 'large amount' END], lambda x: x IS NOT NULL) AS r FROM c)
+  list_filter([CASE WHEN NOT certain THEN 'weak keyword' END, CASE WHEN list_has_any(regexp_extract_all(lower(description), '[a-z0-9_]+'), [{', '.join(f"'{w}'" for w in text.DOCUMENT_WORDS if w.isascii())}]) OR {' OR '.join(f"contains(description, '{w}')" for w in text.DOCUMENT_WORDS if not w.isascii())} OR regexp_matches(description, '[A-Za-z]{{2}}-[0-9]{{3}}') THEN 'names a document' END, CASE WHEN amount * 1000 >= 5000000 THEN 'large amount' END], lambda x: x IS NOT NULL) AS r FROM c)
 SELECT event_id, none AND len(r) = 0 AS auto_no_match, CASE WHEN none THEN array_to_string(r, '; ') ELSE '' END AS hold_why FROM g""")
 def no_match_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = bank_txns(spark, sf_dir).withColumn("k", bank.kind_of(F.col("description"), F.when(F.col("incoming"), "in").otherwise("out")))
