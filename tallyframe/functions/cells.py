@@ -22,8 +22,8 @@ STAMP_WORDS = ["copy", "paid", "draft", "void", "original", "duplicate", "specim
 SEAL_ENDINGS = ["专用章", "公章", "seal"]
 CODES = ["usd", "eur", "gbp", "cny", "rmb", "hkd", "sgd", "jpy", "aud", "cad", "chf", "nzd", "thb", "inr", "krw", "aed"]
 
-#: How much of a text's letters stamp words must explain, and seals beside a name.
-STAMPED, SEALED = 0.75, 0.5
+#: How much of a text's letters a seal must make up beside a name; letters that show a stamp word cut off at the edge.
+SEALED, CUT_OFF = 0.5, 3
 
 #: Bounds of the grades, best first.
 GRADES = [("Excellent", "0.98"), ("Good", "0.95"), ("Warning", "0.90")]
@@ -68,14 +68,15 @@ def is_summary(description: Column) -> Column:
 
 
 def is_stamp(description: Column) -> Column:
-    """Whether a line is a stamp or a watermark: stamp words make up most of its letters, or a seal at least half of them."""
+    """Whether a line is a stamp or a watermark: stamp words alone, the beginnings of such words beside whole ones, or a seal that makes up half of the letters."""
     letters = lambda w: F.aggregate(w, F.lit(0), lambda n, x: n + F.length(x))
-    seal = lambda x: F.exists(_listed(SEAL_ENDINGS), lambda e: x.endswith(e))
+    begun = lambda x: (F.length(x) >= CUT_OFF) & F.exists(_listed(STAMP_WORDS), lambda w: w.startswith(x))
 
     def judge(w: Column) -> Column:
-        stamps, seals = F.filter(w, lambda x: F.array_contains(_listed(STAMP_WORDS), x)), F.filter(w, seal)
-        explained = letters(stamps) + letters(seals)
-        return (F.size(w) > 0) & (((F.size(stamps) > 0) & (explained >= STAMPED * letters(w))) | ((F.size(seals) > 0) & (explained >= SEALED * letters(w))))
+        stamps = F.filter(w, lambda x: F.array_contains(_listed(STAMP_WORDS), x))
+        seals = F.filter(w, lambda x: F.exists(_listed(SEAL_ENDINGS), lambda e: x.endswith(e)))
+        told = F.forall(w, lambda x: F.array_contains(_listed(STAMP_WORDS), x) | begun(x))
+        return ((F.size(stamps) > 0) & told) | ((F.size(seals) > 0) & (letters(seals) + letters(stamps) >= SEALED * letters(w)))
 
     said = F.coalesce(description, F.lit(""))
     return F.lower(said).rlike(r"^\W*not\s+for\s+payment\W*$") | let(words_of(said), judge)
