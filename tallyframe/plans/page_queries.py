@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import parse_date
-from tallyframe.operators import items, pages
-from tallyframe.plans.adapters import ORACLE_INVOICES, dec, invoices, table, text
+from tallyframe.operators import items, pages, statement_pages, transposed
+from tallyframe.plans.adapters import ORACLE_INVOICES, dec, he, invoices, table, text
+from tallyframe.plans.bank_queries import _TXN, bank_txns
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -109,3 +110,113 @@ FROM oi WHERE o_orderkey IN (SELECT o_orderkey FROM orders JOIN customer ON o_cu
 def page_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = items.line_items(invoice_words(spark, sf_dir))
     return found.select("doc_id", "item", "description", "quantity", F.col("value").cast("decimal(18,2)").alias("amount"))
+
+
+# ---- tables that stand on end, totals without a label
+
+
+def upright_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each order: heads and cells of its items one below the other, then its subtotal."""
+    rows = order_items(spark, sf_dir)
+    line = lambda y, t: F.struct(F.lit(45.0).alias("x"), (y * STEP).cast("double").alias("y"), t.alias("text"))
+    at = 3 + 3 * (F.col("n") - 1)
+    body = rows.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(line(at, F.col("name")), line(at + 1, text("quantity")), line(at + 2, F.concat(F.lit("USD "), F.format_number("amount", 2))))).alias("c"))
+    sums = rows.groupBy(F.col("o_orderkey").alias("doc_id")).agg(F.max("n").alias("n"), F.sum("amount").alias("s"))
+    frame = F.array(*[line(F.lit(i), F.lit(h)) for i, h in enumerate(("DESCRIPTION", "QTY", "AMOUNT"))], line(3 + 3 * F.col("n"), F.concat(F.lit("Subtotal: USD "), F.format_number("s", 2))))
+    both = body.unionByName(sums.select("doc_id", F.explode(frame).alias("c")))
+    return laid_out(both.select("doc_id", F.lit(1).alias("page"), "c.*"))
+
+
+@query(f"""WITH {_ORDER_ITEMS} SELECT o_orderkey AS doc_id, n::INT AS item, name AS description, quantity::VARCHAR AS quantity, amount FROM oi""")
+def upright_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = transposed.upright_items(upright_words(spark, sf_dir))
+    return found.select("doc_id", "item", "description", "quantity", F.col("value").cast("decimal(18,2)").alias("amount"))
+
+
+def vat_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chinese VAT invoices: rate and tax run together in one cell, and the total is named for every order but each third."""
+    rows = order_items(spark, sf_dir).withColumn("tax", F.bround(F.col("amount") * F.lit("0.06").cast("decimal(3,2)"), 2).cast("decimal(18,2)"))
+    cell = lambda x, y, t: F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"), t.alias("text"))
+    y, plain = 60 + STEP * F.col("n"), lambda c: F.col(c).cast("string")
+    row = F.array(cell(40, y, F.concat(F.lit("*服务*"), "name")), cell(350, y, plain("amount")), cell(430, y, plain("amount")), cell(500, y, F.concat(F.lit("6% "), plain("tax"))))
+    body = rows.select(F.col("o_orderkey").alias("doc_id"), F.explode(row).alias("c"))
+    sums = rows.groupBy(F.col("o_orderkey").alias("doc_id")).agg(F.max("n").alias("n"), F.sum(F.col("amount") + F.col("tax")).alias("s"))
+    end = 80 + STEP * F.col("n")
+    frame = F.array(cell(210, F.lit(10), F.lit("增值税专用发票")), cell(40, F.lit(40), F.lit("货物或应税劳务、服务名称")), cell(430, F.lit(40), F.lit("金额")), cell(500, F.lit(40), F.lit("税率 税额")), cell(40, end, F.when(F.col("doc_id") % 3 == 0, F.lit("合计")).otherwise(F.concat(F.lit("价税合计（小写）¥"), F.col("s").cast("decimal(18,2)").cast("string")))))
+    both = body.unionByName(sums.select("doc_id", F.explode(frame).alias("c")))
+    return laid_out(both.select("doc_id", F.lit(1).alias("page"), "c.*"))
+
+
+@query(f"""WITH {_ORDER_ITEMS}, c AS (SELECT o_orderkey, CAST(amount * 100 AS BIGINT) AS a FROM oi), t AS (SELECT *, {he("a * 6", 100)} AS tax FROM c)
+SELECT o_orderkey AS doc_id, {dec("sum(a)")}::DECIMAL(18,2) AS subtotal, {dec("sum(tax)")}::DECIMAL(18,2) AS sales_tax, {dec("sum(a + tax)")}::DECIMAL(18,2) AS total_due FROM t GROUP BY 1""")
+def vat_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transposed.vat_sums(vat_words(spark, sf_dir))
+
+
+@query(f"""WITH {ORACLE_INVOICES} SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 2 = 0 AND tax > 0 THEN {dec("tax")}::DECIMAL(18,2) END AS tax, {dec("total")}::DECIMAL(18,2) AS total FROM inv WHERE total > 0""")
+def totals_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Below each order's subtotal stand its tax and total without labels, between amounts that belong to nothing; of odd orders the tax is known."""
+    inv = invoices(spark, sf_dir).where("total > 0")
+    line = lambda i, t: F.struct(F.lit(45.0).alias("x"), F.lit(STEP * i).alias("y"), t.alias("text"))
+    amounts = [F.col("total") + F.lit("7777.77").cast("decimal(18,2)"), F.col("tax"), F.lit("0.01").cast("decimal(18,2)") * 5, F.col("total")]
+    lines = F.array(line(0, F.concat(F.lit("Subtotal: "), F.format_number("subtotal", 2))), line(1, F.lit("COPY")), *[line(2 + i, F.concat(F.lit("$"), F.format_number(a, 2))) for i, a in enumerate(amounts)])
+    page = laid_out(inv.select(F.col("o_orderkey").alias("doc_id"), F.explode(lines).alias("c")).select("doc_id", F.lit(1).alias("page"), "c.*"))
+    sums = inv.select(F.col("o_orderkey").alias("doc_id"), "subtotal", F.when(F.col("o_orderkey") % 2 == 1, F.col("tax")).alias("tax"))
+    return items.orphan_totals(page, sums)
+
+
+# ---- bank statements
+
+
+def statement_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of 40 rows a page, by number modulo 3: signed amounts; debit and credit columns, some amounts lost; one column without signs."""
+    t = bank_txns(spark, sf_dir).withColumn("k", F.col("stmt") % 3)
+    y = 100 + 18 * (F.col("idx") % 40)
+    left = lambda x, s: F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"), s.alias("text"))
+    right = lambda x, s: F.struct((x - F.length(s) * LETTER).alias("x"), y.cast("double").alias("y"), s.alias("text"))
+    day = F.when(F.col("k") == 0, F.date_format("date", "yyyy-MM-dd")).when(F.col("k") == 1, F.date_format("date", "dd-MMM-yyyy")).otherwise(F.date_format("date", "d MMM yyyy"))
+    plain, lost = F.format_number("amount", 2), F.col("event_id") % 50 == 0
+    signed = F.concat(F.when(F.col("incoming"), "+").otherwise("-"), plain)
+    own = F.when(F.col("k") == 0, right(460.0, signed)).when((F.col("k") == 1) & lost, None).when((F.col("k") == 1) & F.col("incoming"), right(430.0, plain)).when(F.col("k") == 1, right(340.0, plain)).otherwise(right(400.0, plain))
+    row = F.array_compact(F.array(left(40, day), left(130, F.col("description")), own, right(560.0, F.format_number("balance", 2))))
+    page = (F.col("idx") / 40).cast("int")
+    body = t.select(F.col("stmt").alias("doc_id"), page.alias("page"), F.explode(row).alias("c")).select("doc_id", "page", "c.*")
+    head = t.select(F.col("stmt").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("page"), F.lit(40.0).alias("x"), F.lit(60.0).alias("y"), F.lit("Opening Balance: 1,000.00").alias("text"))
+    return laid_out(body.unionByName(head))
+
+
+_SIDES = f"SELECT stmt AS doc_id, idx::BIGINT AS idx, date, description, coalesce({dec('CASE WHEN incoming THEN amount END')}, 0) AS income, coalesce({dec('CASE WHEN NOT incoming THEN amount END')}, 0) AS expense, {dec('balance')} AS balance FROM t"
+
+
+def _sides(found: DataFrame, order: list[str]) -> DataFrame:
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)) - 1
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,2)").alias(c)
+    return found.select("doc_id", idx.cast("long").alias("idx"), "date", "description", zero("income"), zero("expense"), zero("balance"))
+
+
+@query(f"WITH {_TXN} {_SIDES}")
+def statement_on_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = statement_words(spark, sf_dir)
+    return _sides(statement_pages.transactions(words, statement_pages.opening_balances(words)), ["page", "row"])
+
+
+@query(f"WITH {_TXN} SELECT stmt AS doc_id, count(*) AS rows, count(*) AS agree FROM t GROUP BY 1")
+def statement_running_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = statement_words(spark, sf_dir)
+    openings = statement_pages.opening_balances(words)
+    return statement_pages.running_check(statement_pages.transactions(words, openings), openings)
+
+
+STATEMENT_HEADS = {"date": ["Transaction Date"], "description": ["Details"], "amount": ["Amount"], "balance": ["Running Balance"]}
+
+
+@query(f"WITH {_TXN} {_SIDES}")
+def statement_on_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each head and each value on a line of its own; the heads come again every 40 transactions."""
+    t = bank_txns(spark, sf_dir)
+    heads = F.when(F.col("idx") % 40 == 0, F.array(*[F.lit(w[0]) for w in STATEMENT_HEADS.values()])).otherwise(F.array().cast("array<string>"))
+    values = F.array(F.date_format("date", "yyyy-MM-dd"), F.col("description"), F.when(F.col("incoming"), F.col("amount")).otherwise(-F.col("amount")).cast("decimal(18,2)").cast("string"), F.col("balance").cast("decimal(18,2)").cast("string"))
+    lines = t.select(F.col("stmt").alias("doc_id"), "idx", F.posexplode(F.concat(heads, values)).alias("k", "text")).select("doc_id", (F.col("idx") * 8 + F.col("k")).alias("line"), "text")
+    found = transposed.as_columns(transposed.records(lines, STATEMENT_HEADS), list(STATEMENT_HEADS))
+    amount = F.col("amount").cast("decimal(18,2)")
+    return _sides(found.select("doc_id", "block", "record", F.col("date").cast("date").alias("date"), "description", F.when(amount >= 0, amount).alias("income"), F.when(amount < 0, -amount).alias("expense"), F.col("balance").cast("decimal(18,2)").alias("balance")), ["block", "record"])
