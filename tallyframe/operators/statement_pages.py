@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyframe.functions.cells import leading_date, strip_mark
+from tallyframe.functions.cells import strip_mark
+from tallyframe.functions.dates import parse_date
 from tallyframe.functions.money import parse_amount
+from tallyframe.operators.pages import DAY
 
 #: Right edges no further apart than this are one column.
 EDGE = 12.0
@@ -37,8 +39,9 @@ def dated_rows(words: DataFrame, *, tolerance: float = 3.0) -> DataFrame:
     marked = tokens.withColumn("money", money)
     rows = marked.groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(F.struct("k", "x1", "text", "money"))).alias("t"))
     text = F.array_join(F.transform("t", lambda x: x["text"]), " ")
-    rows = rows.withColumn("d", leading_date(text)).where("d.value IS NOT NULL")
-    skip = F.size(F.split("d.words", " "))
+    # most rows have no date: only those that begin like one are read
+    rows = rows.withColumn("_text", text).withColumn("_day", F.regexp_extract("_text", rf"^({DAY})(?!\S)", 1)).where("_day <> ''").withColumn("d", parse_date(F.col("_day"))["value"]).where("d IS NOT NULL")
+    skip = F.size(F.split("_day", " "))
     rest = F.filter("t", lambda x: x["k"] > skip)
     rows = rows.withColumn("r", rest)
     value = lambda x: F.abs(parse_amount(F.replace(x, F.lit("−"), F.lit("-")))["value"])
@@ -50,7 +53,7 @@ def dated_rows(words: DataFrame, *, tolerance: float = 3.0) -> DataFrame:
     marks = F.transform(F.filter("r", lambda x: ~x["money"] & (x["k"] > first)), lambda x: F.lower(F.regexp_replace(x["text"], r"\W", "")))
     rows = rows.withColumn("monies", monies).where("size(monies) > 0")
     mark = F.when(F.array_contains(marks, F.lit("dr")), -1).when(F.array_contains(marks, F.lit("cr")), 1)
-    return rows.select("doc_id", "page", "row", F.col("d.value").alias("date"), F.nullif(F.trim(described), F.lit("")).alias("description"), "monies", mark.alias("mark"))
+    return rows.select("doc_id", "page", "row", F.col("d").alias("date"), F.nullif(F.trim(described), F.lit("")).alias("description"), "monies", mark.alias("mark"))
 
 
 def _in_columns(rows: DataFrame, edge: float) -> DataFrame:
