@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import parse_date
-from tallyframe.operators import items, pages, statement_pages, transposed
+from tallyframe.operators import boxes, items, pages, statement_pages, transposed
 from tallyframe.plans.adapters import ORACLE_INVOICES, dec, he, invoices, table, text
 from tallyframe.plans.bank_queries import _TXN, bank_txns
 
@@ -220,3 +220,17 @@ def statement_on_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = transposed.as_columns(transposed.records(lines, STATEMENT_HEADS), list(STATEMENT_HEADS))
     amount = F.col("amount").cast("decimal(18,2)")
     return _sides(found.select("doc_id", "block", "record", F.col("date").cast("date").alias("date"), "description", F.when(amount >= 0, amount).alias("income"), F.when(amount < 0, -amount).alias("expense"), F.col("balance").cast("decimal(18,2)").alias("balance")), ["block", "record"])
+
+
+# ---- places of values
+
+
+@query(f"""WITH {ORACLE_INVOICES}, i AS (SELECT o_orderkey AS doc_id, o_orderkey % 4 AS k, invoice_no, replace(party, 'Customer#', 'Trading House ') AS name FROM inv),
+p AS (SELECT *, [103, 200, 47, 64][k + 1]::DOUBLE AS nx, CASE WHEN k = 2 THEN 30 ELSE 10 END::DOUBLE AS ny, [343, 420, 355, 200][k + 1]::DOUBLE AS cx, CASE WHEN k >= 2 THEN 30 ELSE 10 END::DOUBLE AS cy FROM i)
+SELECT doc_id, unnest(['number', 'part', 'name']) AS id, 1 AS page, unnest([nx, nx, cx]) AS x0, unnest([ny, ny, cy]) AS y0, unnest([nx + 5 * length(invoice_no), nx + 5 * length(invoice_no), cx + 5 * length(replace(name, ' ', '')) + 8]) AS x1, unnest([ny + 8, ny + 8, cy + 8]) AS y1, unnest(['exact', 'inside', 'exact']) AS how FROM p""")
+def value_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number, a part of it, the customer's name and a text that no page has, looked for on the page of each order."""
+    inv = invoices(spark, sf_dir)
+    name = F.replace("party", F.lit("Customer#"), F.lit("Trading House "))
+    asked = F.array(*[F.struct(F.lit(i).alias("id"), t.alias("text")) for i, t in (("number", F.col("invoice_no")), ("part", F.substring("invoice_no", 1, 9)), ("name", name), ("none", F.lit("nowhere")))])
+    return boxes.locate(invoice_words(spark, sf_dir), inv.select(F.col("o_orderkey").alias("doc_id"), F.explode(asked).alias("q")).select("doc_id", "q.*"))
