@@ -9,6 +9,8 @@ from tallyframe.functions.dates import parse_date
 from tallyframe.operators import boxes, items, pages, statement_pages, transposed
 from tallyframe.plans.adapters import ORACLE_INVOICES, dec, he, invoices, table, text
 from tallyframe.plans.bank_queries import _TXN, bank_txns
+from tallyframe.plans.document_queries import _BACK
+from tallyframe.sources import sheets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -234,3 +236,16 @@ def value_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.replace("party", F.lit("Customer#"), F.lit("Trading House "))
     asked = F.array(*[F.struct(F.lit(i).alias("id"), t.alias("text")) for i, t in (("number", F.col("invoice_no")), ("part", F.substring("invoice_no", 1, 9)), ("name", name), ("none", F.lit("nowhere")))])
     return boxes.locate(invoice_words(spark, sf_dir), inv.select(F.col("o_orderkey").alias("doc_id"), F.explode(asked).alias("q")).select("doc_id", "q.*"))
+
+
+@query(_BACK)
+def statement_in_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each statement: a title, the heads, and the transactions with real dates and numbers; written, and read back by the heads."""
+    t = bank_txns(spark, sf_dir).withColumn("signed", F.when(F.col("incoming"), F.col("amount")).otherwise(-F.col("amount")).cast("decimal(18,2)"))
+    path = F.concat(F.lit("s"), F.lpad(F.col("stmt").cast("string"), 9, "0"), F.lit(".xlsx"))
+    cell = lambda row, column, text, kind: F.struct(row.cast("int").alias("row"), F.lit(column).alias("column"), text.alias("text"), F.lit(kind).alias("kind"))
+    own = t.select(path.alias("path"), F.explode(F.array(cell(F.col("idx") + 4, 2, F.date_format("date", "yyyy-MM-dd"), "date"), cell(F.col("idx") + 4, 3, F.col("description"), "text"), cell(F.col("idx") + 4, 5, F.col("signed").cast("string"), "number"))).alias("c"))
+    heads = t.select(path.alias("path")).distinct().select("path", F.explode(F.array(cell(F.lit(1), 1, F.lit("Statement of account"), "text"), *[cell(F.lit(3), i, F.lit(h), "text") for i, h in ((2, "Posting Date"), (3, "Details"), (5, "Amount"))])).alias("c"))
+    content = sheets.workbooks(own.unionByName(heads).select("path", F.lit("Transactions").alias("sheet"), "c.*"))
+    read = sheets.table(sheets.cells(content), {"date": ["Posting Date"], "description": ["Details"], "amount": ["Amount"]}, needs=("date", "amount"))
+    return read.select(F.expr("cast(substring(path, 2, 9) as bigint)").alias("file"), (F.col("row") - 4).cast("long").alias("idx"), F.col("date").cast("date").alias("date"), F.col("amount").cast("decimal(38,2)").alias("amount"), "description")
