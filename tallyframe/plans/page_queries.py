@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import parse_date
-from tallyframe.operators import boxes, items, pages, statement_pages, transposed
+from tallyframe.operators import boxes, cuts, items, pages, statement_pages, transposed
 from tallyframe.plans.adapters import ORACLE_INVOICES, dec, he, invoices, table, text
 from tallyframe.plans.bank_queries import _TXN, bank_txns
 from tallyframe.plans.document_queries import _BACK
@@ -249,3 +249,19 @@ def statement_in_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = sheets.workbooks(own.unionByName(heads).select("path", F.lit("Transactions").alias("sheet"), "c.*"))
     read = sheets.table(sheets.cells(content), {"date": ["Posting Date"], "description": ["Details"], "amount": ["Amount"]}, needs=("date", "amount"))
     return read.select(F.expr("cast(substring(path, 2, 9) as bigint)").alias("file"), (F.col("row") - 4).cast("long").alias("idx"), F.col("date").cast("date").alias("date"), F.col("amount").cast("decimal(38,2)").alias("amount"), "description")
+
+
+# ---- cuts by hand
+
+
+@query(f"""WITH {ORACLE_INVOICES} SELECT o_orderkey // 2 AS file, (o_orderkey % 2 + 1)::INT AS asked, invoice_no FROM inv WHERE o_orderkey // 2 IN (SELECT o_orderkey // 2 FROM inv GROUP BY 1 HAVING count(*) = 2)""")
+def pages_cut_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two orders on one page, a line drawn between them: each part has the number of its own order."""
+    height = 2000.0
+    words = invoice_words(spark, sf_dir).withColumn("lower", F.col("doc_id") % 2)
+    both = words.select(F.expr("doc_id div 2").alias("doc_id"), F.lit(0).alias("page"), "x0", (F.col("y0") + F.col("lower") * height / 2).alias("y0"), "x1", (F.col("y1") + F.col("lower") * height / 2).alias("y1"), "text")
+    files = both.select("doc_id").distinct()
+    cut = cuts.cut(both, files.select("doc_id", F.lit(0).alias("page"), F.lit(0.5).alias("pos")), files.select("doc_id", F.lit(0).alias("page"), F.lit(height).alias("height")))
+    found = pages.fields(cuts.documents(cut.where("parts = 2"))).where("field = 'invoice_no'")
+    part = F.regexp_extract("doc_id", r"^(\d+):cut(\d)/", 2)
+    return found.select(F.regexp_extract("doc_id", r"^(\d+):", 1).cast("long").alias("file"), part.cast("int").alias("asked"), F.col("raw").alias("invoice_no"))

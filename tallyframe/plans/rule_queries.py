@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyframe.functions import rule_text
 from tallyframe.operators import provenance
 from tallyframe.plans.adapters import ORACLE_INVOICES, invoices, table
 
@@ -59,3 +60,32 @@ def reapplied_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = provenance.reapplied(docs, told, told.select("doc_id", "field", "value"), defaults.unionByName(locator), F.lit(10), kinds={"currency": "code"}, required=("invoice_no", "currency"))
     own = F.try_element_at("fields", F.lit("currency"))
     return found.select("doc_id", "rev", own["value"].alias("value"), own["source"].alias("source"), F.col("least_confidence").alias("confidence"))
+
+
+# ---- rules written as sentences
+
+_FIELDS = [("币种", "currency"), ("税率", "tax_rate"), ("发票日期", "invoice_date"), ("invoice number", "invoice_no"), ("开票方地址", "issuer_address")]
+_NAMES = "[" + ", ".join(f"'{a}'" for a, _ in _FIELDS) + "]"
+_KEYS = "[" + ", ".join(f"'{b}'" for _, b in _FIELDS) + "]"
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS id, p_partkey % 4 AS k, replace(p_name, ' ', '_') || p_partkey AS who, p_type AS t, p_size AS s, {_KEYS}[p_partkey % 5 + 1] AS f, (4000 + p_partkey % 3000)::VARCHAR AS code FROM part)
+SELECT id, CASE WHEN k IN (0, 1) THEN who END AS match_key, CASE WHEN k = 0 THEN t END AS category, CASE WHEN k = 0 THEN code || ' ' || t END AS account, CASE WHEN k IN (1, 2) THEN f END AS target,
+  CASE k WHEN 1 THEN t || s WHEN 3 THEN CASE WHEN s % 2 = 0 THEN 'single' ELSE 'multi' END END AS value, CASE k WHEN 2 THEN 'value' ELSE '' END AS missing FROM r""")
+def rule_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence about each part: an account, a default, a locator without its label, and whether to split."""
+    part = table(spark, sf_dir, "part")
+    k, key = F.col("p_partkey") % 4, F.col("p_partkey")
+    who = F.concat(F.replace("p_name", F.lit(" "), F.lit("_")), key.cast("string"))
+    name = F.element_at(F.array(*[F.lit(a) for a, _ in _FIELDS]), (key % 5 + 1).cast("int"))
+    code = (4000 + key % 3000).cast("string")
+    text = (
+        F.when(k == 0, F.concat(F.lit("以后"), who, F.lit("的发票，科目："), code, F.lit(" "), "p_type", F.lit("；分类："), "p_type"))
+        .when(k == 1, F.concat(F.lit("invoices from "), who, F.lit(" always: "), name, F.lit(" 填为「"), "p_type", F.col("p_size").cast("string"), F.lit("」")))
+        .when(k == 2, F.concat(name, F.lit(" stands somewhere")))
+        .otherwise(F.when(F.col("p_size") % 2 == 0, F.lit("this is one invoice, do not split")).otherwise(F.lit("再拆开一点")))
+    )
+    kind = F.element_at(F.array(*map(F.lit, ["classification", "field_default", "field_locator", "multi_invoice"])), (k + 1).cast("int"))
+    rules = part.select(key.alias("id"), kind.alias("rule_type"), text.alias("text"), F.lit(None).cast("string").alias("match_key"))
+    pairs = spark.createDataFrame([("Nowhere", "no such account")], "category string, account string")
+    return rule_text.read(rules, pairs).select("id", "match_key", "category", "account", "target", "value", F.array_join("missing", ", ").alias("missing"))
