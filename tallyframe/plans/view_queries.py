@@ -31,62 +31,90 @@ def _sql_pick(values: list[str | None], by: str) -> str:
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + f"][{by} % {len(values)} + 1]"
 
 
-CASH = ["1,234.56 Cr", "99.00 DR.", "500", "12.5cr", " 7.00 dr ", "Credit 5"]
+MARKS = [" Cr", " DR.", "", "cr", "  dr ", " credit", " Dr"]
 
 
-@query(f"""WITH r AS (SELECT event_id, {_sql_pick(CASH, 'event_id')} AS s FROM events)
-SELECT event_id, CASE WHEN regexp_matches(s, '(?i)\\b(cr|dr)\\.?\\s*$') THEN trim(regexp_replace(trim(s), '(?i)\\b(cr|dr)\\.?\\s*$', '')) ELSE s END AS text,
-  nullif(lower(regexp_extract(s, '(?i)\\b(cr|dr)\\.?\\s*$', 1)), '') AS mark FROM r""")
+@query(f"""WITH r AS (SELECT o_orderkey, (CASE WHEN o_orderkey % 2 = 0 THEN ' ' ELSE '' END) || CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR || {_sql_pick(MARKS, 'o_orderkey')} AS s FROM orders)
+SELECT o_orderkey, CASE WHEN regexp_matches(trim(s), '(?i)\\b(cr|dr)\\.?\\s*$') THEN trim(regexp_replace(trim(s), '(?i)\\b(cr|dr)\\.?\\s*$', '')) ELSE s END AS text,
+  nullif(lower(regexp_extract(trim(s), '(?i)\\b(cr|dr)\\.?\\s*$', 1)), '') AS mark FROM r""")
 def amount_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", cells.strip_mark(_pick(CASH, "event_id")).alias("m"))
-    return e.select("event_id", "m.text", "m.mark")
+    """The total of each order, with a mark or something else behind it."""
+    k = F.col("o_orderkey")
+    raw = F.concat(F.when(k % 2 == 0, " ").otherwise(""), F.col("o_totalprice").cast("decimal(18,2)").cast("string"), _pick(MARKS, "o_orderkey"))
+    return table(spark, sf_dir, "orders").select(k, cells.strip_mark(raw).alias("m")).select("o_orderkey", "m.text", "m.mark")
 
 
-FLOWS = ["Credit", " dr ", "收入", "支", "+", "OUT", "none", None]
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
 
-@query(f"""WITH r AS (SELECT event_id, lower(trim({_sql_pick(FLOWS, 'event_id')})) AS w FROM events)
-SELECT event_id, CASE WHEN w IN ('credit', '收入', '+') THEN 'in' WHEN w IN ('dr', '支', 'out') THEN 'out' END AS flow FROM r""")
-def direction_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", cells.flow(_pick(FLOWS, "event_id")).alias("flow"))
+FLOW_WORDS = [*cells.INCOME_WORDS, *cells.EXPENSE_WORDS]
 
 
-SPACED = ["JP‑2026‐5005", "a b c d", "x​y⁠z", "en–dash", None]
+@query(f"""WITH w AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN ' ' || upper({_sql_pick(FLOW_WORDS, '(event_id // 3)')}) ELSE substr({_sql_pick(FLOW_WORDS, '(event_id // 3)')} || event_type, 1, 1 + (event_id // 7 % 6)::INT) END AS raw FROM events)
+SELECT event_id, CASE WHEN list_contains({_sql_list(cells.INCOME_WORDS)}, lower(trim(raw))) THEN 'in' WHEN list_contains({_sql_list(cells.EXPENSE_WORDS)}, lower(trim(raw))) THEN 'out' END AS flow FROM w""")
+def direction_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The type of each event, a word of direction in capitals, or the beginning of both run together."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    word = F.element_at(F.array(*map(F.lit, FLOW_WORDS)), (F.expr("event_id div 3") % len(FLOW_WORDS) + 1).cast("int"))
+    part = F.substring(F.concat(word, "event_type"), F.lit(1), (1 + F.expr("event_id div 7") % 6).cast("int"))
+    raw = F.when(k % 3 == 0, F.col("event_type")).when(k % 3 == 1, F.concat(F.lit(" "), F.upper(word))).otherwise(part)
+    return e.select(k, cells.flow(raw).alias("flow"))
 
 
-@query(f"""WITH r AS (SELECT event_id, {_sql_pick(SPACED, 'event_id')} AS s FROM events)
-SELECT event_id, replace(replace(translate(s, chr(160) || chr(8199) || chr(8239) || chr(8208) || chr(8209) || chr(8210), '   ---'), chr(8288), ''), chr(8203), '') AS text FROM r""")
+@query("""WITH r AS (SELECT doc_id, replace(replace(translate(text, 'ae', CASE doc_id % 3 WHEN 0 THEN chr(160) || chr(8208) WHEN 1 THEN chr(8239) || chr(8209) ELSE 'ae' END), 'o', 'o' || chr(8203)), 'u', chr(8288) || 'u') AS s FROM documents)
+SELECT doc_id, replace(replace(translate(s, chr(160) || chr(8199) || chr(8239) || chr(8208) || chr(8209) || chr(8210), '   ---'), chr(8288), ''), chr(8203), '') AS text FROM r""")
 def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", cells.plain_text(_pick(SPACED, "event_id")).alias("text"))
-
-
-LABELS = ["Sub-Total:", "Grand total (USD)", "VAT 20%", "Consulting total plan", "Total Amount Due", "合计：", "Tax advice", "State tax", "Copy COPY copy", "ORIGINAL ORIG", "★ 发票专用章", "Copy editing service", "PAID!", "作废 技术咨询", "", None]
-
-
-@query(f"""WITH r AS (SELECT event_id, event_id % {len(LABELS)} AS k FROM events)
-SELECT event_id, k IN (0, 1, 2, 4, 5, 7) AS summary, k IN (8, 9, 10, 12) AS stamp FROM r""")
+    """All documents, their letters a and e exchanged for blanks and hyphens of other kinds, and characters of no width beside o and u."""
+    k = F.col("doc_id") % 3
+    odd = F.when(k == 0, F.translate("text", "ae", "\u00a0\u2010")).when(k == 1, F.translate("text", "ae", "\u202f\u2011")).otherwise(F.col("text"))
+    odd = F.replace(F.replace(odd, F.lit("o"), F.lit("o\u200b")), F.lit("u"), F.lit("\u2060u"))
+    return table(spark, sf_dir, "documents").select("doc_id", cells.plain_text(odd).alias("text"))
+
+
+LABEL_HEADS = ["Sub-", "Grand ", "Net ", "", "VAT ", "Sales ", "Copy ", "PAID ", "ORIG ", "Tax ", "Delivery ", "Not for ", "合计 "]
+LABEL_TAILS = ["total:", "total (USD)", "tax 20%", "payment", "COPY", "amount due", "", "DUPLICATE!", "fees EUR", "advisory", "专用章", "charge 5"]
+_WORDS_OF = r"regexp_extract_all(lower({0}), '\p{{L}}+')"
+
+
+@query(rf"""WITH r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN {_sql_pick(LABEL_HEADS, '(p_partkey // 4)')} || p_type ELSE {_sql_pick(LABEL_HEADS, '(p_partkey // 4)')} || {_sql_pick(LABEL_TAILS, '(p_partkey // 7)')} END AS s FROM part),
+b AS (SELECT *, regexp_replace(regexp_replace(s, '[（(][^()（）]*[)）]', ' ', 'g'), '\d+(?:\.\d+)?\s*%', ' ', 'g') AS bare FROM r),
+w AS (SELECT *, list_filter({_WORDS_OF.format('bare')}, lambda x: NOT list_contains({_sql_list(cells.CODES)}, x)) AS sums, {_WORDS_OF.format('s')} AS words FROM b),
+t AS (SELECT *, list_filter(words, lambda x: list_contains({_sql_list(cells.STAMP_WORDS)}, x)) AS stamps, list_filter(words, lambda x: len(list_filter({_sql_list(cells.SEAL_ENDINGS)}, lambda e: ends_with(x, e))) > 0) AS seals FROM w)
+SELECT p_partkey, NOT regexp_matches(bare, '\d') AND len(list_filter(sums, lambda x: list_contains({_sql_list(cells.SUM_CORE)}, x))) > 0 AND len(list_filter(sums, lambda x: NOT list_contains({_sql_list(cells.SUM_CORE + cells.SUM_BESIDE)}, x))) = 0 AS summary,
+  regexp_matches(lower(s), '^\W*not\s+for\s+payment\W*$')
+  OR (len(stamps) > 0 AND len(list_filter(words, lambda x: NOT list_contains({_sql_list(cells.STAMP_WORDS)}, x) AND NOT (length(x) >= {cells.CUT_OFF} AND len(list_filter({_sql_list(cells.STAMP_WORDS)}, lambda y: starts_with(y, x))) > 0))) = 0)
+  OR (len(seals) > 0 AND length(array_to_string(seals, '')) + length(array_to_string(stamps, '')) >= {cells.SEALED} * length(array_to_string(words, ''))) AS stamp FROM t""")
 def no_item_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _pick(LABELS, "event_id")
-    return table(spark, sf_dir, "events").select("event_id", cells.is_summary(d).alias("summary"), cells.is_stamp(d).alias("stamp"))
+    """Names of parts, their types behind the beginnings of labels, and beginnings and ends of labels put together."""
+    k = F.col("p_partkey")
+    pick = lambda words, by: F.element_at(F.array(*map(F.lit, words)), (F.expr(f"p_partkey div {by}") % len(words) + 1).cast("int"))
+    s = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, F.concat(pick(LABEL_HEADS, 4), "p_type")).otherwise(F.concat(pick(LABEL_HEADS, 4), pick(LABEL_TAILS, 7)))
+    return table(spark, sf_dir, "part").select(k, cells.is_summary(s).alias("summary"), cells.is_stamp(s).alias("stamp"))
 
 
-LEADS = ["12 March 2024 Card payment", "2024-03-12 Fee", "March 5, 2023", "Opening balance", "31-Dec-2022", "", None]
-_LEADS = [("2024-03-12", "12 March 2024", "Card payment"), ("2024-03-12", "2024-03-12", "Fee"), ("2023-03-05", "March 5, 2023", ""), (None, None, "Opening balance"), ("2022-12-31", "31-Dec-2022", ""), (None, None, ""), (None, None, None)]
+_LEAD_FORMATS = [("yyyy-MM-dd", "%Y-%m-%d"), ("d MMMM yyyy", "%-d %B %Y"), ("MMMM d, yyyy", "%B %-d, %Y"), ("dd-MMM-yyyy", "%d-%b-%Y"), ("yyyy/M/d", "%Y/%-m/%-d")]
 
 
-@query(f"""SELECT event_id, CAST({_sql_pick([a for a, _, _ in _LEADS], 'event_id')} AS DATE) AS date, {_sql_pick([b for _, b, _ in _LEADS], 'event_id')} AS words, {_sql_pick([c for _, _, c in _LEADS], 'event_id')} AS rest FROM events""")
+@query("WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS d, CASE o_orderkey % 6 " + " ".join(f"WHEN {i} THEN strftime(o_orderdate::DATE, '{f}')" for i, (_, f) in enumerate(_LEAD_FORMATS)) + """ END AS said, 'paid ' || o_orderpriority AS rest FROM orders)
+SELECT o_orderkey, CASE WHEN said IS NOT NULL THEN d END AS date, said AS words, CASE WHEN o_orderkey % 7 = 0 AND said IS NOT NULL THEN '' WHEN said IS NULL AND o_orderkey % 7 = 0 THEN 'undated' ELSE rest END AS rest FROM o""")
 def leading_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", cells.leading_date(_pick(LEADS, "event_id")).alias("d"))
-    return e.select("event_id", F.col("d.value").alias("date"), "d.words", "d.rest")
-
-
-TYPED = ["US$ 1,250.50", "about 12 units", "(300.00)", "HK$-45", "n/a", "€99", "3.5 kg", None]
-_TYPED = ["1250.50", "12", "-300", "-45", None, "99", "3.5", None]
+    """The date of each order in one of five forms, or none, before words about its priority, or nothing."""
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    said = F.coalesce(*[F.when(k % 6 == i, F.date_format(day, f)) for i, (f, _) in enumerate(_LEAD_FORMATS)])
+    rest = F.when(k % 7 != 0, F.concat(F.lit("paid "), "o_orderpriority"))
+    cell = F.when(said.isNull() & rest.isNull(), "undated").otherwise(F.concat_ws(" ", said, rest))
+    return table(spark, sf_dir, "orders").select(k, cells.leading_date(cell).alias("d")).select("o_orderkey", F.col("d.value").alias("date"), "d.words", "d.rest")
 
 
-@query(f"SELECT event_id, CAST({_sql_pick(_TYPED, 'event_id')} AS DECIMAL(28,6)) AS value FROM events")
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders)
+SELECT o_orderkey, CAST(CASE k WHEN 2 THEN -a WHEN 3 THEN -a WHEN 4 THEN o_orderkey % 1000 WHEN 5 THEN NULL ELSE a END AS DECIMAL(28,6)) AS value FROM o""")
 def lenient_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", cells.lenient_amount(_pick(TYPED, "event_id")).alias("value"))
+    """The total of each order as people type it: with a code and a sign, behind words, in brackets, with a minus after a sign, a count of things, and nothing of the kind."""
+    k, a = F.col("o_orderkey"), F.col("o_totalprice").cast("decimal(18,2)")
+    shown = F.format_number(a, 2)
+    typed = F.when(k % 6 == 0, F.concat(F.lit("US$ "), shown)).when(k % 6 == 1, F.concat(F.lit("about "), shown, F.lit(" or so"))).when(k % 6 == 2, F.concat(F.lit("("), shown, F.lit(")"))).when(k % 6 == 3, F.concat(F.lit("HK$-"), shown)).when(k % 6 == 4, F.concat((k % 1000).cast("string"), F.lit(" units"))).otherwise(F.lit("n/a"))
+    return table(spark, sf_dir, "orders").select(k, cells.lenient_amount(typed).alias("value"))
 
 
 @query("""WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate::DATE, '%d.%m.%y') END AS raw, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders)
@@ -354,10 +382,18 @@ def upload_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.upload_guard(files, most_bytes=200_000, extensions=[".pdf", ".csv"], most_pages=200).select("o_orderkey", "refused")
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN '1002 ' || (SELECT name FROM (VALUES " + ", ".join(f"('{c}', '{n.replace(chr(39), chr(39) * 2)}')" for c, n, *_ in accounts.CHART) + ") t(code, name) WHERE code = '1002') WHEN 1 THEN '7777 other' WHEN 2 THEN 'no code' END AS account FROM events")
+_CHART_CODES = [c for c, *_ in accounts.CHART]
+
+
+@query("WITH c(code, name) AS (VALUES " + ", ".join(f"('{c}', '{n.replace(chr(39), chr(39) * 2)}')" for c, n, *_ in accounts.CHART) + f"""),
+r AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN {_sql_pick(_CHART_CODES, '(p_partkey // 4)')} || p_name WHEN 1 THEN '  ' || {_sql_pick(_CHART_CODES, '(p_partkey // 4)')} WHEN 2 THEN (1000 + p_partkey % 9000)::VARCHAR || ' ' || p_type ELSE p_name || ' ' END AS raw FROM part)
+SELECT p_partkey, coalesce(code || ' ' || name, trim(raw)) AS account FROM r LEFT JOIN c ON code = regexp_extract(trim(raw), '^[0-9]+')""")
 def canonical_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "events").select("event_id", _pick(["1002bank", " 7777 other", "no code ", None], "event_id").alias("account"))
-    return views.canonical_account(raw, accounts.chart(spark)).select("event_id", "account")
+    """Codes of the chart before the names of parts, alone behind blanks, codes of any kind, and names without one."""
+    k = F.col("p_partkey")
+    code = F.element_at(F.array(*map(F.lit, _CHART_CODES)), (F.expr("p_partkey div 4") % len(_CHART_CODES) + 1).cast("int"))
+    raw = F.when(k % 4 == 0, F.concat(code, "p_name")).when(k % 4 == 1, F.concat(F.lit("  "), code)).when(k % 4 == 2, F.concat((1000 + k % 9000).cast("string"), F.lit(" "), "p_type")).otherwise(F.concat("p_name", F.lit(" ")))
+    return views.canonical_account(table(spark, sf_dir, "part").select(k, raw.alias("account")), accounts.chart(spark)).select("p_partkey", "account")
 
 
 @query("""SELECT 'e' || o_orderkey AS entry_id, '1100' AS account FROM orders WHERE o_orderkey % 2 = 0 AND o_orderkey % 3 = 0""")
