@@ -138,14 +138,32 @@ def _unreversed(lines: DataFrame) -> DataFrame:
     return lines.where("reverses_id IS NULL").join(small(gone), "entry_id", "left_anti")
 
 
+ACCRUED, SETTLED = ["invoice", "opening"], "settlement"
+
+
+def control_sums(lines: DataFrame) -> DataFrame:
+    """(source_id, side, party, gross, settled, other, balance) of the control accounts, the journal read once.
+
+    An entry meets its reversal by the entry's id, in one grouping: a group with a reversal counts for the balance alone.  Only lines of
+    control accounts take part, as a reversal has a line for each line that it takes back."""
+    touched = lines.withColumn("side", A.control_side(F.col("account"))).where("side IS NOT NULL")
+    signed = F.when(F.col("side") == "AR", F.col("debit") - F.col("credit")).otherwise(F.col("credit") - F.col("debit"))
+    mine = F.col("reverses_id").isNull()
+    own = lambda c: F.max(F.when(mine, F.col(c))).alias(c)
+    entries = touched.groupBy(F.coalesce("reverses_id", "entry_id").alias("_entry"), "side").agg(F.max(~mine).alias("_gone"), total(signed).alias("_all"), total(F.when(mine, signed)).alias("_own"), own("source_id"), own("source_kind"), own("party"))
+    live, kind = ~F.col("_gone"), F.col("source_kind")
+    of = lambda when: total(F.when(live & when, F.col("_own")))
+    zero = F.lit(0).cast("decimal(38,2)")
+    return entries.groupBy("source_id", "side").agg(
+        F.max(F.when(live, F.col("party"))).alias("party"), of(kind.isin(ACCRUED)).alias("gross"), F.coalesce((-of(kind == SETTLED)).cast("decimal(38,2)"), zero).alias("settled"),
+        F.coalesce(of(~kind.isin(*ACCRUED, SETTLED)), zero).alias("other"), total(F.col("_all")).alias("balance"),
+    )
+
+
 def open_items(lines: DataFrame) -> DataFrame:
     """Per source with an accrual on a control account: gross, settled, open; those with something open."""
-    live = _unreversed(lines).withColumn("side", A.control_side(F.col("account"))).where("side IS NOT NULL")
-    signed = F.when(F.col("side") == "AR", F.col("debit") - F.col("credit")).otherwise(F.col("credit") - F.col("debit"))
-    sums = live.groupBy("source_id", "side").agg(
-        F.max("party").alias("party"), total(F.when(F.col("source_kind").isin("invoice", "opening"), signed)).alias("gross"), F.coalesce(total(F.when(F.col("source_kind") == "settlement", -signed)), F.lit(0).cast("decimal(38,2)")).alias("settled")
-    )
-    return sums.where("gross IS NOT NULL").withColumn("open", (F.col("gross") - F.col("settled")).cast("decimal(38,2)")).where("open > 0")
+    sums = control_sums(lines).where("gross IS NOT NULL").select("source_id", "side", "party", "gross", "settled")
+    return sums.withColumn("open", (F.col("gross") - F.col("settled")).cast("decimal(38,2)")).where("open > 0")
 
 
 def over_settled(lines: DataFrame) -> DataFrame:
@@ -159,14 +177,9 @@ def over_settled(lines: DataFrame) -> DataFrame:
 
 def control_reconciliation(lines: DataFrame) -> DataFrame:
     """Per control account: its balance, the open detail, movements of other sources, and whether these agree."""
-    side = A.control_side(F.col("account"))
-    signed = F.when(F.col("side") == "AR", F.col("debit") - F.col("credit")).otherwise(F.col("credit") - F.col("debit"))
     zero = F.lit(0).cast("decimal(38,2)")
-    touched = lines.withColumn("side", side).where("side IS NOT NULL")
-    balance = touched.groupBy("side").agg(total(signed).alias("balance"))
-    detail = open_items(lines).groupBy("side").agg(total(F.col("open")).alias("detail"))
-    other = _unreversed(touched).where(~F.col("source_kind").isin("invoice", "opening", "settlement")).groupBy("side").agg(total(signed).alias("other"))
-    out = balance.join(detail, "side", "left").join(other, "side", "left").select("side", "balance", F.coalesce("detail", zero).alias("detail"), F.coalesce("other", zero).alias("other"))
+    left = (F.col("gross") - F.col("settled")).cast("decimal(38,2)")
+    out = control_sums(lines).groupBy("side").agg(total(F.col("balance")).alias("balance"), F.coalesce(total(F.when(left > 0, left)), zero).alias("detail"), F.coalesce(total(F.col("other")), zero).alias("other"))
     return out.withColumn("agrees", F.col("balance") == F.col("detail") + F.col("other"))
 
 
