@@ -275,3 +275,33 @@ def statement_roundtrip_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(statements.fixed_width(_files(spark, sf_dir, one, "ID DATE\n")))
 
 
+# ---- amounts as they were read
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_orderkey % 6 AS k, o_orderkey % 2 = 0 AS seen, floor(o_totalprice)::BIGINT AS n FROM orders)
+SELECT o_orderkey, CASE k WHEN 1 THEN 'DECIMAL_NONSTANDARD:error' WHEN 2 THEN 'DECIMAL_MISSING:warning' WHEN 3 THEN 'DECIMAL_NONSTANDARD:warning' WHEN 4 THEN 'AMOUNT_FORMAT:error,DECIMAL_MISSING:warning' WHEN 5 THEN 'AMOUNT_SUSPICIOUS:warning' ELSE '' END
+  || CASE WHEN seen THEN ',DECIMAL_NONSTANDARD:info' ELSE ',DECIMAL_NONSTANDARD:warning' END AS issues FROM r""")
+def amount_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The total of each order with two, one, no and three decimals, as words, and with a letter for a digit; beside it one of four decimals that a second reading of every other order confirms."""
+    k, n = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
+    raw = F.when(k % 6 == 0, F.concat(n, F.lit(".25"))).when(k % 6 == 1, F.concat(n, F.lit(".5"))).when(k % 6 == 2, n).when(k % 6 == 3, F.concat(n, F.lit(".125"))).when(k % 6 == 4, "to be agreed").otherwise(F.concat(n, F.lit("O.00")))
+    fine = F.concat(n, F.lit(".0415"))
+    second = F.when(k % 2 == 0, F.concat(F.lit("paid $ "), fine, F.lit(" only")))
+    found = documents.amount_issues({"total_due": raw, "payment_due": fine}, second)
+    text = F.array_join(F.transform("i", lambda x: F.concat(x["code"], F.lit(":"), x["severity"])), ",")
+    # the first field of some orders is in order: a comma before the second one's issue shows it
+    return table(spark, sf_dir, "orders").select(k, found.alias("i")).select("o_orderkey", F.when(k % 6 == 0, F.concat(F.lit(","), text)).otherwise(text).alias("issues"))
+
+
+@query(f"""WITH {ORACLE_INVOICES} SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'TOTAL_MISMATCH' WHEN 3 THEN '' ELSE 'TOTAL_ADJUSTED' END AS issues FROM inv""")
+def adjusted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A discount that the total does not name, one on its line, two that add up on the lines below, and none."""
+    k = F.col("o_orderkey") % 4
+    off = F.lit("12.30").cast("decimal(18,2)")
+    said = F.when(k == 0, "Discount of ten% given\nnothing").when(k == 1, "Items 99.00\nDiscount (10%) -$12.30").when(k == 2, "Deposit paid\n$10.00\nRounding\n2.30").otherwise("Shipping\nfree")
+    inv = invoices(spark, sf_dir).withColumn("adjustments", documents.adjustments(said))
+    gap = F.col("total") - F.when(k < 3, off).otherwise(F.lit(0).cast("decimal(18,2)"))
+    none = F.lit(None)
+    docs = inv.select("o_orderkey", "subtotal", "tax", gap.cast("decimal(18,2)").alias("total"), none.cast("decimal(18,2)").alias("payment_due"), none.cast("string").alias("tax_rate"), "adjustments", F.array().cast("array<decimal(18,2)>").alias("line_amounts"), "invoice_no", F.col("date").alias("invoice_date"), F.col("party").alias("issuer"), none.cast("string").alias("customer"), none.cast("string").alias("symbol"), "currency", F.lit(False).alias("date_ambiguous"), none.cast("string").alias("duplicate_of"), F.lit(1).alias("n_targets"))
+    codes = F.filter(F.transform(documents.issues(), lambda x: x["code"]), lambda c: c.startswith("TOTAL"))
+    return docs.select("o_orderkey", F.array_join(codes, ",").alias("issues"))
