@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import parse_date
-from tallyframe.operators import boxes, cuts, items, pages, statement_pages, transposed
+from tallyframe.operators import blocks, boxes, cuts, items, pages, statement_pages, transposed
 from tallyframe.plans.adapters import ORACLE_INVOICES, dec, he, invoices, table, text
 from tallyframe.plans.bank_queries import _TXN, bank_txns
 from tallyframe.plans.document_queries import _BACK
@@ -265,3 +265,51 @@ def pages_cut_by_hand(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.fields(cuts.documents(cut.where("parts = 2"))).where("field = 'invoice_no'")
     part = F.regexp_extract("doc_id", r"^(\d+):cut(\d)/", 2)
     return found.select(F.regexp_extract("doc_id", r"^(\d+):", 1).cast("long").alias("file"), part.cast("int").alias("asked"), F.col("raw").alias("invoice_no"))
+
+
+# ---- who an invoice is from and to, and its details
+
+
+def letter_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of suppliers to customers, one for each order: the supplier's head on the left, the customer's block on the left or the right, rows of the other half between its lines."""
+    inv = invoices(spark, sf_dir).withColumn("k", F.col("o_orderkey") % 2)
+    cell = lambda x, y, t: F.struct(x.cast("double").alias("x"), F.lit(float(y)).alias("y"), t.alias("text"))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    key = F.col("o_orderkey").cast("string")
+    left, side, other = F.lit(45), F.when(F.col("k") == 0, 45).otherwise(380), F.when(F.col("k") == 0, 380).otherwise(45)
+    own = F.array(
+        cell(left, 10, say("House K", key, " Trading Ltd")), cell(left, 30, say("Quay ", (F.col("o_orderkey") % 90).cast("string"), " North")), cell(left, 50, say("mail", key, "@example.org")), cell(left, 70, F.lit("Date of Issue:")), cell(F.lit(200), 70, F.date_format("date", "yyyy-MM-dd")),
+        cell(side, 100, F.lit("Sold to")), cell(other, 100, say("Invoice No: ", F.col("invoice_no"))), cell(side, 120, F.replace("party", F.lit("Customer#"), F.lit("Trading House "))), cell(other, 140, F.lit("thank you for your order")), cell(side, 160, say("Hall ", (F.col("o_orderkey") % 70).cast("string"))), cell(side, 180, say("+49 30 ", F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"), " 5678")), cell(side, 200, F.lit("Currency: EUR")), cell(side, 220, F.lit("not of the block")),
+    )
+    return laid_out(inv.select(F.col("o_orderkey").alias("doc_id"), F.explode(own).alias("c")).select("doc_id", F.lit(1).alias("page"), "c.*"))
+
+
+@query(f"""WITH {ORACLE_INVOICES} SELECT o_orderkey AS doc_id, unnest(['customer', 'issuer']) AS role, unnest([replace(party, 'Customer#', 'Trading House '), 'House K' || o_orderkey || ' Trading Ltd']) AS name, unnest(['Hall ' || (o_orderkey % 70), 'Quay ' || (o_orderkey % 90) || ' North']) AS address,
+  unnest([NULL, 'mail' || o_orderkey || '@example.org']) AS email, unnest(['+49 30 ' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') || ' 5678', NULL]) AS phone FROM inv""")
+def page_parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = letter_words(spark, sf_dir)
+    to = blocks.customers(words)
+    return to.unionByName(blocks.issuers(words, to))
+
+
+def schedule_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Behind each order's total its items by the letter that returned them, each letter a category with its sum."""
+    rows = order_items(spark, sf_dir)
+    w = Window.partitionBy("o_orderkey").orderBy("mode", "n")
+    g = Window.partitionBy("o_orderkey", "mode")
+    rows = rows.withColumn("at", F.row_number().over(w)).withColumn("group", F.dense_rank().over(Window.partitionBy("o_orderkey").orderBy("mode"))).withColumn("sum", F.sum("amount").over(g)).withColumn("last", F.col("n") == F.max("n").over(g)).withColumn("first", F.col("n") == F.min("n").over(g))
+    y = 100 + STEP * (F.col("at") + 2 * F.col("group"))
+    cell = lambda x, y, t: F.struct(F.lit(float(x)).alias("x"), y.cast("double").alias("y"), t.alias("text"))
+    plain = lambda c: F.format_number(c, 2)
+    dated = F.when(F.col("n") % 2 == 0, F.concat(F.lit("2024-05-17 "), "name")).otherwise(F.col("name"))
+    own = F.array_compact(F.array(F.when(F.col("first"), cell(45, y - STEP, F.concat(F.lit("Returned as "), "mode"))), cell(45, y, dated), cell(500, y, plain("amount")), F.when(F.col("last"), cell(500, y + STEP, plain("sum")))))
+    body = rows.select(F.col("o_orderkey").alias("doc_id"), F.explode(own).alias("c"))
+    head = rows.select(F.col("o_orderkey").alias("doc_id")).distinct().select("doc_id", F.explode(F.array(cell(45, F.lit(10), F.lit("DESCRIPTION")), cell(500, F.lit(10), F.lit("AMOUNT")), cell(45, F.lit(30), F.lit("All items")), cell(500, F.lit(30), F.lit("1.00")), cell(45, F.lit(50), F.lit("Total Due")), cell(500, F.lit(50), F.lit("1.00")), cell(45, F.lit(70), F.lit("Breakdown by return")))).alias("c"))
+    return laid_out(body.unionByName(head).select("doc_id", F.lit(1).alias("page"), "c.*"))
+
+
+@query(f"""WITH {_ORDER_ITEMS}, s AS (SELECT *, dense_rank() OVER (PARTITION BY o_orderkey ORDER BY mode) AS g, row_number() OVER (PARTITION BY o_orderkey, mode ORDER BY n) AS k, sum(CAST(amount * 100 AS BIGINT)) OVER (PARTITION BY o_orderkey, mode) AS c FROM oi)
+SELECT o_orderkey AS doc_id, g::INT AS category_no, 'Returned as ' || mode AS category, k::INT AS n, CASE WHEN n % 2 = 0 THEN '2024-05-17' END AS date, name AS description, amount, {dec("c")}::DECIMAL(18,2) AS subtotal FROM s""")
+def page_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.schedules(schedule_words(spark, sf_dir))
+    return found.select("doc_id", F.col("category_no").cast("int").alias("category_no"), "category", "n", "date", "description", F.col("amount").cast("decimal(18,2)").alias("amount"), F.col("subtotal").cast("decimal(18,2)").alias("subtotal"))
