@@ -10,7 +10,7 @@ from tallyframe.operators import blocks, boxes, cuts, items, pages, statement_pa
 from tallyframe.plans.adapters import ORACLE_INVOICES, dec, he, invoices, table, text
 from tallyframe.plans.bank_queries import _TXN, bank_txns
 from tallyframe.plans.document_queries import _BACK
-from tallyframe.sources import sheets
+from tallyframe.sources import reader, sheets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -313,3 +313,21 @@ SELECT o_orderkey AS doc_id, g::INT AS category_no, 'Returned as ' || mode AS ca
 def page_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = blocks.schedules(schedule_words(spark, sf_dir))
     return found.select("doc_id", F.col("category_no").cast("int").alias("category_no"), "category", "n", "date", "description", F.col("amount").cast("decimal(18,2)").alias("amount"), F.col("subtotal").cast("decimal(18,2)").alias("subtotal"))
+
+
+@query(_BACK)
+def statements_of_any_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements by number modulo 4 as text with semicolons and quotes, as tabs with two columns of amounts, as a list of objects, and as one object a line; one reader reads them all."""
+    t = bank_txns(spark, sf_dir).withColumn("signed", F.when(F.col("incoming"), F.col("amount")).otherwise(-F.col("amount")).cast("decimal(18,2)").cast("string")).withColumn("plain", F.col("amount").cast("decimal(18,2)").cast("string"))
+    k, day = F.col("stmt") % 4, F.date_format("date", "yyyy-MM-dd")
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    record = F.when(k == 0, say(day, ';"', F.col("description"), '";', F.col("signed"))).when(k == 1, say(day, "\t", F.when(~F.col("incoming"), F.col("plain")).otherwise(""), "\t", F.when(F.col("incoming"), F.col("plain")).otherwise(""), "\t", F.col("description")))
+    record = record.otherwise(say('{"Date": "', day, '", "Amount": "', F.col("signed"), '", "Description": "', F.col("description"), '"}'))
+    rows = t.groupBy("stmt").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", record.alias("r")))), lambda x: x["r"]).alias("rs"))
+    head = F.when(k == 0, "Account 1\nDate;Description;Amount\n").when(k == 1, "Date\tDebit\tCredit\tDescription\n").when(k == 2, "[").otherwise("")
+    ending = F.element_at(F.array(*map(F.lit, [".csv", ".tsv", ".json", ".ndjson"])), (k + 1).cast("int"))
+    files = rows.select(say("s", F.lpad(F.col("stmt").cast("string"), 9, "0"), ending).alias("file"), say(head, F.when(k == 2, F.array_join("rs", ",")).otherwise(F.array_join("rs", "\n")), F.when(k == 2, "]").otherwise("")).alias("content"))
+    read = reader.transactions(files)
+    # lines before the heads are counted in some formats: the order of the rows is their number
+    idx = F.row_number().over(Window.partitionBy("file").orderBy("idx")) - 1
+    return read.select(F.expr("cast(substring(file, 2, 9) as bigint)").alias("file"), idx.cast("long").alias("idx"), "date", F.col("amount").cast("decimal(38,2)").alias("amount"), "description")
