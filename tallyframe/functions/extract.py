@@ -9,17 +9,43 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CODES = "USD|EUR|GBP|HKD|SGD|CNY|JPY|AUD|CAD|CHF|USDC|USDT"
+#: Any code of three capitals, and two of four.
+CODES = "USDC|USDT|[A-Z]{3}"
 
 
 def _first(s: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(s, pattern, group), F.lit(""))
 
 
+#: Where a code stands: behind a label, in brackets, behind `in`, and before a number with decimals or groups.
+CODE_PATTERNS = [rf"(?i:currency|\bccy)\s*[:：]?\s*({CODES})\b", rf"\(\s*({CODES})\s*\)", rf"\b(?i:in) ({CODES})\b", rf"\b({CODES})\s*(?:\d{{1,3}}(?:,\d{{3}})+|\d+\.\d{{2}})"]
+
+
 def currency(s: Column) -> Column:
     """By label, header `(GBP)`, `in USD`, a code before an amount, then signs; a bare dollar or yen sign tells nothing."""
     sign = F.when(s.rlike(r"US\$"), "USD").when(s.rlike(r"HK\$"), "HKD").when(s.rlike(r"S\$\s?\d"), "SGD").when(s.rlike("€"), "EUR").when(s.rlike("£"), "GBP")
-    return F.coalesce(_first(s, rf"(?i)currency\s*[:：]?\s*({CODES})\b"), _first(s, rf"\(({CODES})\)"), _first(s, rf"(?i)\bin ({CODES})\b"), _first(s, rf"\b({CODES})\s?\d"), sign)
+    for mark, code in (("₹", "INR"), ("₩", "KRW"), ("฿", "THB"), ("₱", "PHP"), ("₦", "NGN"), ("₫", "VND"), ("₪", "ILS")):
+        sign = sign.when(F.contains(s, F.lit(mark)), code)
+    return F.coalesce(*[_first(s, p) for p in CODE_PATTERNS], sign)
+
+
+#: A number as sentences have it, with a code or a sign before it; no rate.
+_SAID = r"(?:[A-Z]{3}\s*)?[$€£¥₹]?\s*(\d[\d,]*(?:\.\d+)?)(?![\d.,]*\d|\s*%)"
+_LINK = r"\s*(?:(?:is|of|totals?|totalling|amounts to|comes to)\b)?\s*[:：=]?\s*"
+
+
+def prose_amounts(s: Column) -> Column:
+    """struct(subtotal, sales_tax, total_due) as sentences name them: `the subtotal is USD 2,605.00`, `applicable tax: 201.89`.
+
+    Nothing but a verb or a colon may stand between the words and the amount, so a service called Tax Advisory has no tax; the tax in `total excl. GST` is part of another name."""
+    amount = lambda words: _first(s, rf"(?i)(?<!excl )(?<!excl\. )(?<!incl )(?<!incl\. )(?<!before )(?<!excluding )(?<!including )\b(?:{words})\b{_LINK}(?-i:{_SAID})")
+    return F.struct(amount(r"sub\s?total").alias("subtotal"), amount(r"(?:applicable |sales )?(?:tax|vat|gst)").alias("sales_tax"), amount(r"(?<!sub)(?<!sub )total(?: amount)?(?: due| payable)?").alias("total_due"))
+
+
+def included_tax(s: Column) -> Column:
+    """struct(rate, amount) of `incl. tax (15%): GBP 11,700.00`."""
+    pattern = rf"(?i)\bincl(?:uding|usive of|\.)?\s*(?:of\s+)?(?:tax|vat|gst)\s*\(?\s*(\d+(?:\.\d+)?)\s*%\s*\)?\s*[:：]?\s*(?-i:{_SAID})"
+    return F.struct(F.nullif(F.concat(_first(s, pattern, 1), F.lit("%")), F.lit("%")).alias("rate"), _first(s, pattern, 2).alias("amount"))
 
 
 def period(s: Column) -> Column:
@@ -72,7 +98,7 @@ def is_statement(s: Column) -> Column:
 def statement_head(s: Column) -> Column:
     """struct(opening, closing, currency, account)."""
     amount = lambda label: F.replace(_first(s, rf"(?i)(?:{label})\s*[:：]?\s*(?:[A-Z]{{3}}\s*)?(-?[\d,]+\.\d{{2}})"), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
-    return F.struct(amount("opening balance|brought forward").alias("opening"), amount("closing balance|carried forward").alias("closing"), _first(s, rf"(?i)currency\s*[:：]?\s*({CODES})\b").alias("currency"), _first(s, r"(?i)account (?:no\.?|number)\s*[:：]?\s*([A-Z0-9-]{5,34})").alias("account"))
+    return F.struct(amount("opening balance|brought forward").alias("opening"), amount("closing balance|carried forward").alias("closing"), _first(s, CODE_PATTERNS[0]).alias("currency"), _first(s, r"(?i)account (?:no\.?|number)\s*[:：]?\s*([A-Z0-9-]{5,34})").alias("account"))
 
 
 def useful_chars(s: Column) -> Column:

@@ -149,16 +149,29 @@ def opening_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- text
 
-_NOTES = ["Currency: EUR total 5", "Invoice (GBP) for work", "amounts in USD only", "HKD 12.00 due", "pay €5", "costs $5", "US$ 7", "none"]
-_NOTE_SQL = "[" + ", ".join(f"'{n}'" for n in _NOTES) + "]"
+_CODE_FORMS = ["Currency: {c} total", "Amount ({c}) for work", "amounts in {c} only", "{c} {a} due", "pay €{a}", "costs ${a}", "US${a}", "none", "ccy {c}", "₩{a}", "Total {c} {a}"]
+_CODE_SQL = "CASE o_orderkey % 11 " + " ".join(f"WHEN {i} THEN " + " || ".join(x for x in ("'" + f.replace("{c}", "' || c || '").replace("{a}", "' || a || '") + "'").split(" || ") if x != "''") for i, f in enumerate(_CODE_FORMS)) + " END"
 
 
-@query(rf"""WITH s AS (SELECT o_orderkey, {_NOTE_SQL}[o_orderkey % 8 + 1] AS s FROM orders)
-SELECT o_orderkey, coalesce(nullif(regexp_extract(s, '(?i)currency\s*[:：]?\s*({extract.CODES})\b', 1), ''), nullif(regexp_extract(s, '\(({extract.CODES})\)', 1), ''), nullif(regexp_extract(s, '(?i)\bin ({extract.CODES})\b', 1), ''), nullif(regexp_extract(s, '\b({extract.CODES})\s?\d', 1), ''),
-  CASE WHEN regexp_matches(s, 'US\$') THEN 'USD' WHEN regexp_matches(s, 'HK\$') THEN 'HKD' WHEN regexp_matches(s, '€') THEN 'EUR' WHEN regexp_matches(s, '£') THEN 'GBP' END, '') AS currency FROM s""")
+@query(rf"""WITH n AS (SELECT o_orderkey, upper(substr(n_name, 1, 3)) AS c, CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR AS a FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), s AS (SELECT o_orderkey, {_CODE_SQL} AS s FROM n)
+SELECT o_orderkey, coalesce({", ".join(f"nullif(regexp_extract(s, '{p}', 1), '')" for p in extract.CODE_PATTERNS)}, CASE WHEN regexp_matches(s, 'US\$') THEN 'USD' WHEN regexp_matches(s, '€') THEN 'EUR' WHEN contains(s, '₩') THEN 'KRW' END, '') AS currency FROM s""")
 def currency_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.element_at(F.array(*map(F.lit, _NOTES)), (F.col("o_orderkey") % 8 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(extract.currency(s), F.lit("")).alias("currency"))
+    """Three capitals of each customer's nation, and the order's total, in eleven wordings."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    named = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    code, amount = F.upper(F.substring("n_name", 1, 3)), F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    said = F.coalesce(*[F.when(F.col("o_orderkey") % 11 == i, F.replace(F.replace(F.lit(f), F.lit("{c}"), code), F.lit("{a}"), amount)) for i, f in enumerate(_CODE_FORMS)])
+    return named.select("o_orderkey", F.coalesce(extract.currency(said), F.lit("")).alias("currency"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 4 AS k, CAST(o_totalprice AS DECIMAL(18,2))::VARCHAR AS a, CAST(o_orderkey % 90 + 1 AS VARCHAR) || '.05' AS t FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (0, 1) THEN a END AS subtotal, CASE WHEN k IN (0, 2) THEN t END AS sales_tax, CASE WHEN k IN (0, 3) THEN a END AS total_due, CASE WHEN k = 2 THEN '15%' END AS rate, CASE WHEN k = 2 THEN a END AS included FROM o""")
+def amounts_in_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey") % 4
+    a, t = F.col("o_totalprice").cast("decimal(18,2)").cast("string"), F.concat((F.col("o_orderkey") % 90 + 1).cast("string"), F.lit(".05"))
+    said = F.when(k == 0, F.concat(F.lit("The subtotal is USD "), a, F.lit(". Applicable tax is USD "), t, F.lit(". The total amount due is "), a, F.lit("."))).when(k == 1, F.concat(F.lit("Tax Advisory 2 "), t, F.lit(" Sub total: "), a)).when(k == 2, F.concat(F.lit("sales tax = "), t, F.lit(" with total excl. VAT "), a, F.lit("; incl. tax (15%): GBP "), a)).otherwise(F.concat(F.lit("total payable: "), a))
+    both = table(spark, sf_dir, "orders").select("o_orderkey", extract.prose_amounts(said).alias("p"), extract.included_tax(said).alias("i"))
+    return both.select("o_orderkey", "p.*", F.col("i.rate").alias("rate"), F.col("i.amount").alias("included"))
 
 
 @query("SELECT o_orderkey, o_orderdate::DATE AS s, CASE WHEN o_orderkey % 4 < 3 THEN o_orderdate::DATE + 30 ELSE DATE '1900-01-01' END AS e FROM orders WHERE o_orderkey % 4 < 3 UNION ALL SELECT o_orderkey, DATE '1900-01-01', DATE '1900-01-01' FROM orders WHERE o_orderkey % 4 = 3")

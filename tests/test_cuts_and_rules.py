@@ -40,3 +40,24 @@ def test_sentences(spark):
     got = {r.id: (r.match_key, r.category, r.account, r.target, r.value, r.missing) for r in rule_text.read(rules, pairs).collect()}
     for i, (_, sentence, _, want) in enumerate(SENTENCES):
         assert got[i] == want, sentence
+
+
+PROSE = {
+    "The subtotal is USD 2,605.00. Applicable tax is USD 201.89. The total amount due is USD 2,806.89.": ("2,605.00", "201.89", "2,806.89"),
+    "Fund Administration 133,500.00 Tax Advisory 2 32,500.00 65,000.00 Subtotal GBP 217,000.00 Total Due GBP 217,000.00": ("217,000.00", None, "217,000.00"),
+    "Total excl. GST HK$5,096.00 Please Pay HK$5,096.00": (None, None, None),
+    "Sub total: 12 and VAT = 5% only": ("12", None, None),
+    "": (None, None, None),
+    None: (None, None, None),
+}
+
+
+def test_amounts_in_sentences(spark):
+    from pyspark.sql import functions as F
+
+    from tallyframe.functions import extract
+
+    rows = spark.createDataFrame([(t,) for t in PROSE], "t string").select("t", extract.prose_amounts(F.col("t")).alias("p")).collect()
+    assert {r.t: tuple(r.p) for r in rows} == PROSE
+    taxed = spark.createDataFrame([("Total Incl. tax (15%): GBP 11,700.00",), ("incl. VAT £1,200.00",), (None,)], "t string").select(extract.included_tax(F.col("t")).alias("p")).collect()
+    assert [tuple(r.p) for r in taxed] == [("15%", "11,700.00"), (None, None), (None, None)]
