@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,18 +39,50 @@ def new_proposals(proposed: DataFrame, known: DataFrame) -> DataFrame:
     return proposed.join(known.select("match_key").distinct(), "match_key", "left_anti")
 
 
+STATES = ["", "proposed", "confirmed", "rejected", "acknowledged"]
+#: Action -> the state it needs and the one it gives.
+ACTIONS = {"propose": ("", "proposed"), "confirm": ("proposed", "confirmed"), "reject": ("proposed", "rejected"), "ack": ("proposed", "acknowledged"), "unconfirm": ("confirmed", "proposed"), "unreject": ("rejected", "proposed"), "unack": ("acknowledged", "proposed")}
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(match_id, part, map, n): what the actions of a match in this range make of each state, as one digit for each state."""
+    part, now, digits, n, out = TaskContext.get().partitionId(), None, list(range(len(STATES))), 0, []
+    steps = {a: (STATES.index(need), STATES.index(gives)) for a, (need, gives) in ACTIONS.items()}
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in out], kind) for i, kind in ((0, kind_of[0]), (1, pa.int32()), (2, pa.string()), (3, pa.int64()))]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["match_id", "part", "map", "n"])
+
+    kind_of = [None]
+    for b in batches:
+        kind_of[0] = b.schema.field(0).type
+        for match, action in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if n and match != now:
+                out.append((now, part, "".join(map(str, digits)), n))
+                digits, n = list(range(len(STATES))), 0
+                if len(out) >= 4096:
+                    yield batch()
+            now, n = match, n + 1
+            need, gives = steps.get(action, (None, None))
+            digits = [gives if d == need else d for d in digits]
+    if n:
+        out.append((now, part, "".join(map(str, digits)), n))
+    if out:
+        yield batch()
+
+
 def match_states(events: DataFrame) -> DataFrame:
     """events(match_id, seq, action) -> the state that the last valid action left.
 
-    Actions follow one another: propose, confirm, reject, ack, unconfirm, unreject, unack.  An action that the state before
-    it does not allow changes nothing; as each needs one state and gives one, the last valid one is the last whose need the action before it, itself valid, gave."""
-    gives = {"propose": "proposed", "confirm": "confirmed", "reject": "rejected", "ack": "acknowledged", "unconfirm": "proposed", "unreject": "proposed", "unack": "proposed"}
-    needs = {"confirm": "proposed", "reject": "proposed", "ack": "proposed", "unconfirm": "confirmed", "unreject": "rejected", "unack": "acknowledged"}
-    table = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
-    # a match has a handful of actions, so they are folded in an array
-    acts = events.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("seq", "action"))).alias("a"))
-    step = lambda s, x: F.when((x["action"] == "propose") & (s == ""), F.lit("proposed")).when(F.try_element_at(table(needs), x["action"]) == s, F.try_element_at(table(gives), x["action"])).otherwise(s)
-    return acts.select("match_id", F.aggregate("a", F.lit(""), step).alias("state"), F.size("a").alias("n_actions"))
+    An action that the state before it does not allow changes nothing.  Actions are dealt by ranges of (match, number), and each range is folded into a map of the five states to the
+    five states; a match is composed of as many maps as ranges it lies in, so one of any number of actions neither fills a task nor an array."""
+    kind = events.schema["match_id"].dataType.simpleString()
+    ranged = events.select("match_id", "action", "seq").repartitionByRange("match_id", "seq").sortWithinPartitions("match_id", "seq", "action")
+    maps = ranged.select("match_id", "action").mapInArrow(_maps, f"match_id {kind}, part int, map string, n bigint")
+    whole = maps.groupBy("match_id").agg(F.array_sort(F.collect_list(F.struct("part", "map"))).alias("m"), F.sum("n").cast("int").alias("n_actions"))
+    last = F.aggregate("m", F.lit("0"), lambda s, x: F.substring(x["map"], s.cast("int") + 1, F.lit(1)))
+    return whole.select("match_id", F.element_at(F.array(*map(F.lit, STATES)), last.cast("int") + 1).alias("state"), "n_actions")
 
 
 def doubly_used(members: DataFrame) -> DataFrame:

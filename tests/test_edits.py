@@ -96,3 +96,23 @@ def test_stream(spark, tmp_path):
         q = log.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).foreachBatch(lambda df, _: got.extend(df.collect())).start()
         q.awaitTermination(120)
     assert sorted((r.doc_id, r.seq, r.old, r.new, r.refused, r.rev) for r in got) == [("a", 1, None, "open", None, 0), ("a", 2, None, "x", None, 1), ("a", 3, "x", "z", None, 2), ("b", 1, None, None, "no such document", None)]
+
+
+def test_match_states_by_ranges(spark):
+    import random
+
+    from tallyframe.operators import lifecycle
+
+    rng = random.Random(8)
+    events = [(m, i, rng.choice(["propose"] * (i == 0) or [*lifecycle.ACTIONS, "nonsense"])) for m, n in ((1, 900), (2, 1), (3, 40), (None, 5)) for i in range(n)]
+    want = {}
+    for m, _, action in sorted(events, key=lambda e: (str(e[0]), e[1])):
+        need, gives = lifecycle.ACTIONS.get(action, (None, None))
+        state, n = want.get(m, ("", 0))
+        want[m] = (gives if state == need else state, n + 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        out = lifecycle.match_states(spark.createDataFrame(rng.sample(events, len(events)), "match_id int, seq int, action string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {r.match_id: (r.state, r.n_actions) for r in out} == want
