@@ -87,10 +87,14 @@ def leading_date(cell: Column) -> Column:
     words = F.filter(F.split(F.trim(F.coalesce(cell, F.lit(""))), r"\s+"), lambda w: w != "")
 
     def read(w: Column) -> Column:
-        tried = [F.when(F.size(w) >= n, parse_date(F.array_join(F.slice(w, 1, n), " "))["value"]) for n in (3, 2, 1)]
-        n = F.when(tried[0].isNotNull(), 3).when(tried[1].isNotNull(), 2).when(tried[2].isNotNull(), 1)
-        rest = F.when(n.isNull(), cell).otherwise(F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(0))), " "))
-        return F.struct(F.coalesce(*tried).alias("value"), F.when(n.isNotNull(), F.array_join(F.slice(w, 1, n), " ")).alias("words"), rest.alias("rest"))
+        tried = F.struct(*[F.when(F.size(w) >= n, parse_date(F.array_join(F.slice(w, 1, n), " "))["value"]).alias(f"t{n}") for n in (3, 2, 1)])
+
+        def result(t: Column) -> Column:
+            n = F.when(t["t3"].isNotNull(), 3).when(t["t2"].isNotNull(), 2).when(t["t1"].isNotNull(), 1)
+            rest = F.when(n.isNull(), cell).otherwise(F.array_join(F.slice(w, n + 1, F.greatest(F.size(w) - n, F.lit(0))), " "))
+            return F.struct(F.coalesce(t["t3"], t["t2"], t["t1"]).alias("value"), F.when(n.isNotNull(), F.array_join(F.slice(w, 1, n), " ")).alias("words"), rest.alias("rest"))
+
+        return let(tried, result)  # each try is made once
 
     return let(words, read)
 
