@@ -2,19 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyframe.session import checkpointed, release
 
 
+#: Edges that one task joins by itself; more go through rounds over all tasks.
+FEW = 250_000
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges, by a forest whose roots are the least nodes."""
+    parent: dict = {}
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(n) for n in nodes], kind)], names=["node", "component"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges(a, b), any order, repeats and loops allowed -> (node, component), the least node of each component.
 
     Only nodes with an edge to another one are returned.  Every step is a minimum for each node and a join with it,
-    so no neighbourhood is gathered; each round is checkpointed, and rounds end when the edges stay the same."""
+    so no neighbourhood is gathered; each round is checkpointed, and rounds end when the edges stay the same.  Up to FEW edges
+    are joined in one task instead, as a round over all tasks costs more than they do."""
     now = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(now)
+    if state[0] <= FEW:
+        kind = now.schema["a"].dataType.simpleString()
+        return now.coalesce(1).mapInArrow(_joined, f"node {kind}, component {kind}")
     while state[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
