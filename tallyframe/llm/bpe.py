@@ -224,6 +224,7 @@ def tokenize(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "d
             if with_ids:
                 arrays, names = [*arrays, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        codec.known.clear()  # the worker may go on to another stage
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col])
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
