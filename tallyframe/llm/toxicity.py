@@ -35,7 +35,9 @@ STEM = range(3, 9)
 EVIDENCE = 30.0
 THRESHOLD = 0.5
 #: Tokens, or stems and their counts, that a worker holds at once.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
+#: Bytes of text that a worker holds as Python strings at once.
+TEXT_BYTES = 1 << 20
 
 # fixed values: common English insults
 LEXICON = ("bastard", "clown", "coward", "creep", "cretin", "degenerate", "disgusting", "dumb", "dumbass", "filth", "filthy", "freak", "garbage", "idiot", "idiotic", "imbecile", "jerk", "liar", "loser", "moron", "moronic", "parasite", "pathetic", "pig", "retard", "scum", "scumbag", "shithead", "slut", "stupid", "subhuman", "trash", "useless", "vermin", "whore", "worthless")
@@ -304,6 +306,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             x[i, list(seen)] = 1
             hits = sum(c for k, c in seen.items() if votes[k])
             x[i, -2:] = np.log1p(hits), np.log1p(1000 * hits / max(1, n))
+    # rows come in the order of their tasks: sorted, the sums below are the same to the last digit in every run
+    order = np.lexsort(np.vstack([x.T, y]))
+    x, y = x[order], y[order]
     if not len(y) or y.min() == y.max():  # nothing to learn from: any vote counts
         model.weights[: len(names)] = np.where(votes, 4.0, 0.0)
         model.weights[-1] = -3.0
@@ -328,7 +333,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         read = Reader(model.names)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", TEXT_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(batch.column(1).to_pylist(), read).astype(float), pa.float64())], names=["id", "score"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -344,7 +349,7 @@ def reject(docs: DataFrame, model: Model, *, text_col: str = "text", threshold:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         read = Reader(model.names)
-        for batch in sliced(batches, text_col):
+        for batch in sliced(batches, text_col, TEXT_BYTES):
             texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             yield batch.filter(pa.array(model.scores(texts, read) < threshold))
 
