@@ -30,7 +30,7 @@ from tallyframe.llm.common import checkpointed, raw, sliced
 from tallyframe.operators.components import connected_components
 from tallyframe.llm import simhash
 from tallyframe.llm.simhash import FEW
-from tallyframe.session import BROADCAST_ROWS
+from tallyframe.session import BROADCAST_ROWS, release
 
 SHINGLE, SEED, SIMILARITY = 5, 42, 0.8
 #: One document in so many tells which shingles are frequent, from so many documents on; the broadcast holds MOST of them.
@@ -238,6 +238,7 @@ def components(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, o
     """rows(id, text), own(id, fp), near(a, b) of first candidates -> (node, component) of all that similar pairs connect."""
     first = checkpointed(own.groupBy("fp").agg(F.min("id").alias("id")))  # copies are one row from here on
     parts = checkpointed(connected_components(_checked(rows, first, near, shingle, of)))
+    release(rows.sparkSession)
     met, width = checkpointed(_met(_prefixes(rows, shingle, of), WIDTH, of)), WIDTH
     # keys to go on with; the rows of a key lie together, in order, in one partition of what is kept, so later rounds don't deal them again
     left = met.where("h IS NOT NULL").select("h", "fp", "n_at")
@@ -258,6 +259,8 @@ def components(rows: DataFrame, own: DataFrame, near: DataFrame, shingle: int, o
         classed = left.join(named, "fp", "left").select("h", "fp", "n_at", F.coalesce("component", "fp").alias("class"))
         width *= MORE
         met = checkpointed(_met(classed, width, of, dealt=few, later=True))
+        del pairs, apart, good, named, classed, known
+        release(rows.sparkSession)
 
 
 def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = simhash.RADIUS, crowd: int = simhash.CROWD) -> DataFrame:
