@@ -38,7 +38,9 @@ def prose_amounts(s: Column) -> Column:
     """struct(subtotal, sales_tax, total_due) as sentences name them: `the subtotal is USD 2,605.00`, `applicable tax: 201.89`.
 
     Nothing but a verb or a colon may stand between the words and the amount, so a service called Tax Advisory has no tax; the tax in `total excl. GST` is part of another name."""
-    amount = lambda words: _first(s, rf"(?i)(?<!excl )(?<!excl\. )(?<!incl )(?<!incl\. )(?<!before )(?<!excluding )(?<!including )\b(?:{words})\b{_LINK}(?-i:{_SAID})")
+    # a tax that is only named as left out or included goes first, and a total without it with the name
+    said = F.regexp_replace(s, r"(?i)\b(?:total\s+)?(?:excl|excluding|incl|including|before)\b\.?\s+(?:tax|vat|gst)\b", " ; ")
+    amount = lambda words: _first(said, rf"(?i)\b(?:{words})\b{_LINK}(?-i:{_SAID})")
     return F.struct(amount(r"sub\s?total").alias("subtotal"), amount(r"(?:applicable |sales )?(?:tax|vat|gst)").alias("sales_tax"), amount(r"(?<!sub)(?<!sub )total(?: amount)?(?: due| payable)?").alias("total_due"))
 
 

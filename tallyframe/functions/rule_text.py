@@ -11,14 +11,26 @@ FIELD_NAMES = {
     "currency_settlement": ["结算币种", "settlement currency"], "subtotal": ["税前金额", "subtotal"], "payment_due": ["应付金额", "amount due"], "total_due": ["总金额", "total"], "invoice_date": ["发票日期", "invoice date"], "invoice_no": ["发票号", "invoice number"], "payment_due_date": ["到期日", "due date"],
     "bank_name": ["开户行", "bank name"], "bank_account_no": ["账号", "account number"], "issuer_name": ["开票方", "issuer"], "customer_name": ["客户", "customer"], "currency": ["币种", "currency"], "sales_tax": ["税额", "tax amount"], "tax_rate": ["税率", "tax rate"], "bank_swift": ["SWIFT"],
 }
-_IS = r"(?:\s*[=＝:：是为]\s*|\s+is\s+)"
-_END = r"(?=[，,；;。.\n]|$)"
+# fixed values: marks and words that set a value, pairs of quotes, words that a sentence begins with, and words on splitting a file
+SETS, FILLS = "=＝:：是为", ["填为", "填成", "填入", "填进", "set to", "fill with"]
+QUOTES = [("「", "」"), ("“", "”"), ('"', '"')]
+OPENERS = ["以后", "今后", "之后", "往后", "接下来", "凡是", "所有"]
+ONE, SEVERAL = ["单张", "当作一张", "合并", "one invoice"], ["多张", "拆开", "分开", "several invoices"]
+SPLIT, NOT, MORE = ["拆", "split"], ["不", "别", "not "], ["多", "积极"]
+
+_STOPS = "，,；;。\n"
+_IS = rf"(?:\s*[{SETS}]\s*|\s+is\s+)"
+_END = rf"(?=[{_STOPS}.]|$)"
 
 
 def _first(text: Column, pattern: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
 
 
+def _any(text: Column, words: list[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
 def target(text: Column) -> Column:
     """The field that is named first, of names that begin together the longest; `issuer = X` says whose invoices, and names no field."""
     low = F.lower(F.regexp_replace(text, rf"(?i)(?:开票方|\bissuer){_IS}", " "))
@@ -27,19 +39,29 @@ def target(text: Column) -> Column:
 
 
 def value(text: Column) -> Column:
-    """What stands in quotes, else behind `set to`, `fill with` or 填为."""
-    return F.coalesce(_first(text, r"[「\"“](.+?)[」\"”]"), _first(text, rf"(?i)(?:填[为成入进]{_IS}?|\b(?:set to|fill with)\s+)(.+?)\s*{_END}"))
+    """What stands in quotes, else behind a word that fills something in."""
+    quoted = [_first(text, rf"{a}([^{a}{b}]+){b}") for a, b in QUOTES]
+    filled = [_first(text, rf"(?i){w}{_IS}?\s*(\S.*?)\s*{_END}") for w in FILLS]
+    return F.coalesce(*quoted, *filled)
 
 
 def issuer(text: Column) -> Column:
-    """X of `issuer = X`, `X 家`, `X 的发票`, `invoices from X`, without the words that a sentence begins with."""
-    said = F.coalesce(_first(text, rf"(?i)(?:开票方|\bissuer){_IS}(.+?)(?=\s|的|[，,；;。\n]|$)"), _first(text, r"(?i)\binvoices? (?:from|of) (.+?)(?=\s+(?:always|go|goes|are|is|book|to|as|under)\b|[，,；;。.\n]|$)"), _first(text, r"([^\s，,；;。的]+?)\s*家"), _first(text, r"([^\s，,；;。]+?)\s*的发票"))
-    return F.nullif(F.trim(F.regexp_replace(said, r"^(?:以后|今后|之后|往后|接下来|凡是|所有)\s*", "")), F.lit(""))
+    """X of `issuer = X`, `X 的发票`, `X 家` and `invoices from X`, without the words that a sentence begins with."""
+    said = _first(text, rf"(?i)(?:开票方|\bissuer){_IS}([^\s的{_STOPS}]+)")
+    english = _first(text, rf"(?i)\binvoices? (?:from|of) (.+?)(?=\s+(?:always|go|goes|are|is|book|to|as|under)\b|[{_STOPS}.]|$)")
+    # the last word before the mark
+    before = F.when(F.contains(text, F.lit("的发票")), F.substring_index(text, "的发票", 1)).when(F.contains(text, F.lit("家")), F.substring_index(text, "家", 1))
+    marked = F.try_element_at(F.split(F.trim(before), rf"[\s的{_STOPS}]+"), F.lit(-1))
+    found = F.regexp_replace(F.trim(F.coalesce(said, english, marked)), rf"^(?:{'|'.join(OPENERS)})\s*|家$", "")
+    return F.nullif(F.trim(found), F.lit(""))
 
 
 def many(text: Column) -> Column:
-    """single or multi: whether a file is one invoice or several."""
-    return F.when(text.rlike(r"(?i)单张|不.*拆|别.*拆|当作一张|合并|\bone invoice\b|\bdo not split\b"), "single").when(text.rlike(r"(?i)多张|多.*拆|积极.*拆|拆开|分开|\bsplit\b|\bseveral invoices\b"), "multi")
+    """single or multi: whether a file is one invoice or several.  A word for splitting counts as its opposite behind a word for not."""
+    low = F.lower(text)
+    at = F.greatest(*[F.locate(w, low) for w in SPLIT])
+    denied = F.exists(F.array(*[F.locate(w, low) for w in NOT]), lambda n: (n > 0) & (n < at))
+    return F.when(_any(low, ONE) | denied, "single").when(_any(low, SEVERAL) | ((at > 0) & (_any(low, MORE) | (F.locate("split", low) > 0))), "multi")
 
 
 def read(rules: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.cells import strip_mark
-from tallyframe.functions.dates import parse_date
+from tallyframe.functions.dates import DAY, parse_date
 from tallyframe.functions.money import parse_amount
-from tallyframe.operators.pages import DAY
 
 #: Right edges no further apart than this are one column.
 EDGE = 12.0

@@ -92,8 +92,7 @@ def vat_items(words: DataFrame) -> DataFrame:
     opened = rows.withColumn("_vat", told).withColumn("_head", F.min(F.when(has("金额") & has("税额"), place)).over(doc)).where("_vat").where(place > F.col("_head"))
     inside = opened.withColumn("_end", F.min(F.when(F.col("text").startswith("合计") | has("价税合计"), place)).over(doc)).where(F.col("_end").isNull() | (place < F.col("_end")))
     monies = F.regexp_extract_all("text", F.lit(_VAT_MONEY), F.lit(1))
-    number = r"^[\d,.\s%¥￥]+$"
-    described = F.get(F.filter("texts", lambda t: ~t.rlike(number) & ~F.contains(t, F.lit("%"))), F.lit(0))
+    described = F.get(F.filter("texts", lambda t: t.rlike(r"\p{L}")), F.lit(0))
     value = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(18,2)")
     found = inside.withColumn("_m", monies).where("size(_m) > 0")
     amount = F.when(F.size("_m") > 1, F.try_element_at("_m", F.lit(-2))).otherwise(F.try_element_at("_m", F.lit(-1)))
@@ -103,7 +102,7 @@ def vat_items(words: DataFrame) -> DataFrame:
 def vat_sums(words: DataFrame) -> DataFrame:
     """(doc_id, subtotal, sales_tax, total_due): the sums of the items, and the total that the invoice names, else both together."""
     sums = vat_items(words).groupBy("doc_id").agg(F.sum("amount").cast("decimal(18,2)").alias("subtotal"), F.sum("tax").cast("decimal(18,2)").alias("sales_tax"))
-    named = F.regexp_extract("text", r"价税合计[^0-9]*([0-9,]+\.\d{2})", 1)
+    named = F.when(F.contains("text", F.lit("价税合计")), F.regexp_extract(F.substring_index("text", "价税合计", -1), _VAT_MONEY, 1))
     told = cells(words).groupBy("doc_id", "page", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]), "").alias("text")).withColumn("t", F.replace(named, F.lit(","), F.lit("")).try_cast("decimal(18,2)")).where("t IS NOT NULL")
     told = told.groupBy("doc_id").agg(F.min_by("t", F.struct("page", "row")).alias("t"))
     both = (F.col("subtotal") + F.coalesce("sales_tax", F.lit(0).cast("decimal(18,2)"))).cast("decimal(18,2)")
