@@ -72,20 +72,25 @@ def _keys(names: DataFrame, parties: DataFrame, aliases: DataFrame | None = None
     return left, right.where("b <> ''").distinct()
 
 
-def _best(scored: DataFrame, right: DataFrame, least: float, top: int) -> DataFrame:
-    """The best `top` parties of each name; a party counts by the best of its keys (of equal ones the first)."""
-    found = scored.where(F.col("score") >= least).join(right, "b")
+def _best(found: DataFrame, top: int) -> DataFrame:
+    """found(a, party_id, b, score) -> the best `top` parties of each name; a party counts by the best of its keys (of equal ones the first)."""
     one = found.groupBy("a", "party_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("k")).select("a", "party_id", F.col("k.b").alias("b"), (-F.col("k.s")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "party_id"))
     ranked = one.withColumn("rank", rank).where(F.col("rank") <= top)
     return ranked.select(F.col("a").alias("norm"), "party_id", F.col("b").alias("party_norm"), "score", "rank", (F.col("score") >= SAME).alias("likely_same"))
 
 
+def _overlapping(left: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
+    """(a, party_id, b, score) of the keys whose token sets overlap by `least` or more."""
+    scored = _pairs(left, firsts.select("b"), least).withColumn("score", jaccard(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    return scored.join(firsts, "b").select("a", F.explode("ids").alias("party_id"), "b", "score")
+
+
 def jaccard_candidates(names: DataFrame, parties: DataFrame, aliases: DataFrame | None = None, *, least: float = SUGGEST, top: int = TOP) -> DataFrame:
     """Per name the `top` parties whose token sets, by name or alias, overlap by `least` or more."""
     left, right = _keys(names, parties, aliases)
-    scored = _pairs(left, right.select("b").distinct(), least).withColumn("score", jaccard(F.col("a"), F.col("b")))
-    return _best(scored, right, least, top)
+    firsts = _firsts(right, top)
+    return _best(_overlapping(left, firsts, least), top)
 
 
 #: Names asked that one pass over the parties carries, and columns that characters are counted in.
@@ -101,28 +106,49 @@ def _letters(keys: list[str]) -> np.ndarray:
     return out
 
 
-def _alike(asked: list[str], parties: DataFrame, least: float) -> DataFrame:
-    """(a, b, score) of the names asked and all party keys b whose sequence ratio is `least` or more.
+def _firsts(right: DataFrame, top: int) -> DataFrame:
+    """(b, ids): of each key the `top` least parties.  No other party of a key can be among the best `top` of a name by it, as these come before it."""
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("party_id"))
+    return right.withColumn("_r", rank).where(F.col("_r") <= top).groupBy("b").agg(F.array_sort(F.collect_list("party_id")).alias("ids"))
+
+
+def _alike(asked: list[str], firsts: DataFrame, least: float, top: int) -> DataFrame:
+    """(a, party_id, b, score) of the names asked and the best `top` parties of each batch of firsts(b, ids), by a sequence ratio of `least` or more.
 
-    The ratio is at most twice the shared characters by the sum of lengths; only pairs that this lets through are compared."""
+    The ratio is at most twice the shared characters by the sum of lengths.  Keys are taken from the highest bound down, and a name is done where
+    the bound falls below the score of its `top`-th party so far."""
     letters, sizes = _letters(asked), np.array([len(a) for a in asked])
-    floor = least - 1e-9  # the bound may not lose a ratio of just `least` to rounding
+    slack = 1e-9  # a bound may not lose a ratio to rounding
+    kind = firsts.schema["ids"].dataType.elementType.simpleString()
+
+    def best(a: str, keys: np.ndarray, ids: np.ndarray, bounds: np.ndarray) -> list[tuple]:
+        held: dict = {}
+        floor = least
+        for k in np.argsort(-bounds, kind="stable"):
+            if bounds[k] < floor - slack:
+                break
+            ratio = difflib.SequenceMatcher(None, a, keys[k]).ratio()
+            if ratio >= floor:
+                for party in ids[k]:
+                    held[party] = min(held.get(party, (0.0, "")), (-ratio, keys[k]))
+                if len(held) >= top:
+                    floor = -sorted(held.values())[top - 1][0]
+        ranked = sorted((score, party, b) for party, (score, b) in held.items())[:top]
+        return [(a, party, b, -score) for score, party, b in ranked]
 
     def run(batches):
         for pdf in batches:
-            keys = pdf["b"].to_numpy()
+            keys, ids = pdf["b"].to_numpy(), pdf["ids"].to_numpy()
             mine, lengths = _letters(keys), np.array([len(b) for b in keys])
             out = []
             for a, counts, size in zip(asked, letters, sizes, strict=True):
-                near = np.flatnonzero(2 * np.minimum(lengths, size) >= floor * (lengths + size))
-                shared = np.minimum(mine[near], counts).sum(axis=1)
-                for k in near[2 * shared >= floor * (lengths[near] + size)]:
-                    ratio = difflib.SequenceMatcher(None, a, keys[k]).ratio()
-                    if ratio >= least:
-                        out.append((a, keys[k], ratio))
-            yield pd.DataFrame(out, columns=["a", "b", "score"]).astype({"a": object, "b": object, "score": float})
+                near = np.flatnonzero(2 * np.minimum(lengths, size) >= (least - slack) * (lengths + size))
+                bounds = 2 * np.minimum(mine[near], counts).sum(axis=1) / (lengths[near] + size)
+                own = bounds >= least - slack
+                out += best(a, keys[near[own]], ids[near[own]], bounds[own])
+            yield pd.DataFrame(out, columns=["a", "party_id", "b", "score"]).astype({"a": object, "b": object, "score": float})
 
-    return parties.mapInPandas(run, "a string, b string, score double")
+    return firsts.mapInPandas(run, f"a string, party_id {kind}, b string, score double")
 
 
 def fuzzy_candidates(names: DataFrame, parties: DataFrame, aliases: DataFrame | None = None, *, least: float = SUGGEST, top: int = TOP, block: int = ASKED) -> DataFrame:
@@ -131,11 +157,12 @@ def fuzzy_candidates(names: DataFrame, parties: DataFrame, aliases: DataFrame |
     The names asked are a set of queries: blocks of about `block` of them go to all tasks, and every party key is held
     against every one, so none is missed.  Names and parties without a key have no row."""
     left, right = _keys(names, parties, aliases)
-    distinct = checkpointed(right.select("b").distinct())
+    # few keys with many parties would come to one task
+    firsts = checkpointed(_firsts(right, top).repartition(right.sparkSession.sparkContext.defaultParallelism))
     left = checkpointed(left)
     blocks = -(-left.count() // block)
-    scored = _pairs(left, distinct, least).withColumn("score", jaccard(F.col("a"), F.col("b")))
+    found = _overlapping(left, firsts, least)
     for n in range(blocks):
         asked = [r.a for r in left.where(F.pmod(F.xxhash64("a"), F.lit(blocks)) == n).collect()]
-        scored = scored.unionByName(_alike(asked, distinct, least))
-    return _best(scored, right, least, top)
+        found = found.unionByName(_alike(asked, firsts, least, top))
+    return _best(found, top)

@@ -64,3 +64,15 @@ def test_fuzzy_query_is_all_pairs(spark, small):
 def test_names_part_at_punctuation_and_symbols(spark):
     marks = ".,;:!?'\"`´’“”()[]{}<>/\\|+*&#@~^$%_—–-"
     assert keys(spark, [f"a{m}b" for m in marks]) == ["a b"] * len(marks)
+
+
+def test_many_parties_of_one_name(spark):
+    """Of parties with one key only the least can be among the best; no other row is made."""
+    rows = [(n, f"large ring {n % 7}") for n in range(700)] + [(n, "large rang 3") for n in range(700, 705)]
+    known = spark.createDataFrame(rows, "party_id bigint, name string")
+    asked = spark.createDataFrame([("large ring 3",), ("largee rings",), ("large rang 33",)], "name string")
+    firsts = parties._firsts(known.selectExpr("party_id", "name b"), parties.TOP).collect()
+    assert len(firsts) == 8 and all(len(r.ids) == parties.TOP for r in firsts)
+    want = plain(["large ring 3", "largee rings", "large rang 33"], rows)
+    out = parties.fuzzy_candidates(asked, known).collect()
+    assert {(r.norm, r.party_id, round(r.score, 9), r["rank"]) for r in out} == want and len(out) == len(want)
