@@ -104,7 +104,9 @@ def leading_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.coalesce(*[F.when(k % 6 == i, F.date_format(day, f)) for i, (f, _) in enumerate(_LEAD_FORMATS)])
     rest = F.when(k % 7 != 0, F.concat(F.lit("paid "), "o_orderpriority"))
     cell = F.when(said.isNull() & rest.isNull(), "undated").otherwise(F.concat_ws(" ", said, rest))
-    return table(spark, sf_dir, "orders").select(k, cells.leading_date(cell).alias("d")).select("o_orderkey", F.col("d.value").alias("date"), "d.words", "d.rest")
+    # a table of one row group would be one task
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority").repartition("o_orderkey")
+    return orders.select(k, cells.leading_date(cell).alias("d")).select("o_orderkey", F.col("d.value").alias("date"), "d.words", "d.rest")
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, CAST(o_totalprice AS DECIMAL(18,2)) AS a FROM orders)
