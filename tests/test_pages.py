@@ -153,3 +153,11 @@ def test_minus_signs_of_stamps(spark):
     rows = spark.createDataFrame([("a", "total_due", "($2,500.00)", Decimal(-2500)), ("a", "issuer_name", "-x", None), ("c", "total_due", "-5.00", Decimal(-5))], "doc_id string, field string, raw string, value decimal(28,6)")
     out = {(r.doc_id, r.field): (r.raw, r.value) for r in items.unsigned_sums(rows, F.col("doc_id") == "c").collect()}
     assert out == {("a", "total_due"): ("$2,500.00", Decimal(2500)), ("a", "issuer_name"): ("-x", None), ("c", "total_due"): ("-5.00", Decimal(-5))}
+
+
+def test_pages_are_laid_out_behind_the_last_exchange(spark, small):
+    """Orders meet items as rows of items; words are made from these and go through no union of head and body."""
+    from tallyframe.plans.page_queries import invoice_words
+
+    plan = invoice_words(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
