@@ -6,43 +6,71 @@ side is voted by all rows where the balance did tell.  So heads are not needed,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyframe.functions.cells import strip_mark
 from tallyframe.functions.dates import DAY, parse_date
 from tallyframe.functions.money import parse_amount
+from tallyframe.session import checkpointed, small
 
 #: Right edges no further apart than this are one column.
 EDGE = 12.0
 _AMOUNT = r"^[+\-−(]{0,2}[$€£¥]?-?(?:\d{1,3}(?:[,']\d{3})+(?:\.\d{1,8})?|\d+\.\d{1,8})\)?-?$"
 
 
-def _tokens(words: DataFrame, tolerance: float) -> DataFrame:
-    """(doc_id, page, row, x1, k, text): words without blanks, numbered in their row; a word with blanks is cut, its parts placed by their letters."""
+# fixed values: words without which no opening balance is named
+OPENINGS = ["opening", "brought", "期初余额", "上期余额"]
+
+
+def _token_rows(words: DataFrame, tolerance: float) -> DataFrame:
+    """(doc_id, page, row, t): rows from the top; t are their words without blanks as (k, x1, text, money), numbered from 1; a word with blanks is cut, its parts placed by their letters."""
     page = Window.partitionBy("doc_id", "page")
     fresh = F.when(F.col("y0") - F.lag("y0").over(page.orderBy("y0", "x0")) <= tolerance, 0).otherwise(1)
     rows = words.where("text IS NOT NULL AND trim(text) <> ''").withColumn("_f", fresh).withColumn("row", F.sum("_f").over(page.orderBy("y0", "x0").rowsBetween(Window.unboundedPreceding, 0)))
-    whole = F.col("text")
-    starts = rows.withColumn("_parts", F.split(whole, " ")).select("*", F.posexplode("_parts").alias("_i", "_t")).where("_t <> ''")
-    end = F.length(F.array_join(F.slice("_parts", F.lit(1), F.col("_i") + 1), " "))
-    placed = starts.withColumn("_x", F.col("x0") + (F.col("x1") - F.col("x0")) * end / F.length(whole))
-    k = F.row_number().over(Window.partitionBy("doc_id", "page", "row").orderBy("x0", "_i"))
-    return placed.select("doc_id", "page", "row", F.col("_x").alias("x1"), k.alias("k"), F.col("_t").alias("text"))
+    # words go into the array of their row as they are and are cut and numbered there, so they are sorted once
+    held = rows.groupBy("doc_id", "page", "row").agg(F.collect_list(F.struct("x0", "x1", "text")).alias("w"))
+
+    def parts(w: Column) -> Column:
+        cut = F.split(w["text"], " ")
+        end = lambda i: F.length(F.array_join(F.slice(cut, F.lit(1), i + 1), " "))
+        one = F.array(F.struct(w["x0"].alias("x0"), F.lit(0).alias("i"), w["x1"].cast("double").alias("x1"), w["text"].alias("text")))
+        many = F.transform(cut, lambda t, i: F.struct(w["x0"].alias("x0"), i.alias("i"), (w["x0"] + (w["x1"] - w["x0"]) * end(i) / F.length(w["text"])).cast("double").alias("x1"), t.alias("text")))
+        return F.when(F.contains(w["text"], F.lit(" ")), F.filter(many, lambda x: x["text"] != "")).otherwise(one)
+
+    placed = F.array_sort(F.flatten(F.transform("w", parts)))
+    numbered = F.transform(placed, lambda x, i: F.struct((i + 1).alias("k"), x["x1"].alias("x1"), x["text"].alias("text"), x["text"].rlike(_AMOUNT).alias("money")))
+    return _once(held, "t", numbered).select("doc_id", "page", "row", "t")
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: a filter on a plain column moves below it and computes it again, one on what comes out of an array does not."""
+    return df.withColumn(name, F.explode(F.array(value)))
 
 
 def dated_rows(words: DataFrame, *, tolerance: float = 3.0) -> DataFrame:
     """(doc_id, page, row, date, description, monies): rows that begin with a date; monies are (k, x1, raw, value, sign) from left to right."""
-    tokens = _tokens(words, tolerance)
-    money = F.col("text").rlike(_AMOUNT)
-    marked = tokens.withColumn("money", money)
-    rows = marked.groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(F.struct("k", "x1", "text", "money"))).alias("t"))
+    return _dated(_token_rows(words, tolerance)).where("date IS NOT NULL").drop("opening")
+
+
+def _dated(rows: DataFrame) -> DataFrame:
+    """Token rows as dated rows, and among them those that name an opening balance, in `opening`; date is null where a row is not dated."""
     text = F.array_join(F.transform("t", lambda x: x["text"]), " ")
     # most rows have no date: only those that begin like one are read
-    rows = rows.withColumn("_text", text).withColumn("_day", F.regexp_extract("_text", rf"^({DAY})(?!\S)", 1)).where("_day <> ''").withColumn("d", parse_date(F.col("_day"))["value"]).where("d IS NOT NULL")
+    said: Column = F.regexp_extract("_text", r"(?i)(?:opening\s+balance|brought\s+forward|期初余额|上期余额)\s*[:：]?\s*(?:[A-Z]{3}\s*)?([($€£¥-]*\d[\d,.']*\)?(?:\s*(?:cr|dr)\b)?)", 1)
+    said = F.when(reduce(Column.__or__, [F.contains(F.lower("_text"), F.lit(w)) for w in OPENINGS]), F.regexp_extract("_text", r"(?i)(?:opening\s+balance|brought\s+forward|期初余额|上期余额)\s*[:：]?\s*(?:[A-Z]{3}\s*)?([($€£¥-]*\d[\d,.']*\)?(?:\s*(?:cr|dr)\b)?)", 1)).otherwise("")
+    begun = F.struct(F.regexp_extract("_text", rf"^({DAY})(?!\S)", 1).alias("day"), said.alias("said"))
+    rows = _once(_once(rows, "_text", text), "_begun", begun).where("_begun.day <> '' OR _begun.said <> ''").withColumn("_day", F.col("_begun.day"))
+    marked = strip_mark(F.col("_begun.said"))
+    amount = parse_amount(marked["text"])["value"]
+    opening = F.when(F.col("_begun.said") != "", F.when(marked["mark"] == "dr", -F.abs(amount)).otherwise(amount))
+    rows = _once(rows, "_read", F.struct(opening.alias("opening"), F.when(F.col("_day") != "", parse_date(F.col("_day"))["value"]).alias("d")))
+    rows = rows.where("_read.d IS NOT NULL OR _read.opening IS NOT NULL").withColumns({"d": F.col("_read.d"), "opening": F.col("_read.opening")})
     skip = F.size(F.split("_day", " "))
     rest = F.filter("t", lambda x: x["k"] > skip)
-    rows = rows.withColumn("r", rest)
+    rows = _once(rows, "r", rest)
     value = lambda x: F.abs(parse_amount(F.replace(x, F.lit("−"), F.lit("-")))["value"])
     sign = lambda x: F.when(x.rlike(r"^\(|[-−]"), -1).when(x.startswith("+"), 1)
     monies = F.filter(F.transform(F.filter("r", lambda x: x["money"]), lambda x: F.struct(x["k"].alias("k"), x["x1"].alias("x1"), x["text"].alias("raw"), value(x["text"]).alias("value"), sign(x["text"]).alias("sign"))), lambda m: m["value"].isNotNull())
@@ -50,37 +78,52 @@ def dated_rows(words: DataFrame, *, tolerance: float = 3.0) -> DataFrame:
     first = F.array_min(F.transform("monies", lambda m: m["k"]))
     described = F.array_join(F.transform(F.filter("r", lambda x: ~x["money"] & (first.isNull() | (x["k"] < first))), lambda x: x["text"]), " ")
     marks = F.transform(F.filter("r", lambda x: ~x["money"] & (x["k"] > first)), lambda x: F.lower(F.regexp_replace(x["text"], r"\W", "")))
-    rows = rows.withColumn("monies", monies).where("size(monies) > 0")
+    rows = _once(rows, "monies", monies)
+    told = F.col("d").isNotNull() & (F.size("monies") > 0)
     mark = F.when(F.array_contains(marks, F.lit("dr")), -1).when(F.array_contains(marks, F.lit("cr")), 1)
-    return rows.select("doc_id", "page", "row", F.col("d").alias("date"), F.nullif(F.trim(described), F.lit("")).alias("description"), "monies", mark.alias("mark"))
+    out = rows.select("doc_id", "page", "row", F.when(told, F.col("d")).alias("date"), F.nullif(F.trim(described), F.lit("")).alias("description"), "monies", mark.alias("mark"), "opening")
+    return out.where("date IS NOT NULL OR opening IS NOT NULL")
 
 
-def _in_columns(rows: DataFrame, edge: float) -> DataFrame:
-    """A row for each amount, with the column of its right edge; columns are gaps in the sorted edges of a document."""
-    flat = rows.select("doc_id", "page", "row", F.size("monies").alias("n"), F.posexplode("monies").alias("i", "m")).select("doc_id", "page", "row", "n", "i", "m.*")
+def _columns(rows: DataFrame, edge: float) -> DataFrame:
+    """(doc_id, columns, of_balance): the column of each right edge, by tenths of a point, and the column of the balance; columns are gaps in the sorted edges of a document."""
+    last = F.size("monies") - 1
+    flat = rows.select("doc_id", F.posexplode(F.transform("monies", lambda m: F.round(m["x1"], 1))).alias("i", "x"), last.alias("last"))
     # edges are counted by tenths of a point first, so a column of any length is a few rows here
-    edges = flat.select("doc_id", F.round("x1", 1).alias("x")).distinct()
+    edges = flat.groupBy("doc_id", "x").agg(F.count_if((F.col("last") > 0) & (F.col("i") == F.col("last"))).alias("ends"))
     order = Window.partitionBy("doc_id").orderBy("x")
     edges = edges.withColumn("_f", F.when(F.col("x") - F.lag("x").over(order) <= edge, 0).otherwise(1)).withColumn("column", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return flat.withColumn("x", F.round("x1", 1)).join(edges.select("doc_id", "x", "column"), ["doc_id", "x"])
+    edges = edges.withColumn("ends", F.sum("ends").over(Window.partitionBy("doc_id", "column")))
+    # the balance's column ends most of the rows that have several amounts
+    ends = F.when(F.col("ends") > 0, F.struct("ends", "column"))
+    return edges.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("x", "column"))).alias("columns"), F.max(ends)["column"].alias("of_balance"))
 
 
 def transactions(words: DataFrame, openings: DataFrame | None = None, *, tolerance: float = 3.0, edge: float = EDGE) -> DataFrame:
     """(doc_id, page, row, date, description, income, expense, balance, how) of the rows that begin with a date and have an amount.
 
     openings(doc_id, opening) are balances before the first row, where they are known.  how is `sign`, `balance`, `column`, `recovered` (the amount is lost and comes from the balance) or `guess` (nothing tells; counted as income)."""
-    rows = dated_rows(words, tolerance=tolerance)
-    flat = _in_columns(rows, edge)
-    # the balance's column ends most of the rows that have several amounts
-    ends = flat.where("n > 1 AND i = n - 1").groupBy("doc_id", "column").count()
-    balances = ends.groupBy("doc_id").agg(F.max_by("column", F.struct("count", "column")).alias("of_balance"))
-    told = flat.join(balances, "doc_id", "left")
-    at = F.struct("value", "sign", "column")
-    is_balance = (F.col("i") == F.col("n") - 1) & F.col("of_balance").isNotNull() & ((F.col("n") > 1) | (F.col("column") == F.col("of_balance")))
+    return _transactions(checkpointed(dated_rows(words, tolerance=tolerance)), openings, edge)
+
+
+def statements(words: DataFrame, *, tolerance: float = 3.0, edge: float = EDGE) -> tuple[DataFrame, DataFrame]:
+    """transactions and opening_balances of the same words, which are read once for both."""
+    read = checkpointed(_dated(_token_rows(words, tolerance)))
+    openings = _openings(read)
+    return _transactions(read.where("date IS NOT NULL").drop("opening"), openings, edge), openings
+
+
+def _transactions(rows: DataFrame, openings: DataFrame | None, edge: float) -> DataFrame:
+    """Of dated rows that are kept, as they are read twice: once for the columns of a document, and once with these."""
+    n, column = F.size("monies"), lambda m: F.try_element_at("columns", F.round(m["x1"], 1))
+    full = rows.join(_columns(rows, edge), "doc_id")
+    last = F.try_element_at("monies", F.lit(-1))
+    is_balance = F.col("of_balance").isNotNull() & ((n > 1) | (column(last) == F.col("of_balance")))
+    full = full.withColumn("_last", is_balance).withColumn("balance", F.when(F.col("_last"), F.when(last["sign"] == -1, -last["value"]).otherwise(last["value"])))
+    a = F.when(F.col("_last"), F.when(n > 1, F.try_element_at("monies", F.lit(-2)))).otherwise(last)
+    full = full.withColumn("_a", a).withColumn("a", F.when(F.col("_a").isNotNull(), F.struct(F.col("_a.value").alias("value"), F.col("_a.sign").alias("sign"), column(F.col("_a")).alias("column"))))
+    full = full.drop("monies", "columns", "of_balance", "_last", "_a")
     place = Window.partitionBy("doc_id").orderBy("page", "row")
-    by_row = told.groupBy("doc_id", "page", "row").agg(
-        F.max(F.when(is_balance, F.when(F.col("sign") == -1, -F.col("value")).otherwise(F.col("value")))).alias("balance"), F.max_by(F.when(~is_balance, at), F.when(~is_balance, F.col("i"))).alias("a"))
-    full = rows.drop("monies").join(by_row, ["doc_id", "page", "row"])
     if openings is not None:
         full = full.join(openings.select("doc_id", F.col("opening").cast("decimal(28,6)").alias("opening")), "doc_id", "left")
     else:
@@ -102,12 +145,11 @@ def transactions(words: DataFrame, openings: DataFrame | None = None, *, toleran
 
 def opening_balances(words: DataFrame, *, tolerance: float = 3.0) -> DataFrame:
     """(doc_id, opening): the amount behind `opening balance`, `balance brought forward` or 期初余额 in the first such row."""
-    tokens = _tokens(words, tolerance)
-    rows = tokens.groupBy("doc_id", "page", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), " ").alias("text"))
-    said: Column = F.regexp_extract("text", r"(?i)(?:opening\s+balance|brought\s+forward|期初余额|上期余额)\s*[:：]?\s*(?:[A-Z]{3}\s*)?([($€£¥-]*\d[\d,.']*\)?(?:\s*(?:cr|dr)\b)?)", 1)
-    found = rows.withColumn("m", strip_mark(said)).withColumn("v", parse_amount(F.col("m.text"))["value"]).where("v IS NOT NULL")
-    signed = F.when(F.col("m.mark") == "dr", -F.abs("v")).otherwise(F.col("v"))
-    return found.groupBy("doc_id").agg(F.min_by(signed, F.struct("page", "row")).alias("opening"))
+    return _openings(_dated(_token_rows(words, tolerance)))
+
+
+def _openings(read: DataFrame) -> DataFrame:
+    return small(read.where("opening IS NOT NULL").groupBy("doc_id").agg(F.min_by("opening", F.struct("page", "row")).alias("opening")))
 
 
 def running_check(found: DataFrame, openings: DataFrame | None = None) -> DataFrame:

@@ -45,3 +45,21 @@ def test_transactions(spark):
         "marks": [("2026-01-01", "paid", None, 7, None, "sign"), ("2026-01-02", "got", 9, None, None, "sign")],
     }
     assert {r.doc_id: (r.rows, r.agree) for r in sp.running_check(found, openings).collect()} == {"signed": (2, 2), "no heads": (2, 2), "lost": (2, 2), "columns": (2, 2), "marks": (0, 0)}
+
+
+def test_words_are_read_once_for_openings_and_transactions(spark):
+    """A statement's words are told by a counter: both results come from one reading of them."""
+    rows = [("d", 0, 40.0, 10.0, 140.0, 18.0, "Opening Balance: 100.00"), ("d", 0, 40.0, 40.0, 100.0, 48.0, "2024-01-02"), ("d", 0, 120.0, 40.0, 160.0, 48.0, "in"), ("d", 0, 300.0, 40.0, 340.0, 48.0, "5.00"), ("d", 0, 400.0, 40.0, 440.0, 48.0, "105.00")]
+    schema = "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string"
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    words = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    found, openings = sp.statements(words)
+    assert [(r.rows, r.agree) for r in sp.running_check(found, openings).collect()] == [(1, 1)]
+    assert [(float(r.income), float(r.balance)) for r in found.collect()] == [(5.0, 105.0)]
+    assert seen.value == len(rows)
