@@ -81,31 +81,42 @@ def upright_items(words: DataFrame) -> DataFrame:
 _VAT_MONEY = r"(\d[\d,]*\.\d{2})"
 
 
-def vat_items(words: DataFrame) -> DataFrame:
-    """(doc_id, page, row, description, amount, tax) of Chinese VAT invoices: of a row's amounts the last is the tax and the one before it the amount, whatever columns are run together."""
+def _vat_rows(words: DataFrame) -> DataFrame:
+    """(doc_id, page, row, texts, text, inside, monies) of every row; inside: between the heads of a Chinese VAT invoice and its sum, with an amount."""
     rows = cells(words).groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(F.struct("cell", "text"))).alias("c"))
-    rows = rows.withColumn("texts", F.transform("c", lambda x: x["text"])).withColumn("text", F.array_join("texts", " "))
+    rows = rows.select("doc_id", "page", "row", F.transform("c", lambda x: x["text"]).alias("texts")).withColumn("text", F.array_join("texts", " "))
     place = F.struct("page", "row")
     doc = Window.partitionBy("doc_id")
     has = lambda w: F.contains(F.col("text"), F.lit(w))
-    told = F.max(has("增值税") | has("价税合计")).over(doc)
-    opened = rows.withColumn("_vat", told).withColumn("_head", F.min(F.when(has("金额") & has("税额"), place)).over(doc)).where("_vat").where(place > F.col("_head"))
-    inside = opened.withColumn("_end", F.min(F.when(F.col("text").startswith("合计") | has("价税合计"), place)).over(doc)).where(F.col("_end").isNull() | (place < F.col("_end")))
-    monies = F.regexp_extract_all("text", F.lit(_VAT_MONEY), F.lit(1))
-    described = F.get(F.filter("texts", lambda t: t.rlike(r"\p{L}")), F.lit(0))
+    rows = rows.withColumn("_vat", F.max(has("增值税") | has("价税合计")).over(doc)).withColumn("_head", F.min(F.when(has("金额") & has("税额"), place)).over(doc))
+    ends = F.col("text").startswith("合计") | has("价税合计")
+    rows = rows.withColumn("_end", F.min(F.when((place > F.col("_head")) & ends, place)).over(doc))
+    inside = F.coalesce(F.col("_vat") & (place > F.col("_head")) & (F.col("_end").isNull() | (place < F.col("_end"))), F.lit(False))
+    monies = F.when(inside, F.regexp_extract_all("text", F.lit(_VAT_MONEY), F.lit(1)))
+    return rows.select("doc_id", "page", "row", "texts", "text", monies.alias("monies")).withColumn("inside", F.coalesce(F.size("monies") > 0, F.lit(False)))
+
+
+def _vat_amounts() -> tuple[Column, Column]:
+    """The amount and the tax of a row inside: of its amounts the last is the tax and the one before it the amount."""
     value = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("decimal(18,2)")
-    found = inside.withColumn("_m", monies).where("size(_m) > 0")
-    amount = F.when(F.size("_m") > 1, F.try_element_at("_m", F.lit(-2))).otherwise(F.try_element_at("_m", F.lit(-1)))
-    return found.select("doc_id", "page", "row", described.alias("description"), value(amount).alias("amount"), value(F.when(F.size("_m") > 1, F.try_element_at("_m", F.lit(-1)))).alias("tax"))
+    amount = F.when(F.size("monies") > 1, F.try_element_at("monies", F.lit(-2))).otherwise(F.try_element_at("monies", F.lit(-1)))
+    return value(amount), value(F.when(F.size("monies") > 1, F.try_element_at("monies", F.lit(-1))))
 
 
-def vat_sums(words: DataFrame) -> DataFrame:
-    """(doc_id, subtotal, sales_tax, total_due): the sums of the items, and the total that the invoice names, else both together."""
-    sums = vat_items(words).groupBy("doc_id").agg(F.sum("amount").cast("decimal(18,2)").alias("subtotal"), F.sum("tax").cast("decimal(18,2)").alias("sales_tax"))
-    named = F.when(F.contains("text", F.lit("价税合计")), F.regexp_extract(F.substring_index("text", "价税合计", -1), _VAT_MONEY, 1))
-    told = cells(words).groupBy("doc_id", "page", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda x: x["text"]), "").alias("text")).withColumn("t", F.replace(named, F.lit(","), F.lit("")).try_cast("decimal(18,2)")).where("t IS NOT NULL")
-    told = told.groupBy("doc_id").agg(F.min_by("t", F.struct("page", "row")).alias("t"))
-    both = (F.col("subtotal") + F.coalesce("sales_tax", F.lit(0).cast("decimal(18,2)"))).cast("decimal(18,2)")
-    return sums.join(told, "doc_id", "left").select("doc_id", "subtotal", "sales_tax", F.coalesce("t", both).alias("total_due"))
+def vat_items(words: DataFrame) -> DataFrame:
+    """(doc_id, page, row, description, amount, tax) of Chinese VAT invoices: of a row's amounts the last is the tax and the one before it the amount, whatever columns are run together."""
+    amount, tax = _vat_amounts()
+    described = F.get(F.filter("texts", lambda t: t.rlike(r"\p{L}")), F.lit(0))
+    return _vat_rows(words).where("inside").select("doc_id", "page", "row", described.alias("description"), amount.alias("amount"), tax.alias("tax"))
 
 
+def vat_sums(words: DataFrame) -> DataFrame:
+    """(doc_id, subtotal, sales_tax, total_due): the sums of the items, and the total that the invoice names, else both together.
+
+    Rows are read once: those inside are added up, and of all the first that names a total counts."""
+    amount, tax = _vat_amounts()
+    named = F.when(F.contains("text", F.lit("价税合计")), F.regexp_extract(F.substring_index(F.array_join("texts", ""), "价税合计", -1), _VAT_MONEY, 1))
+    rows = _vat_rows(words).select("doc_id", "page", "row", "inside", F.when(F.col("inside"), amount).alias("amount"), F.when(F.col("inside"), tax).alias("tax"), F.replace(named, F.lit(","), F.lit("")).try_cast("decimal(18,2)").alias("t"))
+    sums = rows.groupBy("doc_id").agg(F.count_if("inside").alias("n"), F.sum("amount").cast("decimal(18,2)").alias("subtotal"), F.sum("tax").cast("decimal(18,2)").alias("sales_tax"), F.min(F.when(F.col("t").isNotNull(), F.struct("page", "row", "t")))["t"].alias("t")).where("n > 0")
+    both = (F.col("subtotal") + F.coalesce("sales_tax", F.lit(0).cast("decimal(18,2)"))).cast("decimal(18,2)")
+    return sums.select("doc_id", "subtotal", "sales_tax", F.coalesce("t", both).alias("total_due"))

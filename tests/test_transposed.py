@@ -58,3 +58,10 @@ def test_vat_invoices(spark):
     page = words(spark, {"vat": doc, "other": [(40, 40, 90, 48, "金额"), (200, 40, 260, 48, "税额"), (40, 60, 90, 68, "5.00")]})
     assert [(r.doc_id, r.description, r.amount, r.tax) for r in transposed.vat_items(page).orderBy("row").collect()] == [("vat", "技术咨询服务", Decimal("10000.00"), Decimal("600.00")), ("vat", "系统集成", Decimal("5000.00"), Decimal("300.00"))]
     assert [tuple(r) for r in transposed.vat_sums(page).collect()] == [("vat", Decimal("15000.00"), Decimal("900.00"), Decimal("15900.00"))]
+
+
+def test_vat_sums_deal_words_once(spark):
+    """Items and the named total come from one reading of the rows: words are dealt by page, and rows by document."""
+    words = spark.createDataFrame([("d", 1, 40.0, 10.0, 140.0, 18.0, "x")], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    plan = transposed.vat_sums(words)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange hashpartitioning") <= 2, plan
