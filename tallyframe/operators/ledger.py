@@ -64,7 +64,9 @@ def repaired_amounts(total_: Column, subtotal: Column, tax: Column) -> dict[str,
 
 def accruals(invoices: DataFrame, *, deductible: bool = True) -> DataFrame:
     """invoices(hash, date, party, direction AR|AP, account, total, subtotal, tax) -> lines; those without a positive total post nothing."""
-    fixed = invoices.withColumns(repaired_amounts(F.col("total"), F.col("subtotal"), F.col("tax"))).where("total > 0")
+    # amounts come out of an array, as a filter on plain columns would move below them and compute them again
+    repaired = F.struct(*[c.alias(k) for k, c in repaired_amounts(F.col("total"), F.col("subtotal"), F.col("tax")).items()])
+    fixed = invoices.withColumn("_a", F.explode(F.array(repaired))).where("_a.total > 0").withColumns({c: F.col(f"_a.{c}") for c in ("total", "subtotal", "tax")}).drop("_a")
     entries = _entry(fixed, entry_id=F.concat(F.lit("acc-"), F.col("hash")), entry_date=F.col("date"), source_kind=F.lit("invoice"), source_id=F.col("hash"), party=F.col("party"))
     net = F.col("subtotal") if deductible else F.col("total")
     ap = [(F.col("account"), net, None), (A.INPUT_TAX, F.col("tax") if deductible else None, None), (A.PAYABLE, None, F.col("total"))]
@@ -108,10 +110,11 @@ def entry_audit(lines: DataFrame) -> DataFrame:
     cash = F.when(A.is_cash(F.col("account")), F.col("debit") - F.col("credit")).otherwise(zero())
     out = lines.groupBy("entry_id").agg(
         total(F.col("debit")).alias("debit"), total(F.col("credit")).alias("credit"), total(cash).alias("cash_delta"),
-        F.first("activity").alias("activity"), F.first("source_kind").alias("source_kind"), F.bool_and((F.col("debit") >= 0) & (F.col("credit") >= 0)).alias("no_negative"),
+        # marks and not texts: an aggregate that holds texts sorts all lines, before and after their shuffle
+        F.bool_or(F.col("activity").isNotNull()).alias("active"), F.bool_or(F.col("source_kind") == "opening").alias("opening"), F.bool_and((F.col("debit") >= 0) & (F.col("credit") >= 0)).alias("no_negative"),
     )
     balanced = (F.col("debit") == F.col("credit")) & (F.col("debit") > 0) & F.col("no_negative")
-    fits = (F.col("source_kind") == "opening") | ((F.col("cash_delta") != 0) == F.col("activity").isNotNull())
+    fits = F.col("opening") | ((F.col("cash_delta") != 0) == F.col("active"))
     return out.select("entry_id", "debit", "credit", "cash_delta", balanced.alias("balanced"), fits.alias("activity_ok"))
 
 
@@ -142,21 +145,20 @@ ACCRUED, SETTLED = ["invoice", "opening"], "settlement"
 
 
 def control_sums(lines: DataFrame) -> DataFrame:
-    """(source_id, side, party, gross, settled, other, balance) of the control accounts, the journal read once.
+    """(source_id, side, party, gross, settled, other, balance) of the control accounts, each line dealt once, by its source.
 
-    An entry meets its reversal by the entry's id, in one grouping: a group with a reversal counts for the balance alone.  Only lines of
-    control accounts take part, as a reversal has a line for each line that it takes back."""
+    Entries that were reversed are told by their ids, which are few and go to the lines: these, and reversals, count for the balance alone, a reversal's
+    under the entry that it takes back.  Sums are of numbers; an aggregate that holds texts would sort all lines."""
     touched = lines.withColumn("side", A.control_side(F.col("account"))).where("side IS NOT NULL")
     signed = F.when(F.col("side") == "AR", F.col("debit") - F.col("credit")).otherwise(F.col("credit") - F.col("debit"))
-    mine = F.col("reverses_id").isNull()
-    own = lambda c: F.max(F.when(mine, F.col(c))).alias(c)
-    entries = touched.groupBy(F.coalesce("reverses_id", "entry_id").alias("_entry"), "side").agg(F.max(~mine).alias("_gone"), total(signed).alias("_all"), total(F.when(mine, signed)).alias("_own"), own("source_id"), own("source_kind"), own("party"))
-    live, kind = ~F.col("_gone"), F.col("source_kind")
-    of = lambda when: total(F.when(live & when, F.col("_own")))
+    gone = small(lines.where("reverses_id IS NOT NULL").select(F.col("reverses_id").alias("_entry")).distinct())
+    marked = touched.join(gone, F.col("entry_id") == F.col("_entry"), "left")
+    live, kind = F.col("reverses_id").isNull() & F.col("_entry").isNull(), F.col("source_kind")
+    of = lambda when: total(F.when(live & when, signed))
     zero = F.lit(0).cast("decimal(38,2)")
-    return entries.groupBy("source_id", "side").agg(
+    return marked.groupBy("source_id", "side").agg(
         F.max(F.when(live, F.col("party"))).alias("party"), of(kind.isin(ACCRUED)).alias("gross"), F.coalesce((-of(kind == SETTLED)).cast("decimal(38,2)"), zero).alias("settled"),
-        F.coalesce(of(~kind.isin(*ACCRUED, SETTLED)), zero).alias("other"), total(F.col("_all")).alias("balance"),
+        F.coalesce(of(~kind.isin(*ACCRUED, SETTLED)), zero).alias("other"), total(signed).alias("balance"),
     )
 
 

@@ -205,3 +205,15 @@ def test_shipped_statement_reads(spark, name):
         pytest.skip("no such file")
     df = statements.read_delimited(spark, f"{folder}/{name}")
     assert {"date", "desc", "debit", "credit", "balance", "currency"} <= set(df.columns) and df.count() == 73
+
+
+def test_sums_of_entries_and_control_accounts_hold_no_texts(spark):
+    """An aggregate that holds texts sorts all lines; these hold sums and marks. What comes back does so by the entry's id."""
+    columns = "entry_id string, entry_date date, source_kind string, source_id string, party string, activity string, reverses_id string, account string, debit decimal(18,2), credit decimal(18,2)"
+    two = lambda entry, kind, source, rev, dr, cr: [(entry, None, kind, source, "p", None, rev, "1100", Decimal(dr), Decimal(cr)), (entry, None, kind, source, "p", None, rev, "4000", Decimal(cr), Decimal(dr))]
+    lines = spark.createDataFrame(two("acc-a", "invoice", "a", None, 10, 0) + two("rev-acc-a", "reversal", "acc-a", "acc-a", 0, 10) + two("acc-b", "invoice", "b", None, 7, 0) + two("set-b", "settlement", "b", None, 0, 3), columns)
+    for df in (ledger.entry_audit(lines), ledger.control_reconciliation(lines), ledger.open_items(lines).agg(F.count("*"))):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in ledger.control_reconciliation(lines).collect()] == [("AR", Decimal(4), Decimal(4), Decimal(0), True)]
+    assert [(r.source_id, r.open) for r in ledger.open_items(lines).collect()] == [("b", Decimal(4))]
+    assert {r.entry_id: r.balanced for r in ledger.entry_audit(lines).collect()} == {"acc-a": True, "rev-acc-a": True, "acc-b": True, "set-b": True}
