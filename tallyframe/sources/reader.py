@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.dates import parse_date
 from tallyframe.functions.money import parse_amount
+from tallyframe.session import checkpointed
 from tallyframe.sources import sheets, statements
 from tallyframe.sources.files import with_format
 
@@ -31,7 +32,9 @@ def _fields(line: Column, separator: str) -> Column:
     """The fields of a line; a separator inside quotes parts nothing, doubled quotes are one."""
     quoted = "\\" + separator if separator == "|" else separator
     parts = F.split(line, rf'{quoted}(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(parts, lambda p: F.replace(F.regexp_replace(F.trim(p), r'^"([\s\S]*)"$', "$1"), F.lit('""'), F.lit('"')))
+    unquoted = F.transform(parts, lambda p: F.replace(F.regexp_replace(F.trim(p), r'^"([\s\S]*)"$', "$1"), F.lit('""'), F.lit('"')))
+    # most lines have no quotes, and looking ahead for them at every separator costs the square of a line
+    return F.when(F.contains(line, F.lit('"')), unquoted).otherwise(F.transform(F.split(line, quoted), lambda p: F.trim(p)))
 
 
 def delimited(files: DataFrame) -> DataFrame:
@@ -75,7 +78,7 @@ def transactions(files: DataFrame, workbooks: DataFrame | None = None) -> DataFr
     """files(file, content as text), workbooks(path, content as bytes) -> COLUMNS of all of them; files of no known format give nothing, and balance is null where a format or a file has none."""
     told = with_format(files.select("file", "content"), "file", "content")
     kind = F.when(F.col("format").eqNullSafe("delimited") & F.col("content").rlike(_FIXED), "fixed").otherwise(F.col("format"))
-    told = told.withColumn("format", kind)
+    told = checkpointed(told.withColumn("format", kind))  # read by the reader of each format
     of = lambda name: told.where(F.col("format") == name).select("file", "content")
     records = statements.table_records
     read = {

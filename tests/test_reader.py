@@ -29,3 +29,17 @@ def test_one_reader(spark, tmp_path):
         ("c.json", "json"): [("2026-01-02", -5, None, "json")], ("d.ndjson", "json"): [("2026-01-02", 5, None, None), ("2026-01-03", 6, None, None)], ("e.html", "html"): [("2026-01-02", 1, None, "t & t")],
         ("f.txt", "qif"): [("2026-01-02", -3, None, "qif")], ("h.xlsx#S0", "workbook"): [("2026-01-02", 9, None, "sheet"), ("2026-01-03", 1, None, "")],
     }
+
+
+def test_files_are_told_apart_once(spark):
+    """Every format has its reader, and the files are not made again for each."""
+    seen, schema = spark.sparkContext.accumulator(0), "file string, content string"
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    files = spark.createDataFrame([("a.csv", "Date;Description;Amount\n2024-01-02;rent;-5.00\n"), ("b.ndjson", '{"Date": "2024-01-03", "Amount": "7.00", "Description": "in"}')], schema).mapInArrow(counted, schema)
+    assert sorted((r.file, str(r.date), float(r.amount)) for r in reader.transactions(files).collect()) == [("a.csv", "2024-01-02", -5.0), ("b.ndjson", "2024-01-03", 7.0)]
+    assert seen.value == 2
