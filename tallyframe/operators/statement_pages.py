@@ -26,23 +26,22 @@ OPENINGS = ["opening", "brought", "期初余额", "上期余额"]
 
 
 def _token_rows(words: DataFrame, tolerance: float) -> DataFrame:
-    """(doc_id, page, row, t): rows from the top; t are their words without blanks as (k, x1, text, money), numbered from 1; a word with blanks is cut, its parts placed by their letters."""
+    """(doc_id, page, row, t): rows from the top; t are their words without blanks from left to right, as (x0, i, x1, text, value, word, sign, mark, counted); a word with blanks is cut, its parts placed by their letters.
+
+    What a word says is told before it goes into its row, as plain columns: the value and sign of an amount that is counted, else a word, and among these a mark, Dr (-1) or Cr (1)."""
     page = Window.partitionBy("doc_id", "page")
     fresh = F.when(F.col("y0") - F.lag("y0").over(page.orderBy("y0", "x0")) <= tolerance, 0).otherwise(1)
     rows = words.where("text IS NOT NULL AND trim(text) <> ''").withColumn("_f", fresh).withColumn("row", F.sum("_f").over(page.orderBy("y0", "x0").rowsBetween(Window.unboundedPreceding, 0)))
-    # words go into the array of their row as they are and are cut and numbered there, so they are sorted once
-    held = rows.groupBy("doc_id", "page", "row").agg(F.collect_list(F.struct("x0", "x1", "text")).alias("w"))
-
-    def parts(w: Column) -> Column:
-        cut = F.split(w["text"], " ")
-        end = lambda i: F.length(F.array_join(F.slice(cut, F.lit(1), i + 1), " "))
-        one = F.array(F.struct(w["x0"].alias("x0"), F.lit(0).alias("i"), w["x1"].cast("double").alias("x1"), w["text"].alias("text")))
-        many = F.transform(cut, lambda t, i: F.struct(w["x0"].alias("x0"), i.alias("i"), (w["x0"] + (w["x1"] - w["x0"]) * end(i) / F.length(w["text"])).cast("double").alias("x1"), t.alias("text")))
-        return F.when(F.contains(w["text"], F.lit(" ")), F.filter(many, lambda x: x["text"] != "")).otherwise(one)
-
-    placed = F.array_sort(F.flatten(F.transform("w", parts)))
-    numbered = F.transform(placed, lambda x, i: F.struct((i + 1).alias("k"), x["x1"].alias("x1"), x["text"].alias("text"), x["text"].rlike(_AMOUNT).alias("money")))
-    return _once(held, "t", numbered).select("doc_id", "page", "row", "t")
+    rows = rows.select("doc_id", "page", "row", "x0", "x1", F.col("text").alias("_whole"), F.posexplode(F.split("text", " ")).alias("i", "text")).where("text <> ''")
+    end = F.length(F.call_function("substring_index", F.col("_whole"), F.lit(" "), F.col("i") + 1))
+    x1 = F.when(F.contains("_whole", F.lit(" ")), F.col("x0") + (F.col("x1") - F.col("x0")) * end / F.length("_whole")).otherwise(F.col("x1"))
+    t, money = F.col("text"), F.col("money")
+    rows = rows.withColumn("x1", x1.cast("double")).withColumn("money", t.rlike(_AMOUNT)).withColumn("value", F.when(money, F.abs(parse_amount(F.replace(t, F.lit("−"), F.lit("-")))["value"])))
+    mark = F.when(t.rlike(r"^\W*[dD]\W*[rR]\W*\z"), -1).when(t.rlike(r"^\W*[cC]\W*[rR]\W*\z"), 1)
+    said = {"word": F.when(~money, t), "sign": F.when(money, F.when(t.rlike(r"^\(|[-−]"), -1).when(t.startswith("+"), 1)), "mark": F.when(~money, mark), "counted": F.col("value").isNotNull()}
+    # words go into the array of their row and are ordered there, so they are sorted once
+    held = rows.groupBy("doc_id", "page", "row").agg(F.collect_list(F.struct("x0", "i", "x1", "text", "value", *[c.alias(k) for k, c in said.items()])).alias("t"))
+    return held.withColumn("t", F.sort_array("t"))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -51,15 +50,14 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def dated_rows(words: DataFrame, *, tolerance: float = 3.0) -> DataFrame:
-    """(doc_id, page, row, date, description, monies): rows that begin with a date; monies are (k, x1, raw, value, sign) from left to right."""
+    """(doc_id, page, row, date, description, monies): rows that begin with a date; monies are (x1, raw, value, sign) from left to right."""
     return _dated(_token_rows(words, tolerance)).where("date IS NOT NULL").drop("opening")
 
 
 def _dated(rows: DataFrame) -> DataFrame:
     """Token rows as dated rows, and among them those that name an opening balance, in `opening`; date is null where a row is not dated."""
-    text = F.array_join(F.transform("t", lambda x: x["text"]), " ")
+    text = F.array_join("t.text", " ")
     # most rows have no date: only those that begin like one are read
-    said: Column = F.regexp_extract("_text", r"(?i)(?:opening\s+balance|brought\s+forward|期初余额|上期余额)\s*[:：]?\s*(?:[A-Z]{3}\s*)?([($€£¥-]*\d[\d,.']*\)?(?:\s*(?:cr|dr)\b)?)", 1)
     said = F.when(reduce(Column.__or__, [F.contains(F.lower("_text"), F.lit(w)) for w in OPENINGS]), F.regexp_extract("_text", r"(?i)(?:opening\s+balance|brought\s+forward|期初余额|上期余额)\s*[:：]?\s*(?:[A-Z]{3}\s*)?([($€£¥-]*\d[\d,.']*\)?(?:\s*(?:cr|dr)\b)?)", 1)).otherwise("")
     begun = F.struct(F.regexp_extract("_text", rf"^({DAY})(?!\S)", 1).alias("day"), said.alias("said"))
     rows = _once(_once(rows, "_text", text), "_begun", begun).where("_begun.day <> '' OR _begun.said <> ''").withColumn("_day", F.col("_begun.day"))
@@ -68,27 +66,23 @@ def _dated(rows: DataFrame) -> DataFrame:
     opening = F.when(F.col("_begun.said") != "", F.when(marked["mark"] == "dr", -F.abs(amount)).otherwise(amount))
     rows = _once(rows, "_read", F.struct(opening.alias("opening"), F.when(F.col("_day") != "", parse_date(F.col("_day"))["value"]).alias("d")))
     rows = rows.where("_read.d IS NOT NULL OR _read.opening IS NOT NULL").withColumns({"d": F.col("_read.d"), "opening": F.col("_read.opening")})
-    skip = F.size(F.split("_day", " "))
-    rest = F.filter("t", lambda x: x["k"] > skip)
-    rows = _once(rows, "r", rest)
-    value = lambda x: F.abs(parse_amount(F.replace(x, F.lit("−"), F.lit("-")))["value"])
-    sign = lambda x: F.when(x.rlike(r"^\(|[-−]"), -1).when(x.startswith("+"), 1)
-    monies = F.filter(F.transform(F.filter("r", lambda x: x["money"]), lambda x: F.struct(x["k"].alias("k"), x["x1"].alias("x1"), x["text"].alias("raw"), value(x["text"]).alias("value"), sign(x["text"]).alias("sign"))), lambda m: m["value"].isNotNull())
-    # letters between the amounts are marks (Cr, Dr), those before the first amount the description
-    first = F.array_min(F.transform("monies", lambda m: m["k"]))
-    described = F.array_join(F.transform(F.filter("r", lambda x: ~x["money"] & (first.isNull() | (x["k"] < first))), lambda x: x["text"]), " ")
-    marks = F.transform(F.filter("r", lambda x: ~x["money"] & (x["k"] > first)), lambda x: F.lower(F.regexp_replace(x["text"], r"\W", "")))
-    rows = _once(rows, "monies", monies)
-    told = F.col("d").isNotNull() & (F.size("monies") > 0)
-    mark = F.when(F.array_contains(marks, F.lit("dr")), -1).when(F.array_contains(marks, F.lit("cr")), 1)
-    out = rows.select("doc_id", "page", "row", F.when(told, F.col("d")).alias("date"), F.nullif(F.trim(described), F.lit("")).alias("description"), "monies", mark.alias("mark"), "opening")
+    after = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c), F.lit(1)))
+    rows = rows.withColumn("r", after(F.col("t"), F.size(F.split("_day", " ")))).drop("t")
+    # letters between the amounts are marks (Cr, Dr), those before the first amount the description; null where there is none
+    rows = rows.withColumn("_first", F.nullif(F.array_position("r.counted", True), F.lit(0)).cast("int"))
+    described = F.array_join(F.when(F.col("_first").isNull(), F.col("r.word")).otherwise(F.slice("r.word", F.lit(1), F.col("_first") - 1)), " ")
+    marks = F.when(F.col("_first").isNotNull(), after(F.col("r.mark"), F.col("_first")))
+    monies = F.transform(F.filter("r", lambda x: x["counted"]), lambda x: F.struct(x["x1"].alias("x1"), x["text"].alias("raw"), x["value"].alias("value"), x["sign"].alias("sign")))
+    told = F.col("d").isNotNull() & F.col("_first").isNotNull()
+    mark = F.when(F.array_contains(marks, -1), -1).when(F.array_contains(marks, 1), 1)
+    out = rows.select("doc_id", "page", "row", F.when(told, F.col("d")).alias("date"), F.nullif(F.trim(described), F.lit("")).alias("description"), monies.alias("monies"), mark.alias("mark"), "opening")
     return out.where("date IS NOT NULL OR opening IS NOT NULL")
 
 
 def _columns(rows: DataFrame, edge: float) -> DataFrame:
     """(doc_id, columns, of_balance): the column of each right edge, by tenths of a point, and the column of the balance; columns are gaps in the sorted edges of a document."""
     last = F.size("monies") - 1
-    flat = rows.select("doc_id", F.posexplode(F.transform("monies", lambda m: F.round(m["x1"], 1))).alias("i", "x"), last.alias("last"))
+    flat = rows.select("doc_id", F.posexplode("monies.x1").alias("i", "x"), last.alias("last")).withColumn("x", F.round("x", 1))
     # edges are counted by tenths of a point first, so a column of any length is a few rows here
     edges = flat.groupBy("doc_id", "x").agg(F.count_if((F.col("last") > 0) & (F.col("i") == F.col("last"))).alias("ends"))
     order = Window.partitionBy("doc_id").orderBy("x")

@@ -63,3 +63,20 @@ def test_words_are_read_once_for_openings_and_transactions(spark):
     assert [(r.rows, r.agree) for r in sp.running_check(found, openings).collect()] == [(1, 1)]
     assert [(float(r.income), float(r.balance)) for r in found.collect()] == [(5.0, 105.0)]
     assert seen.value == len(rows)
+
+
+def test_statements_are_dealt_over_all_tasks(spark, small):
+    """By their bytes they would be one task, but what is laid out and read behind the numbering is far more."""
+    from tallyframe.plans.page_queries import statement_words
+
+    assert statement_words(spark, small).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_what_words_say_is_told_without_lambdas(spark):
+    """Words of several parts, marks with points, amounts in brackets; of the reading only the list of amounts goes through lambdas."""
+    page = words(spark, {"d": [(40, 50, 240, 59, "3 Mar 2026  paid by wire"), (300, 51, 330, 60, "(5.00)"), (340, 50, 360, 59, "D.r."), (400, 50, 440, 59, "95.00"), (445, 52, 455, 61, "x")]})
+    rows = sp._token_rows(page, 3.0)
+    (row,) = sp.dated_rows(page).collect()
+    assert (str(row.date), row.description, row.mark) == ("2026-03-03", "paid by wire", -1)
+    assert [(m.x1, m.raw, float(m.value), m.sign) for m in row.monies] == [(330.0, "(5.00)", 5.0, -1), (440.0, "95.00", 95.0, None)]
+    assert not [x for x in rows._jdf.queryExecution().optimizedPlan().toString().splitlines() if "lambdafunction" in x and "Project" not in x]
