@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyframe.functions.text import norm_key
 from tallyframe.operators import items
-from tallyframe.operators.pages import cells, money_tokens
+from tallyframe.operators.pages import money_tokens, page_rows
 
 #: Characters of a line that can be a label, and labels that make a block.
 LABEL, BLOCK = 40, 4
@@ -83,8 +83,8 @@ _VAT_MONEY = r"(\d[\d,]*\.\d{2})"
 
 def _vat_rows(words: DataFrame) -> DataFrame:
     """(doc_id, page, row, texts, text, inside, monies) of every row; inside: between the heads of a Chinese VAT invoice and its sum, with an amount."""
-    rows = cells(words).groupBy("doc_id", "page", "row").agg(F.array_sort(F.collect_list(F.struct("cell", "text"))).alias("c"))
-    rows = rows.select("doc_id", "page", "row", F.transform("c", lambda x: x["text"]).alias("texts")).withColumn("text", F.array_join("texts", " "))
+    rows = page_rows(words).select("doc_id", "page", F.posexplode("rows").alias("row", "c"))
+    rows = rows.select("doc_id", "page", (F.col("row") + 1).cast("long").alias("row"), F.col("c.text").alias("texts"), F.array_join("c.text", " ").alias("text"))
     place = F.struct("page", "row")
     doc = Window.partitionBy("doc_id")
     has = lambda w: F.contains(F.col("text"), F.lit(w))

@@ -1,5 +1,6 @@
 """Fields and line items from words on pages."""
 
+import re
 from decimal import Decimal
 
 
@@ -161,3 +162,21 @@ def test_pages_are_laid_out_behind_the_last_exchange(spark, small):
 
     plan = invoice_words(spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_fields_take_the_words_of_a_page_together_once(spark):
+    """One exchange brings the words of a page together and one the labels of a document; neither rows nor neighbours below are joined."""
+    plan = pages.fields(words(spark, DOCS))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and plan.count("Exchange hashpartitioning") <= 2
+
+
+def test_items_are_carried_along_in_one_order(spark):
+    """No window over a whole document or page, which would sort its rows again."""
+    plan = items.line_items(words(spark, ITEM_DOCS))._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(" in plan and not re.search(r"windowspecdefinition\(doc_id#\d+(?:, page#\d+)?, (?:unspecified|specifiedwindow)", plan)
+
+
+def test_cells_of_uneven_rows(spark):
+    """Words of one row at unlike heights stand from left to right, blanks around them go, and gaps part them."""
+    got = pages.cells(words(spark, {"a": [(60, 11, 90, 19, "b"), (10, 12, 40, 20, " a "), (200, 10, 210, 18, "c"), (10, 40, 20, 48, "d")]})).collect()
+    assert {(r.row, r.cell, r.x0, r.x1, r.y0, r.y1, r.text) for r in got} == {(1, 1, 10.0, 90.0, 11.0, 20.0, "a b"), (1, 2, 200.0, 210.0, 10.0, 18.0, "c"), (2, 1, 10.0, 20.0, 40.0, 48.0, "d")}
