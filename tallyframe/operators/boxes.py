@@ -6,6 +6,9 @@ letter.  So a document costs its letters times the different lengths asked for;
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words of a value at most; a larger step down ends a block; shorter values are not looked for; height of a block of lines.
 WINDOW, LINE_GAP, LEAST, BLOCK_HEIGHT = 24, 28.0, 2, 100.0
+#: Letters of a document and values that are searched one by one, without hashes; documents taken from Arrow at a time.
+SHORT, FEW, TOGETHER = 4096, 16, 500
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -27,19 +32,22 @@ class Page:
     """The words of a document in reading order, run together."""
 
     def __init__(self, words: list[tuple]):
-        words = sorted((w for w in words if _plain(w[5])), key=lambda w: (w[0], round(w[2], 1), w[1]))
-        self.boxes, parts, starts, at, low = words, [], [], 0, 0.0
-        for k, (page, _, y0, _, _, text) in enumerate(words):
+        kept = sorted(((w, p) for w in words if (p := _plain(w[5]))), key=lambda x: (x[0][0], round(x[0][2], 1), x[0][1]))
+        self.boxes = words = [w for w, _ in kept]
+        parts, starts, ends, at, low = [], [], [], 0, 0.0
+        for k, ((page, _, y0, _, _, _), text) in enumerate(kept):
             if k and (page != words[k - 1][0] or y0 - low > LINE_GAP):
                 parts.append("\0")  # no value goes over it
                 at, low = at + 1, y0
             low = max(low, y0) if k else y0
             starts.append(at)
-            parts.append(_plain(text))
-            at += len(parts[-1])
-        self.text = "".join(parts)
-        self.starts = np.array(starts, np.int64)
-        self.ends = self.starts + np.array([len(_plain(w[5])) for w in words], np.int64)
+            parts.append(text)
+            at += len(text)
+            ends.append(at)
+        self.text, self.starts, self.ends = "".join(parts), starts, ends
+
+    def run_together(self) -> None:
+        """The prefix sums of the rolling hash."""
         letters = np.frombuffer(self.text.encode("utf-32-le"), np.uint32).astype(np.uint64)
         powers = np.full(len(letters), _BASE, np.uint64)
         inverses = np.full(len(letters), _INVERSE, np.uint64)
@@ -55,6 +63,14 @@ class Page:
     def places(self, values: set[str]) -> dict[str, list[int]]:
         """Where each value begins."""
         found: dict[str, list[int]] = {v: [] for v in values}
+        if len(self.text) <= SHORT and len(values) <= FEW:
+            for v, own in found.items():
+                at = self.text.find(v)
+                while at >= 0:
+                    own.append(at)
+                    at = self.text.find(v, at + 1)
+            return found
+        self.run_together()
         by_length: dict[int, list[str]] = {}
         for v in values:
             by_length.setdefault(len(v), []).append(v)
@@ -73,7 +89,7 @@ class Page:
         """The first stretch of whole words that is the value, else the smallest that holds it."""
         held: list[tuple[float, int, Box]] = []
         for at in places:
-            i, j = int(np.searchsorted(self.starts, at, "right")) - 1, int(np.searchsorted(self.ends, at + len(value) - 1, "right"))
+            i, j = bisect_right(self.starts, at) - 1, bisect_right(self.ends, at + len(value) - 1)
             if j - i >= WINDOW:
                 continue
             box = self.around(range(i, j + 1))
@@ -124,18 +140,33 @@ def locate(words: DataFrame, values: DataFrame) -> DataFrame:
     how is exact (whole words), inside (a part of the words in the box) or block (two or more of its parts, divided by commas, stand close together).  Blanks do not count; a value goes over lines that
     follow each other, never over pages, and has WINDOW words at most.  The words of one document come to one task."""
     kinds = {c: values.schema[c].dataType.simpleString() for c in ("doc_id", "id")}
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = list(zip(*(left.column(c).to_pylist() for c in ("page", "x0", "y0", "x1", "y1", "text")), strict=True))
-        hits = find(own, right.column("text").to_pylist())
-        kept = [(k, *box, how) for k, hit in enumerate(hits) if hit is not None for box, how in [hit]]
-        at = pa.array([r[0] for r in kept], pa.int64())
-        plain = [pa.array([r[i] for r in kept], kind) for i, kind in ((1, pa.int32()), (2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (5, pa.float64()), (6, pa.string()))]
-        return pa.Table.from_arrays([right.column("doc_id").take(at), right.column("id").take(at), *plain], names=["doc_id", "id", "page", "x0", "y0", "x1", "y1", "how"])
-
+    names = ["doc_id", "id", "page", "x0", "y0", "x1", "y1", "how"]
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        docs, held, asked = (batch.column(c) for c in ("doc_id", "w", "q"))
+        own = list(zip(*(held.flatten().field(i).to_pylist() for i in range(6)), strict=True))
+        ids, texts = (asked.flatten().field(i) for i in range(2))
+        texts = texts.to_pylist()
+        kept: list[tuple] = []
+        at_w, at_q = ([o - of[0] for o in of] for of in (held.offsets.to_pylist(), asked.offsets.to_pylist()))
+        for k in range(len(docs)):
+            hits = find(own[at_w[k] : at_w[k + 1]], texts[at_q[k] : at_q[k + 1]])
+            kept += [(k, at_q[k] + i, *box, how) for i, hit in enumerate(hits) if hit is not None for box, how in [hit]]
+        doc, at = (pa.array([r[i] for r in kept], pa.int64()) for i in range(2))
+        plain = [pa.array([r[i + 2] for r in kept], kind) for i, kind in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.string()))]
+        return pa.RecordBatch.from_arrays([docs.take(doc), ids.take(at), *plain], names=names)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                yield run(batch.slice(at, TOGETHER))
+
+    # a document is one row with its words and one with its values, so a call takes many documents
     numbers = [F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")]
-    both = words.select("doc_id", F.col("page").cast("int").alias("page"), *numbers, "text").groupBy("doc_id").cogroup(values.select("doc_id", "id", "text").groupBy("doc_id"))
-    return both.applyInArrow(run, f"doc_id {kinds['doc_id']}, id {kinds['id']}, page int, x0 double, y0 double, x1 double, y1 double, how string")
+    held = words.select("doc_id", F.struct(F.col("page").cast("int").alias("page"), *numbers, "text").alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("w"))
+    asked = values.select(F.col("doc_id").alias("_doc"), F.struct("id", "text").alias("q")).groupBy("_doc").agg(F.collect_list("q").alias("q"))
+    met = asked.join(held, F.col("_doc") == F.col("doc_id")).select(F.col("_doc").alias("doc_id"), "w", "q")
+    return met.mapInArrow(every, f"doc_id {kinds['doc_id']}, id {kinds['id']}, page int, x0 double, y0 double, x1 double, y1 double, how string")
 
 
 def locate_items(words: DataFrame, items: DataFrame) -> DataFrame:

@@ -61,3 +61,23 @@ def test_items(spark):
     items = spark.createDataFrame([("d", 1, "Professional Fees", "7,000.00"), ("d", 2, "unmatchable long narrative", "500.00"), ("d", 3, "nowhere", "1.23"), ("d", 4, "Totally different", None), ("e", 1, "no words", "1.00")], "doc_id string, item int, description string, amount string")
     out = {(r.doc_id, r.item): (r.page, r.x0, r.y0, r.x1, r.y1) for r in boxes.locate_items(page, items).collect()}
     assert out == {("d", 1): (1, 43, 274, 580, 284), ("d", 2): (1, 43, 300, 580, 310), ("d", 4): (1, 43, 300, 300, 310)}
+
+
+def test_short_and_hashed_searches_agree(monkeypatch):
+    """Short documents with few values are searched without hashes; overlapping places count in both ways."""
+    ws = [(0, 10.0 * k, 10.0, 10.0 * k + 8, 18.0, t) for k, t in enumerate(["aaaa", "ab", "a", "b 1", "aa"])]
+    values = ["aa", "aab", "aba", "b1aa", "zz", None, "aaaa, b1a"]
+    short = boxes.Page(ws).places({"aa", "aab", "zz"})
+    plain = boxes.find(ws, values)
+    monkeypatch.setattr(boxes, "FEW", 0)
+    assert boxes.Page(ws).places({"aa", "aab", "zz"}) == short and short["aa"] == [0, 1, 2, 3, 9]
+    assert boxes.find(ws, values) == plain
+
+
+def test_many_documents_come_to_one_call(spark):
+    """A document is one row with its words, and no group of its own."""
+    docs = {f"d{k}": [(10, 10, 20, 18, f"no{k}"), (25, 10, 30, 18, "x")] for k in range(1200)}
+    asked = spark.createDataFrame([(d, "v", "no" + d[1:]) for d in docs], "doc_id string, id string, text string")
+    found = boxes.locate(words(spark, docs), asked)
+    assert "CoGroup" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.how, r.x0) for r in found.collect()} == {(d, "exact", 10.0) for d in docs}
