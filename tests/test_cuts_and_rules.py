@@ -16,6 +16,14 @@ def test_cuts(spark):
     assert {r.doc_id for r in cuts.documents(out).collect()} == {"a:cut1/4", "a:cut2/4", "a:cut3/4", "a:cut4/4", "b:cut1/1", "c:cut1/1"}
 
 
+def test_words_are_cut_in_one_order(spark):
+    """Heights come by the document, a page measured twice repeats no word, and no rank over all parts sorts the words again."""
+    words = spark.createDataFrame([("a", 0, 0.0, float(y), 9.0, float(y) + 5, str(y)) for y in (10, 60)], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string")
+    out = cuts.cut(words, spark.createDataFrame([("a", 0, 0.5)], "doc_id string, page int, pos double"), spark.createDataFrame([("a", 0, 100.0), ("a", 0, 90.0)], "doc_id string, page int, height double"))
+    assert sorted((r.text, r.part, r.parts) for r in out.collect()) == [("10", 1, 2), ("60", 2, 2)]
+    assert "dense_rank" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 SENTENCES = [
     ("classification", "以后老王家的发票都记 6400 咨询费", None, ("老王", "Consulting", "6400 咨询费", None, None, [])),
     ("classification", "invoices from Acme Labs go to account = 6520 Utilities; category = Utilities", None, ("Acme Labs", "Utilities", "6520 Utilities", None, None, [])),
