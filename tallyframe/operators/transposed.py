@@ -47,17 +47,16 @@ def records(lines: DataFrame, names: dict[str, list[str]], *, least: int = BLOCK
     opens = F.col("_island").isNotNull() & (F.count("*").over(island) >= least) & (F.size(F.array_except(F.array(*map(F.lit, needs)).cast("array<string>"), held)) == 0)
     said = said.withColumn("_opens", F.when(opens, F.col("_island")))
     said = said.withColumn("block", F.last("_opens", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("block IS NOT NULL")
-    heads = said.where("_opens IS NOT NULL")
-    heads = heads.select("doc_id", "block", (F.row_number().over(Window.partitionBy("doc_id", "block").orderBy("line")) - 1).alias("place"), F.col("_name").alias("name"), F.count("*").over(Window.partitionBy("doc_id", "block")).alias("n"))
-    block = Window.partitionBy("doc_id", "block")
-    values = said.where("_name IS NULL")
+    # the names of a block's columns, in their order, come to its lines along the block, so the document is read once and meets nothing
+    block = Window.partitionBy("doc_id", "block").orderBy("line")
+    so_far, whole = block.rowsBetween(Window.unboundedPreceding, 0), block.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.when(F.col("_opens").isNotNull(), F.col("_name"))
+    values = said.withColumn("n", F.count(head).over(whole)).withColumn("names", F.collect_list(head).over(whole)).where("_name IS NULL")
     if end is not None:
-        values = values.withColumn("_end", F.min(F.when(end, F.col("line"))).over(block)).where("_end IS NULL OR line < _end")
-    values = values.withColumn("_at", F.row_number().over(block.orderBy("line")) - 1).withColumn("_of", F.count("*").over(block))
-    # the number of columns comes to each line by its block, the name by its place in the record
-    wide = heads.groupBy("doc_id", "block").agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("place", "name"))).alias("names"))
-    met = values.join(wide, ["doc_id", "block"]).withColumn("record", F.expr("cast(_at div n as int)")).withColumn("place", (F.col("_at") % F.col("n")).cast("int"))
-    return met.where("record < _of div n").select("doc_id", "block", "record", "place", F.try_element_at("names", "place").alias("name"), F.col("text").alias("value"))
+        values = values.withColumn("_over", F.max(F.coalesce(end, F.lit(False))).over(so_far)).where("NOT _over")
+    values = values.withColumn("_at", F.row_number().over(block) - 1).withColumn("_of", F.count("*").over(whole))
+    placed = values.withColumn("record", F.expr("cast(_at div n as int)")).withColumn("place", (F.col("_at") % F.col("n")).cast("int"))
+    return placed.where("record < _of div n").select("doc_id", "block", "record", "place", F.get("names", F.col("place")).alias("name"), F.col("text").alias("value"))
 
 
 def as_columns(found: DataFrame, names: list[str]) -> DataFrame:

@@ -65,3 +65,11 @@ def test_vat_sums_deal_words_once(spark):
     words = spark.createDataFrame([("d", 1, 40.0, 10.0, 140.0, 18.0, "x")], "doc_id string, page int, x0 double, y0 double, x1 double, y1 double, text string")
     plan = transposed.vat_sums(words)._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange hashpartitioning") <= 2, plan
+
+
+def test_records_meet_no_heads(spark):
+    """Names of columns come along the block: lines are read once and not joined with their heads."""
+    lines = spark.createDataFrame([("a", i, t) for i, t in enumerate(["Item", "Amount", "x", "1.00", "y", "2.00", "z"])], "doc_id string, line int, text string")
+    found = transposed.records(lines, {"item": ["Item"], "amount": ["Amount"]}, least=2)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.record, r.place, r.name, r.value) for r in found.collect()} == {(0, 0, "item", "x"), (0, 1, "amount", "1.00"), (1, 0, "item", "y"), (1, 1, "amount", "2.00")}
