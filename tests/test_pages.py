@@ -180,3 +180,11 @@ def test_cells_of_uneven_rows(spark):
     """Words of one row at unlike heights stand from left to right, blanks around them go, and gaps part them."""
     got = pages.cells(words(spark, {"a": [(60, 11, 90, 19, "b"), (10, 12, 40, 20, " a "), (200, 10, 210, 18, "c"), (10, 40, 20, 48, "d")]})).collect()
     assert {(r.row, r.cell, r.x0, r.x1, r.y0, r.y1, r.text) for r in got} == {(1, 1, 10.0, 90.0, 11.0, 20.0, "a b"), (1, 2, 200.0, 210.0, 10.0, 18.0, "c"), (2, 1, 10.0, 20.0, 40.0, 48.0, "d")}
+
+
+def test_orphans_are_read_once(spark):
+    """Amounts that stand alone meet twice what a total must be; the words behind them are not read again."""
+    sums = spark.createDataFrame([("a", Decimal(100), None)], "doc_id string, subtotal decimal(18,2), tax decimal(18,2)")
+    found = items.orphan_totals(words(spark, {"a": column(["Subtotal: 100.00", "8.00", "108.00"])}), sums)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.tax, r.total) for r in found.collect()] == [(Decimal("8.00"), Decimal("108.00"))]
